@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 # A broadcast is asked for only when the row count is known to be below this.
 BROADCAST_ROWS = 200_000
+# Below this estimate no key can hold more than one task handles well.
+SKEW_BYTES = 4 << 30
+# Rows of one key that one task should join.
+ROWS_PER_TASK = 1_000_000
+_TRACKED_KEYS, _REPORTED_KEYS = 20_000, 500
 
 
 def first_by(df: DataFrame, keys: list[str], order: Column, **values: Column) -> DataFrame:
@@ -21,34 +25,53 @@ def first_by(df: DataFrame, keys: list[str], order: Column, **values: Column) ->
     )
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def hot_keys(rows: DataFrame, keys: list[str]) -> dict[int, int]:
+    """Hash of every heavy key and the number of tasks its rows should spread over.
+
+    One pass with a mergeable sketch, which brings back a few hundred counts at
+    most; it is skipped when the input is small.  A heavy key cannot escape the
+    sketch, and naming a light key heavy changes no result.
+    """
+    if _estimated_bytes(rows) < SKEW_BYTES:
+        return {}
+    top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(_REPORTED_KEYS), F.lit(_TRACKED_KEYS))
+    found = rows.agg(top.alias("top")).first().top or []
+    return {r.item: -(-r["count"] // ROWS_PER_TASK) for r in found if r["count"] > ROWS_PER_TASK}
+
+
+def parts_of(hot: dict[int, int], keys: list[str]) -> Column:
+    """Number of parts the rows of a key are spread over."""
+    if not hot:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    return F.coalesce(table[F.xxhash64(*keys)], F.lit(1))
+
+
+def spread_rows(rows: DataFrame, hot: dict[int, int], keys: list[str], spread: Column) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(spread, parts_of(hot, keys)).cast("int"))
+
+
+def repeat_rows(table: DataFrame, hot: dict[int, int], keys: list[str]) -> DataFrame:
+    return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts_of(hot, keys).cast("int") - 1)))
+
+
 def salted_lookup(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    salt: Column | None = None,
-    salts: int = SALTS,
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", spread: Column | None = None,
+    hot: dict[int, int] | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which holds at most one row per key.
 
-    The lookup side is repeated once per salt and the row side is spread over
-    the salts by a hash of its other columns, so the rows of a hot key meet in
-    ``salts`` tasks instead of one.  The result equals the plain join.
+    The rows of a heavy key are spread over as many tasks as they need by
+    ``spread`` (by default a hash of their other columns), and its one row on
+    the other side is repeated for each.  The result equals the plain join.
     """
+    hot = hot_keys(rows, keys) if hot is None else hot
     others = [c for c in rows.columns if c not in keys]
-    if salt is None and not others:
+    if not hot or (spread is None and not others):
         return rows.join(table, keys, how)
-    spread = salt if salt is not None else F.xxhash64(*others)
-    left = rows.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def join_small_or_salted(
-    rows: DataFrame, table: DataFrame, table_rows: int, keys: list[str], how: str = "inner",
-    salt: Column | None = None,
-) -> DataFrame:
-    """Broadcast ``table`` when its counted size allows, otherwise salt the join."""
-    if table_rows <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), keys, how)
-    return salted_lookup(rows, table, keys, how, salt)
+    left = spread_rows(rows, hot, keys, F.xxhash64(*others) if spread is None else spread)
+    return left.join(repeat_rows(table, hot, keys), [*keys, "_salt"], how).drop("_salt")

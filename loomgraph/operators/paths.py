@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import model
-from loomgraph.operators.lookups import BROADCAST_ROWS, SALTS
+from loomgraph.operators.lookups import BROADCAST_ROWS, hot_keys, repeat_rows, spread_rows
 from loomgraph.session import cut_lineage
 
 
@@ -52,32 +52,41 @@ class Weights:
 HOPS = Weights(tenths=(), default=1)
 
 
-def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = True) -> DataFrame:
-    """``src, dst, w`` laid out once for repeated joins on ``src``.
+@dataclass(frozen=True)
+class Arcs:
+    """``src, dst, w`` laid out by source, with the sources whose arcs are spread out."""
+
+    rows: DataFrame
+    hot: dict[int, int]
+
+
+def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = True) -> Arcs:
+    """Lay the edges out once for repeated joins on ``src``.
 
-    The salt splits the edges of a hub over several partitions; the layout
-    survives the checkpoint, so later rounds move only the frontier.
+    The edges of a hub are split over several partitions; the layout survives
+    the checkpoint, so later rounds move only the frontier.
     """
     kind = F.col("type") if "type" in edges.columns else F.lit(None).cast("string")
-    weighted = edges.select("src", "dst", weights.column(kind).cast("int").alias("w"))
+    weighted = edges.select("src", "dst", weights.column(kind).cast("int").alias("w")).filter("src <> dst")
     if not directed:
         weighted = weighted.unionAll(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    lightest = weighted.groupBy("src", "dst").agg(F.min("w").alias("w")).filter("src <> dst")
+    hot = hot_keys(weighted, ["src"])
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = lightest.withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int"))
-    return cut_lineage(salted.repartition(parts, "src", "_salt"))
+    placed = spread_rows(weighted, hot, ["src"], F.xxhash64("dst")).repartition(parts, "src", "_salt")
+    # Parallel edges of a pair lie in one partition now: this needs no further shuffle.
+    lightest = placed.groupBy("src", "_salt", "dst").agg(F.min("w").alias("w"))
+    return Arcs(cut_lineage(lightest), hot)
 
 
-def _relax(prepared: DataFrame, frontier: DataFrame, rows: int) -> DataFrame:
+def _relax(arcs: Arcs, frontier: DataFrame, rows: int) -> DataFrame:
     """Edges leaving the frontier: broadcast while it is small, co-partitioned after."""
     if rows <= BROADCAST_ROWS:
-        return prepared.join(F.broadcast(frontier), "src")
-    spread = frontier.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return prepared.join(spread, ["src", "_salt"])
+        return arcs.rows.join(F.broadcast(frontier), "src")
+    return arcs.rows.join(repeat_rows(frontier, arcs.hot, ["src"]), ["src", "_salt"])
 
 
 def search(
-    prepared: DataFrame,
+    arcs: Arcs,
     seeds: DataFrame,
     cutoff: int | None = None,
     target: str | None = None,
@@ -100,7 +109,7 @@ def search(
         if reached is not None:
             frontier = frontier.filter(F.col("dist") < reached)
         number += 1
-        step = _relax(prepared, frontier.select(F.col("id").alias("src"), F.col("dist").alias("d")), rows)
+        step = _relax(arcs, frontier.select(F.col("id").alias("src"), F.col("dist").alias("d")), rows)
         found = step.select(
             F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("dist"),
             F.col("src").alias("parent"), F.lit(number).alias("round"),
