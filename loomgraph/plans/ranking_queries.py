@@ -69,7 +69,7 @@ def within_distance(spark, sf):
     return paths.within_distance(graph.nodes, graph.edges, "nation:0", 3.2, directed=False)
 
 
-def _path_sql(weight: str, target: str, scale: str) -> str:
+def _path_sql(weight: str, target: str, scale: str, found_only: bool = False) -> str:
     """SQL: walk back from the target along the smallest tight predecessor."""
     return (
         _search_sql(weight, True, _from("order:0"), 1000)
@@ -80,8 +80,10 @@ def _path_sql(weight: str, target: str, scale: str) -> str:
       FROM back, LATERAL (SELECT p.id, p.d FROM arcs a JOIN dist p ON p.id = a.src
         WHERE a.dst = back.node AND p.d + a.w = back.d ORDER BY p.id LIMIT 1) pick
       WHERE back.d > 0)
-    SELECT 'order:0' AS source, '{target}' AS target, (SELECT d FROM dist WHERE id = '{target}') / {scale} AS distance,
-      path FROM back ORDER BY hops DESC LIMIT 1"""
+    SELECT 'order:0' AS source, '{target}' AS target,
+      coalesce((SELECT d FROM dist WHERE id = '{target}') / {scale}, 'infinity') AS distance,
+      coalesce((SELECT path FROM back ORDER BY hops DESC LIMIT 1), '') AS path
+    WHERE {not found_only} OR EXISTS (SELECT 1 FROM dist WHERE id = '{target}')"""
     )
 
 
@@ -106,7 +108,7 @@ def shortest_path_missing(spark, sf):
     return found.select("source", "target", "distance", F.size("path").alias("hops"))
 
 
-@query("k_shortest_paths", _path_sql(_WEIGHT_SQL, "region:1", "10.0::DOUBLE"))
+@query("k_shortest_paths", _path_sql(_WEIGHT_SQL, "region:1", "10.0::DOUBLE", found_only=True))
 def k_shortest_paths(spark, sf):
     graph = star_graph(spark, sf)
     found = paths.k_shortest_paths(graph.nodes, graph.edges, "order:0", "region:1", k=3)
