@@ -1,9 +1,10 @@
-"""Weakly connected components by alternating star contraction.
+"""Weakly connected components by hooking and pointer jumping.
 
-Each round runs the two map-reduce star operations of Kiveris et al. (2014):
-the large star links every larger neighbour to the smallest node around, the
-small star does the same for the smaller ones.  The edge list never grows and
-the rounds needed are logarithmic in practice, whatever the diameter.
+Follows FastSV (Zhang, Azad and Hu, 2020): every node points at a smaller one,
+neighbours pull both a node and the node it points at towards the smallest
+pointer around, and pointers are halved each round.  Edges are laid out once and
+never rewritten; a round shuffles one row per node.  The number of rounds grows
+with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -11,53 +12,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.lookups import salted_lookup
+from loomgraph.operators.lookups import BROADCAST_ROWS, salted_lookup
+from loomgraph.operators.paths import HOPS, Arcs, prepare, relax
 from loomgraph.session import cut_lineage
 
-_MAX_ROUNDS = 60
+_MAX_ROUNDS = 100
 
 
-def _star(directed: DataFrame, large: bool) -> DataFrame:
-    """``directed(u, v)`` lists the neighbours ``v`` of ``u`` to relink."""
-    lowest = directed.groupBy("u").agg(F.min("v").alias("m"))
-    lowest = lowest.select("u", F.least("u", "m").alias("m"))
-    joined = salted_lookup(directed, lowest, ["u"], "inner")
-    if large:
-        moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        own = lowest.filter("u <> m").select("u", F.col("m").alias("v"))
-        moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(own)
-    return moved.filter("u <> v").distinct()
+def _join_few_or_many(rows: DataFrame, table: DataFrame, size: int, key: str, how: str) -> DataFrame:
+    """One row per ``key`` in ``table``: broadcast while its counted size allows."""
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    return salted_lookup(rows, table, [key], how)
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def _pointers(numbers: DataFrame, arcs: Arcs, size: int) -> DataFrame:
+    """``id, f`` where ``f`` is the smallest number of the component of ``id``."""
+    state = cut_lineage(numbers.select(F.col("n").alias("id"), F.col("n").alias("f"), F.col("n").alias("gf")))
+    known = None
+    for _ in range(_MAX_ROUNDS):
+        pulls = relax(arcs, state.select(F.col("id").alias("src"), "gf"), size)
+        lowest = pulls.groupBy(F.col("dst").alias("id")).agg(F.min("gf").alias("low"))
+        offers = state.join(lowest, "id", "left").select(
+            F.inline(
+                F.array(
+                    F.struct("id", F.least("f", "gf", "low").alias("f")),
+                    F.struct(F.col("f").alias("id"), F.least("f", "low").alias("f")),
+                )
+            )
+        )
+        pointers = offers.groupBy("id").agg(F.min("f").alias("f"))
+        above = pointers.select(F.col("id").alias("f"), F.col("f").alias("gf"))
+        # A root may be the pointer of most nodes.
+        state = cut_lineage(_join_few_or_many(pointers, above, size, "f", "inner").select("id", "f", "gf"))
+        # Pointers only ever fall, so equal sums mean that none moved.
+        total = state.agg(F.sum((F.col("f").cast("decimal(38,0)") + F.col("gf")))).first()[0]
+        if total == known:
+            return state.select("id", "f")
+        known = total
+    raise RuntimeError("components did not settle")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, component`` where the component is named after its smallest id."""
-    current = cut_lineage(
-        edges.filter("src <> dst")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    fingerprint = None
-    for _ in range(_MAX_ROUNDS):
-        wide = _star(_both_ways(current), large=True)
-        # After the large star every edge points to a smaller node.
-        current = cut_lineage(_star(wide.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), large=False))
-        seen = current.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if seen == fingerprint:
-            break
-        fingerprint = seen
-    else:
-        raise RuntimeError("components did not settle")
-    # Every non-root node now has exactly one edge, to its root.
-    return nodes.select("id").join(
-        current.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left"
-    ).select("id", F.coalesce("root", "id").alias("component"))
+    """``id, component`` where the component is named after its smallest id.
+
+    The rounds run on numbers instead of ids: their minima need no sorting.
+    """
+    numbers = cut_lineage(nodes.select("id", F.monotonically_increasing_id().alias("n")))
+    size = numbers.count()
+    links = edges.select("src", "dst").filter("src <> dst")
+    for end in ("src", "dst"):
+        side = numbers.select(F.col("id").alias(end), F.col("n").alias(f"_{end}"))
+        links = _join_few_or_many(links, side, size, end, "inner")
+    arcs = prepare(links.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")), HOPS, directed=False)
+    found = numbers.join(_pointers(numbers, arcs, size).withColumnRenamed("id", "n"), "n")
+    names = found.groupBy("f").agg(F.min("id").alias("component"))
+    return salted_lookup(found, names, ["f"], "inner", F.xxhash64("id")).select("id", "component")
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

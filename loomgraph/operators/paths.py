@@ -78,7 +78,7 @@ def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = Tru
     return Arcs(cut_lineage(lightest), hot)
 
 
-def _relax(arcs: Arcs, frontier: DataFrame, rows: int) -> DataFrame:
+def relax(arcs: Arcs, frontier: DataFrame, rows: int) -> DataFrame:
     """Edges leaving the frontier: broadcast while it is small, co-partitioned after."""
     if rows <= BROADCAST_ROWS:
         return arcs.rows.join(F.broadcast(frontier), "src")
@@ -109,7 +109,7 @@ def search(
         if reached is not None:
             frontier = frontier.filter(F.col("dist") < reached)
         number += 1
-        step = _relax(arcs, frontier.select(F.col("id").alias("src"), F.col("dist").alias("d")), rows)
+        step = relax(arcs, frontier.select(F.col("id").alias("src"), F.col("dist").alias("d")), rows)
         found = step.select(
             F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("dist"),
             F.col("src").alias("parent"), F.lit(number).alias("round"),

@@ -15,7 +15,7 @@ from loomgraph.operators.lookups import first_by, salted_lookup
 from loomgraph.operators.ranges import first_covering
 from loomgraph.plans.registry import query
 from loomgraph.plans.star_graph import STAR_SQL, star_graph, table
-from loomgraph.session import cut_lineage
+from loomgraph.session import cut_lineage, widen
 from loomgraph.sources import artifacts, snapshot
 from loomgraph.sources.source_tree import content_state, parse_sources
 
@@ -278,7 +278,7 @@ _CREATION_SQL = " OR ".join(f"regexp_matches(text, '{p}')" for p in is_.CREATION
 )
 def call_predicates(spark, sf):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return widen(table(spark, sf, "documents")).select(
         "doc_id", is_.is_constructor_call(text).alias("is_constructor"), is_.is_python_usage(text).alias("is_usage"),
         F.md5(is_.created_class(text)).alias("created"), F.md5(is_.used_resource(text)).alias("used"),
     )
@@ -537,7 +537,7 @@ def changed_files(spark, sf):
 @query(
     "change_summary",
     """SELECT 'docs/' || doc_id || '.py' AS file_path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' END AS status,
-    CASE WHEN doc_id % 7 <> 0 THEN doc_id % 5 = 0 END AS content_changed, CASE WHEN doc_id % 7 <> 0 THEN false END AS ast_changed, length(text) AS entity_count,
+    CASE WHEN doc_id % 7 <> 0 THEN doc_id % 5 = 0 END AS content_changed, CASE WHEN doc_id % 7 <> 0 THEN false END AS ast_changed, length(text)::INT AS entity_count,
     CASE WHEN doc_id % 7 <> 0 THEN substr(md5(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END), 1, 8) END AS current_hash,
     CASE WHEN doc_id % 7 <> 0 THEN substr(md5(text), 1, 8) END AS stored_hash FROM documents""",
 )

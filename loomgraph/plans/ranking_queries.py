@@ -13,7 +13,8 @@ from loomgraph.operators import paths
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.plans import relevance
 from loomgraph.plans.registry import query
-from loomgraph.plans.star_graph import STAR_SQL, star_graph, table
+from loomgraph.plans.star_graph import STAR_SQL, star_graph, star_nodes, table
+from loomgraph.session import widen
 
 TYPED = paths.Weights()
 UNIFORM = paths.Weights(uniform=True)
@@ -50,13 +51,13 @@ def _from(node: str) -> str:
 
 @query("sssp_typed", _search_sql(_WEIGHT_SQL, True, _from("order:0"), 100) + " SELECT id, d / 10.0::DOUBLE AS distance FROM dist")
 def sssp_typed(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     return paths.distances_from(graph.nodes, graph.edges, "order:0")
 
 
 @query("sssp_uniform", _search_sql("20", False, _from("region:0"), 60) + " SELECT id, d / 10.0::DOUBLE AS distance FROM dist")
 def sssp_uniform(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     return paths.distances_from(graph.nodes, graph.edges, "region:0", 6.0, UNIFORM, directed=False)
 
 
@@ -65,7 +66,7 @@ def sssp_uniform(spark, sf):
     _search_sql(_WEIGHT_SQL, False, _from("nation:0"), 32) + " SELECT id, d / 10.0::DOUBLE AS distance FROM dist",
 )
 def within_distance(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     return paths.within_distance(graph.nodes, graph.edges, "nation:0", 3.2, directed=False)
 
 
@@ -89,28 +90,28 @@ def _path_sql(weight: str, target: str, scale: str, found_only: bool = False) ->
 
 @query("shortest_path", _path_sql(_WEIGHT_SQL, "region:1", "10.0::DOUBLE"))
 def shortest_path(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     found = paths.shortest_path(graph.nodes, graph.edges, "order:0", "region:1")
     return found.withColumn("path", F.array_join("path", ">"))
 
 
 @query("shortest_path_hops", _path_sql("1", "nation:2", "1.0::DOUBLE"))
 def shortest_path_hops(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     found = paths.shortest_hops(graph.nodes, graph.edges, "order:0", "nation:2")
     return found.withColumn("path", F.array_join("path", ">"))
 
 
 @query("shortest_path_missing", "SELECT 'region:0' AS source, 'order:0' AS target, 'infinity'::DOUBLE AS distance, 0 AS hops")
 def shortest_path_missing(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     found = paths.shortest_path(graph.nodes, graph.edges, "region:0", "order:0")
     return found.select("source", "target", "distance", F.size("path").alias("hops"))
 
 
 @query("k_shortest_paths", _path_sql(_WEIGHT_SQL, "region:1", "10.0::DOUBLE", found_only=True))
 def k_shortest_paths(spark, sf):
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     found = paths.k_shortest_paths(graph.nodes, graph.edges, "order:0", "region:1", k=3)
     return found.withColumn("path", F.array_join("path", ">"))
 
@@ -191,7 +192,7 @@ def text_edit_similarity(spark, sf):
     """Every document, whole, against one problem text."""
     problem = table(spark, sf, "benchmark").filter("item_id = 0").select("text").first()[0]
     found = levenshtein_similarity(F.lit(problem), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.round(found, 6).alias("similarity"))
+    return widen(table(spark, sf, "documents")).select("doc_id", F.round(found, 6).alias("similarity"))
 
 
 @query(
@@ -207,7 +208,7 @@ def text_edit_topk(spark, sf):
 def text_matching_topk(spark, sf):
     """Ratcliff-Obershelp ratio of one problem text with every conversation turn."""
     found = matching_ratio(F.lit(_PROBLEM), F.col("text"))
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.round(found, 6).alias("similarity"))
+    turns = widen(table(spark, sf, "conversations")).select("conv_id", "turn", F.round(found, 6).alias("similarity"))
     return turns.orderBy(F.desc("similarity"), "conv_id", "turn").limit(20)
 
 
@@ -226,7 +227,7 @@ def problem_text(spark, sf):
     CASE WHEN file_path <> '' THEN 'in file: ' || file_path END) AS text FROM nodes""",
 )
 def entity_text(spark, sf):
-    nodes = star_graph(spark, sf).nodes
+    nodes = star_nodes(spark, sf)
     return nodes.select("id", texts.entity_text(nodes.columns).alias("text"))
 
 
@@ -302,7 +303,7 @@ _HYPER = relevance.Hyperparameters(max_path_length=4.0)
 
 def _rank(spark, sf, **options):
     return relevance.rank(
-        star_graph(spark, sf), _PROBLEM, options.pop("hyper", _HYPER), start=options.pop("start", "nation:0"),
+        star_graph(spark, sf, distinct=False), _PROBLEM, options.pop("hyper", _HYPER), start=options.pop("start", "nation:0"),
         types=_TYPES, **options,
     )
 
@@ -365,7 +366,7 @@ def relevance_quality(spark, sf):
 )
 def relevance_score_distribution(spark, sf):
     """Over the scores of every candidate, not only the winners."""
-    graph = star_graph(spark, sf)
+    graph = star_graph(spark, sf, distinct=False)
     found = paths.search(paths.prepare(graph.edges, TYPED, directed=False), paths.seed(graph.nodes, "nation:0"), cutoff=40)
     scores = relevance.score(graph.candidates(_TYPES), found, _PROBLEM, _HYPER, relevance.INTENDED)
     spread = relevance.score_distribution(scores)

@@ -44,3 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a plain table scan over all cores before costly work per row.
+
+    A scan that already has a split per core, as any large table does, stays as
+    it is; a small file with one row group would otherwise run in one task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
