@@ -1,7 +1,9 @@
 """Keep a stored event table up to date while source files arrive.
 
-A file stream finds new and rewritten files; each micro-batch parses them,
-skips those whose content is already stored, and appends their events.
+Every pull drops its added and modified files into a folder of its own,
+``root/<revision>/<path>``, with revisions that sort by age: a file stream reads
+a path once, so a new version needs a new one.  Each micro-batch parses what
+arrived and stores the events.
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ _BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINAR
 
 
 def source_stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """``file_path, modified, content`` of source files as they appear under ``root``."""
+    """``file_path, revision, content`` of source files as they appear under ``root``."""
     stream = (
         spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{py,java}").option("maxFilesPerTrigger", files_per_batch).load(root)
     )
     base = root.rstrip("/") + "/"
     relative = F.substring("path", F.locate(base, F.col("path")) + len(base), F.length("path"))
+    revision = F.substring_index(relative, "/", 1)
+    file_path = F.substring(relative, F.length(revision) + 2, F.length("path"))
     return stream.filter(is_source_path(F.col("path"))).select(
-        relative.alias("file_path"), F.col("modificationTime").alias("modified"), "content"
+        file_path.alias("file_path"), revision.alias("revision"), "content"
     )
 
 
@@ -38,9 +42,11 @@ def keep_events(root: str, table: str, checkpoint: str, spark: SparkSession) ->
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        events = parse_sources(batch.select("file_path", "content"))
-        versions = batch.select("file_path", "modified", F.md5("content").alias("content_hash"))
-        events.join(versions, "file_path").write.mode("overwrite").parquet(f"{table}/batch={number}")
+        # One version per path and batch: the newest.
+        newest = batch.groupBy("file_path").agg(F.max("revision").alias("revision"))
+        current = batch.join(newest, ["file_path", "revision"])
+        events = parse_sources(current.select("file_path", "content"))
+        events.join(newest, "file_path").write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return (
         source_stream(spark, root).writeStream.foreachBatch(write)
@@ -51,8 +57,6 @@ def keep_events(root: str, table: str, checkpoint: str, spark: SparkSession) ->
 def latest_events(spark: SparkSession, table: str) -> DataFrame:
     """The events of every file as of its last version."""
     stored = spark.read.parquet(table)
-    newest = stored.groupBy("file_path").agg(F.max(F.struct("batch", "modified")).alias("newest"))
-    current = stored.join(newest, "file_path").filter(
-        (F.col("batch") == F.col("newest.batch")) & (F.col("modified") == F.col("newest.modified"))
-    )
+    newest = stored.groupBy("file_path").agg(F.max("revision").alias("revision"))
+    current = stored.join(newest, ["file_path", "revision"])
     return current.select(*model.SYNTAX_SCHEMA.fieldNames())
