@@ -172,6 +172,10 @@ class KnowledgeBase:
     def top_functions(self, problem: str, k: int = 10) -> DataFrame:
         return relevance.top_functions(self.relevance(problem), k)
 
+    def save_ranking(self, ranked: DataFrame, path: str) -> None:
+        """Write a ranking as JSON; it has at most ``top_k`` rows, so one file holds it."""
+        ranked.coalesce(1).write.mode("overwrite").json(path)
+
     # -- storage ---------------------------------------------------------------------------
 
     def export(self, path: str) -> None:

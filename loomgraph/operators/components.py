@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.lookups import BROADCAST_ROWS, salted_lookup
-from loomgraph.operators.paths import HOPS, Arcs, prepare, relax
+from loomgraph.operators.paths import HOPS, Arcs, prepare
 from loomgraph.session import cut_lineage
 
 _MAX_ROUNDS = 100
@@ -31,7 +31,7 @@ def _pointers(numbers: DataFrame, arcs: Arcs, size: int) -> DataFrame:
     state = cut_lineage(numbers.select(F.col("n").alias("id"), F.col("n").alias("f"), F.col("n").alias("gf")))
     known = None
     for _ in range(_MAX_ROUNDS):
-        pulls = relax(arcs, state.select(F.col("id").alias("src"), "gf"), size)
+        pulls = arcs.leaving(state.select(F.col("id").alias("src"), "gf"), size)
         lowest = pulls.groupBy(F.col("dst").alias("id")).agg(F.min("gf").alias("low"))
         offers = state.join(lowest, "id", "left").select(
             F.inline(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import model
 from loomgraph.operators.lookups import BROADCAST_ROWS, hot_keys, repeat_rows, spread_rows
-from loomgraph.session import cut_lineage
+from loomgraph.session import bucketed, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -52,37 +52,36 @@ class Weights:
 HOPS = Weights(tenths=(), default=1)
 
 
-@dataclass(frozen=True)
 class Arcs:
-    """``src, dst, w`` laid out by source, with the sources whose arcs are spread out."""
+    """``src, dst, w`` written once, for repeated joins on ``src``."""
 
-    rows: DataFrame
-    hot: dict[int, int]
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self._placed: tuple[DataFrame, dict[int, int]] | None = None
 
+    def leaving(self, frontier: DataFrame, count: int) -> DataFrame:
+        """Arcs whose ``src`` is in ``frontier``, which has ``count`` rows.
 
-def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = True) -> Arcs:
-    """Lay the edges out once for repeated joins on ``src``.
+        A small frontier is broadcast.  The first large one lays the arcs out in
+        buckets by source, the arcs of a hub over several; from then on a round
+        shuffles the frontier alone.
+        """
+        if count <= BROADCAST_ROWS:
+            return self.rows.join(F.broadcast(frontier), "src")
+        if self._placed is None:
+            hot = hot_keys(self.rows, ["src"])
+            self._placed = bucketed(spread_rows(self.rows, hot, ["src"], F.xxhash64("dst")), ["src", "_salt"]), hot
+        placed, hot = self._placed
+        return placed.join(repeat_rows(frontier, hot, ["src"]), ["src", "_salt"])
 
-    The edges of a hub are split over several partitions; the layout survives
-    the checkpoint, so later rounds move only the frontier.
-    """
+
+def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = True) -> Arcs:
+    """The lightest edge of every ordered pair."""
     kind = F.col("type") if "type" in edges.columns else F.lit(None).cast("string")
     weighted = edges.select("src", "dst", weights.column(kind).cast("int").alias("w")).filter("src <> dst")
     if not directed:
         weighted = weighted.unionAll(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    hot = hot_keys(weighted, ["src"])
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = spread_rows(weighted, hot, ["src"], F.xxhash64("dst")).repartition(parts, "src", "_salt")
-    # Parallel edges of a pair lie in one partition now: this needs no further shuffle.
-    lightest = placed.groupBy("src", "_salt", "dst").agg(F.min("w").alias("w"))
-    return Arcs(cut_lineage(lightest), hot)
-
-
-def relax(arcs: Arcs, frontier: DataFrame, rows: int) -> DataFrame:
-    """Edges leaving the frontier: broadcast while it is small, co-partitioned after."""
-    if rows <= BROADCAST_ROWS:
-        return arcs.rows.join(F.broadcast(frontier), "src")
-    return arcs.rows.join(repeat_rows(frontier, arcs.hot, ["src"]), ["src", "_salt"])
+    return Arcs(cut_lineage(weighted.groupBy("src", "dst").agg(F.min("w").alias("w"))))
 
 
 def search(
@@ -109,7 +108,7 @@ def search(
         if reached is not None:
             frontier = frontier.filter(F.col("dist") < reached)
         number += 1
-        step = relax(arcs, frontier.select(F.col("id").alias("src"), F.col("dist").alias("d")), rows)
+        step = arcs.leaving(frontier.select(F.col("id").alias("src"), F.col("dist").alias("d")), rows)
         found = step.select(
             F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("dist"),
             F.col("src").alias("parent"), F.lit(number).alias("round"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Write ``df`` to the checkpoint folder in buckets by ``keys``.
+
+    Joins on these keys then shuffle their other side only.  (A plain checkpoint
+    forgets its partitioning under adaptive execution.)
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"buckets_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    placed = df.repartition(parts, *keys)
+    placed.write.format("parquet").bucketBy(parts, *keys).option("path", folder).saveAsTable(name)
+    table = spark.table(name)
+    # Only the catalog entry goes; the files stay with the folder.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def widen(scan: DataFrame) -> DataFrame:
     """Spread a plain table scan over all cores before costly work per row.
 

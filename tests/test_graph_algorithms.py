@@ -139,3 +139,13 @@ def test_heavy_keys_are_spread_and_results_stay(spark, monkeypatch):
     monkeypatch.setattr(paths, "BROADCAST_ROWS", 0)
     got = paths.distances_from(nodes, edges, "hub").collect()
     assert len(got) == 301 and {r.distance for r in got} == {0.0, 1.2}
+
+
+def test_large_frontiers_leave_the_arcs_in_place(spark, monkeypatch):
+    monkeypatch.setattr(paths, "BROADCAST_ROWS", 0)
+    nodes, edges = _graph(spark, ["a", "b"], [("a", "b", "CALLS")])
+    arcs = paths.prepare(edges)
+    joined = arcs.leaving(spark.range(10).selectExpr("string(id) AS src", "0 AS d"), 10)
+    plan = joined._jdf.queryExecution().toString().split("Physical Plan")[1]
+    assert plan.count("Exchange hashpartitioning") <= 1
+    assert joined.count() == 0
