@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import packing, piece_offsets, token_counts
+from loomgraph.llm import packing, piece_offsets, quality_mcd, sql_twins, token_counts
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -18,6 +18,15 @@ def register(fn, sql: str | None = None):
     return fn
 
 
+def op2_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the robust estimates for every document."""
+    judged = quality_mcd.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", *quality_mcd.COUNTS, "base_failed", "kept")
+
+
+register(op2_quality_outliers, sql_twins.quality_sql())
+
+
 @register
 def op4_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their decoding, as digests."""
