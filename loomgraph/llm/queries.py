@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import packing, piece_offsets, quality_mcd, sql_twins, token_counts
+from loomgraph.llm import packing, piece_offsets, quality_mcd, sql_twins, token_counts, warc_zstd
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -55,3 +55,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), scratch_folder(spark, "token_counts"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN first_id IS NOT NULL AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (d)"""
+
+
+def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to dictionary-compressed archives and read back from them."""
+    folder = scratch_folder(spark, "warc")
+    warc_zstd.archive_pages(table(spark, sf_dir, "pages"), folder)
+    return warc_zstd.page_records(spark, folder)
+
+
+register(op8_warc_zstd, _WARC_SQL)
