@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import packing, piece_offsets, quality_mcd, sql_twins, token_counts, warc_zstd
+from loomgraph.llm import packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, warc_zstd
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -74,3 +74,9 @@ def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op8_warc_zstd, _WARC_SQL)
+
+
+@register
+def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    return posting_ann.nearest(table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
