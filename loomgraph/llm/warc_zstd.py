@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import whole_text
+from loomgraph.llm.shared import whole_text, written
 
 ship_by_value(__name__)
 
@@ -40,6 +40,7 @@ MOST_BYTES = 64 << 20
 #: Records and bytes that a dictionary is trained on, and its size.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 4 << 20, 64 << 10
 LEVEL = 3
+_READ_BYTES = 8 << 10
 #: A skippable frame with this number holds the dictionary of a .warc.zst file.
 DICTIONARY_FRAME = 0x184D2A5D
 _FRAME = "<II"
@@ -49,20 +50,28 @@ _FILES = "path string, records bigint, bytes bigint"
 _RECORDS = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload binary, path string, offset bigint"
 
 
-def planned(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id, url, payload, payload_digest, refers_to``; ``refers_to`` only for revisits."""
-    rows = pages.select(
-        F.col(key).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(whole_text(html), "UTF-8").alias("payload"),
-    ).withColumn("payload_digest", F.sha2("payload", 256))
-    known = pages.select(F.sha2(F.encode(whole_text(html), "UTF-8"), 256).alias("payload_digest"), F.octet_length(whole_text(html)).alias("n"), F.col(key).cast("bigint").alias("page_id"))
+def planned(pages: DataFrame, archives: int, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``page_id, url, payload, payload_digest, refers_to``, dealt to ``archives`` tasks and sorted there.
+
+    ``refers_to`` is set for revisits only.  Payloads are shuffled once; the revisits are found
+    from digests and join them in place.
+    """
+    page_id, payload = F.col(key).cast("bigint").alias("page_id"), F.encode(whole_text(html), "UTF-8")
+    digest = F.sha2(payload, 256).alias("payload_digest")
+    known = pages.select(page_id, digest, F.octet_length(payload).alias("n")).filter(F.col("n") >= MIN_REVISIT)
     firsts = (
-        known.filter(F.col("n") >= MIN_REVISIT).groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-        .filter("copies > 1 AND first_id IS NOT NULL").drop("copies")
+        known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies"))
+        .filter("copies > 1 AND refers_to IS NOT NULL").drop("copies")
+    )
+    revisits = (
+        known.join(firsts, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+        .select(F.col("page_id").alias("rid"), F.col("payload_digest").alias("rdigest"), "refers_to").distinct()
     )
-    met = rows.join(firsts, "payload_digest", "left")
-    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return met.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("first_id")).alias("refers_to"))
+    rows = pages.select(page_id, F.col(url).cast("string").alias("url"), payload.alias("payload"), digest)
+    dealt = rows.repartition(archives, "page_id", "payload_digest")
+    here = F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("payload_digest") == F.col("rdigest"))
+    met = dealt.join(revisits.repartition(archives, "rid", "rdigest"), here, "left")
+    return met.select("page_id", "url", "payload", "payload_digest", "refers_to").sortWithinPartitions("page_id", "payload_digest", "refers_to")
 
 
 def _header_text(value: str) -> str:
@@ -139,23 +148,31 @@ def archive_records(content: bytes) -> Iterator[tuple[int, bytes]]:
     at = 8 + size
     view = memoryview(content)
     while at < len(content):
-        # The frame says how long its record is; what lies behind it is found by the reader.
-        one = reader.decompressobj()
-        record = one.decompress(view[at:])
-        rest = len(one.unused_data)
-        yield at, record
-        at = len(content) - rest
-
-
-def write_archives(plan: DataFrame, folder: str, archives: int) -> DataFrame:
-    """Write the archives below ``folder`` (a URI every executor can write to); ``path, records, bytes`` of each."""
+        # Only the reader knows where a frame ends, so it gets a little at a time.
+        one, parts, stop = reader.decompressobj(), [], at
+        while not one.eof:
+            if stop >= len(content):
+                raise ValueError(f"the record at {at} is cut off")
+            parts.append(one.decompress(view[stop : stop + _READ_BYTES]))
+            stop = min(stop + _READ_BYTES, len(content))
+        yield at, b"".join(parts)
+        at = stop - len(one.unused_data)
+
+
+def write_archives(plan: DataFrame, folder: str) -> DataFrame:
+    """Write an archive, or some, per task below ``folder`` (a URI every executor can write to).
+
+    The rows are ``path, records, bytes`` of each archive.  A task's rows are the same whenever it
+    runs, so a second run writes the same files.
+    """
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
 
-    def stage(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         store, root = _store(folder)
-        held, size, done = [], 0, []
-        number = None
+        number, held, size, done = TaskContext.get().partitionId(), [], 0, []
 
         def flush() -> None:
             content = archive_bytes(held)
@@ -167,26 +184,18 @@ def write_archives(plan: DataFrame, folder: str, archives: int) -> DataFrame:
             done.append((name.rpartition("/")[2], len(held), len(content)))
             held.clear()
 
-        for batch in frames:
-            columns = [batch.column(n).to_pylist() for n in range(6)]
-            for archive, page_id, url, payload, digest, refers_to in zip(*columns, strict=True):
-                if held and (archive != number or size >= MOST_BYTES):
+        for batch in batches:
+            for row in zip(*(batch.column(n).to_pylist() for n in range(5)), strict=True):
+                if held and size >= MOST_BYTES:
                     flush()
                     size = 0
-                    if archive != number:
-                        yield _rows(done, _FILES)
-                        done.clear()
-                number = archive
-                held.append(record_bytes(page_id, url, payload, digest, refers_to))
+                held.append(record_bytes(*row))
                 size += len(held[-1])
         if held:
             flush()
         yield _rows(done, _FILES)
 
-    archive = F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(archives)).cast("int").alias("archive")
-    dealt = plan.select(archive, "page_id", "url", "payload", "payload_digest", "refers_to")
-    dealt = dealt.repartition(archives, "archive").sortWithinPartitions("archive", "page_id", "payload_digest", "refers_to")
-    return dealt.mapInArrow(stage, _FILES)
+    return plan.mapInArrow(stage, _FILES)
 
 
 def _store(folder: str):
@@ -237,12 +246,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 def archive_pages(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """Write ``pages`` to archives below ``folder``; returns the list of files, already written."""
     spark = pages.sparkSession
-    plan = planned(pages, **columns)
     html = columns.get("html", "html")
     total = pages.agg(F.sum(F.octet_length(whole_text(html)))).first()[0] or 0
-    archives = max(1, -(-total // ARCHIVE_BYTES))
+    plan = planned(pages, max(1, -(-total // ARCHIVE_BYTES)), **columns)
     manifest = f"{folder.rstrip('/')}/manifest"
-    write_archives(plan, f"{folder.rstrip('/')}/archives", archives).write.mode("overwrite").parquet(manifest)
+    write_archives(plan, f"{folder.rstrip('/')}/archives").write.mode("overwrite").parquet(manifest)
     return spark.read.schema(_FILES).parquet(manifest)
 
 
@@ -250,7 +258,7 @@ def page_records(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has its response's length."""
     records = read_archives(spark, f"{folder.rstrip('/')}/archives", payloads=False)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    own = records.select(*columns)
+    own = written(records.select(*columns), "warc_records")
     lengths = own.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
     met = own.join(lengths, "payload_digest", "left")
     return met.withColumn("payload_bytes", F.coalesce("full", "payload_bytes")).select(*columns)
