@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, warc_zstd
+from loomgraph.llm import packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, unit_dedup, warc_zstd
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -80,3 +80,24 @@ register(op8_warc_zstd, _WARC_SQL)
 def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest other vectors of every vector whose id is divisible by 20."""
     return posting_ann.nearest(table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
+
+
+_UNITS_SQL = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\n.!?]|[.!?]+[^\n.!? ])*(?:[.!?]+ |[.!?]*\n|[.!?]*$)') AS us FROM documents),
+u AS (SELECT doc_id, unnest(us) AS u, unnest(generate_series(1, len(us))) AS i FROM cut),
+n AS (SELECT *, lower(trim(regexp_replace(u, '\s+', ' ', 'g'))) AS k, sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u WHERE u <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS place, len(string_split(k, ' ')) AS words FROM n),
+m AS (SELECT *, words >= 6 AND place > 1 AS gone FROM r),
+a AS (SELECT doc_id, string_agg(u, '' ORDER BY i) FILTER (NOT gone) AS kept,
+  string_agg((e - length(u)) || ':' || e, ',' ORDER BY i) FILTER (gone) AS spans, count(*) FILTER (gone) AS n FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(kept, '') AS text, coalesce(n, 0) AS n_removed, coalesce(spans, '') AS removed_spans FROM documents LEFT JOIN a USING (doc_id)"""
+
+
+def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that an earlier document, or itself before, holds."""
+    found = unit_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    span = F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("removed").cast("bigint").alias("n_removed"), F.array_join(span, ",").alias("removed_spans"))
+
+
+register(op10_unit_dedup, _UNITS_SQL)
