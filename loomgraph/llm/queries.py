@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, unit_dedup, warc_zstd
+from loomgraph.llm import bag_minhash, packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, unit_dedup, warc_zstd
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -101,3 +101,9 @@ def op10_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op10_unit_dedup, _UNITS_SQL)
+
+
+@register
+def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
