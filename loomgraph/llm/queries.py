@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bag_minhash, packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, unit_dedup, warc_zstd
+from loomgraph.llm import bag_minhash, chat_snapshots, license_scan, packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, unit_dedup, warc_zstd
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -107,3 +107,26 @@ register(op10_unit_dedup, _UNITS_SQL)
 def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+_SNAPSHOT_SQL = """
+WITH c AS (SELECT conv_id, list(role || chr(1) || text ORDER BY turn, role, text) AS l,
+  string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(len(l) AS BIGINT) AS n_turns, t AS text FROM c AS a
+WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.l[1] = a.l[1] AND (len(b.l) > len(a.l) AND b.l[1:len(a.l)] = a.l OR b.l = a.l AND b.conv_id < a.conv_id))"""
+
+
+def op9_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that are no prefix of another, rendered."""
+    return chat_snapshots.collapse(table(spark, sf_dir, "conversations"))
+
+
+register(op9_chat_snapshots, _SNAPSHOT_SQL)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences whose notices each document holds."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+register(op1_license_scan, sql_twins.license_sql())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from loomgraph.llm import license_scan
 from loomgraph.llm import quality_mcd as mcd
 
 _D = len(mcd._XS)
@@ -88,3 +89,21 @@ def quality_sql() -> str:
     ctes.append(f"verdicts AS (SELECT doc_id, ({_distance_sql()}) <= {mcd.CUTOFF}::DOUBLE AS kept FROM vectors v JOIN found{mcd.STEPS} f {on})")
     return "WITH " + ",\n".join(ctes) + f"""
         SELECT doc_id, {', '.join(mcd.COUNTS)}, base_failed, coalesce(v.kept, false) AS kept FROM judged LEFT JOIN verdicts v USING (doc_id)"""
+
+
+def license_sql() -> str:
+    """Containment in every window of every text, without signatures."""
+    rows = []
+    for name, text in license_scan.TEMPLATES.items():
+        words = license_scan.template_words(text)
+        parts = dict.fromkeys(" ".join(words[i : i + 5]) for i in range(len(words) - 4))
+        rows += [f"('{name}', {license_scan.stride_of(len(parts))}, {len(parts)}, '{p}')" for p in parts]
+    return f"""WITH templates(license, stride, n, part) AS (VALUES {', '.join(rows)}),
+        texts AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+        parts AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' '))) AS part,
+            unnest(generate_series(0, len(ws) - 5)) AS p FROM texts WHERE len(ws) >= 5),
+        hits AS (SELECT doc_id, license, stride, n, part, p // stride AS w FROM parts JOIN templates USING (part)),
+        placed AS (SELECT doc_id, license, stride, n, part, w FROM hits UNION SELECT doc_id, license, stride, n, part, w - 1 FROM hits WHERE w > 0),
+        counted AS (SELECT doc_id, license, stride, n, w, count(DISTINCT part) AS c FROM placed GROUP BY ALL HAVING count(DISTINCT part) >= {license_scan.CONTAINMENT} * n)
+        SELECT doc_id, license, max(c) AS n_matched, CAST(n AS BIGINT) AS n_template, CAST(min(w * stride) AS BIGINT) AS first_word
+        FROM counted GROUP BY doc_id, license, n"""
