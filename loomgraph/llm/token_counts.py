@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import whole_text
+from loomgraph.llm.shared import whole_text, written
 from loomgraph.llm.word_cache import JsonTokenizer, worker_once
 
 ship_by_value(__name__)
@@ -71,4 +71,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id
     )
     encode_counts(misses, tokenizer).withColumn("tokenizer_digest", F.lit(version)).write.partitionBy("tokenizer_digest").mode("append").parquet(cache)
     rows = docs.select(F.col(key), F.sha2(body, 256).alias("content_digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
-    return rows.join(stored_counts(spark, cache, version), "content_digest").select(key, "n_bytes", "n_tokens")
+    # Read from a table of their own, the counts leave the copies of one text free to be split over tasks.
+    return rows.join(written(stored_counts(spark, cache, version), "known_counts"), "content_digest").select(key, "n_bytes", "n_tokens")
