@@ -30,7 +30,7 @@ ship_by_value(__name__)
 
 SPACE = "▁"
 #: Characters of source text per Arrow batch of results.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 _SPACED = re.compile(" +[^ ]*")
 _BPE, _USER_DEFINED, _BYTE = 2, 4, 6
 
@@ -201,8 +201,9 @@ def _list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat).cast(kind))
 
 
-def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", offsets: bool = True) -> DataFrame:
-    """``key, ids`` of every row, and with ``offsets`` the source bytes ``starts, ends`` of every piece."""
+def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", offsets: bool = True, decode: bool = False) -> DataFrame:
+    """``key, ids`` of every row, with ``offsets`` the source bytes ``starts, ends`` of every piece, with ``decode`` the ids' text."""
+    names = [key, "ids", *["starts", "ends"] * offsets, *["decoded"] * decode]
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_once(("pieces", model), lambda: PieceEncoder(model))
@@ -213,10 +214,12 @@ def encode_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str =
                 columns = [batch.column(0).slice(first, last - first), _list_column([f[0] for f in found], pa.int32())]
                 if offsets:
                     columns += [_list_column([f[n] for f in found], pa.int64()) for n in (1, 2)]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "starts", "ends"][: len(columns)])
+                if decode:
+                    columns.append(pa.array([encoder.library.decode(f[0].tolist()) for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
-    schema += ", starts array<bigint>, ends array<bigint>" * offsets
+    schema += ", starts array<bigint>, ends array<bigint>" * offsets + ", decoded string" * decode
     return docs.select(F.col(key), whole_text(text).alias("text")).mapInArrow(stage, schema)
 
 

@@ -31,9 +31,8 @@ register(op2_quality_outliers, sql_twins.quality_sql())
 def op4_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and their decoding, as digests."""
     model = tokenizer_path("piece_bpe_32k.model")
-    encoded = piece_offsets.encode_pieces(table(spark, sf_dir, "documents"), model)
-    decoded = piece_offsets.decode_pieces(encoded, model)
-    return decoded.select(
+    encoded = piece_offsets.encode_pieces(table(spark, sf_dir, "documents"), model, decode=True)
+    return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
