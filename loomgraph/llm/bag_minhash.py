@@ -303,7 +303,8 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     # Another text of the bucket in each bucket, as nodes are mixed with the bucket's hash.
     pivots = buckets.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(F.col("h"))).alias("m"), F.count("*").alias("n"))
-    pivots = pivots.filter("n > 1").select("h", F.col("m").bitwiseXOR(F.col("h")).alias("pivot"), "n")
+    # Written, as a join with a plain table can split the rows of a large bucket.
+    pivots = written(pivots.filter("n > 1").select("h", F.col("m").bitwiseXOR(F.col("h")).alias("pivot"), "n"), "pivots")
     shared = written(buckets.join(pivots, "h"), "shared_buckets")
     met = shared.filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     sig = nodes.select("node", "sig")
@@ -318,7 +319,7 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     later = ranked.filter(F.col("r") > FIRST_PIVOTS).join(of("x"), "x", "left").join(of("y"), "y", "left").filter(own("x") != own("y")).select("x", "y")
     classed = shared.filter("n > 2").join(found, "node", "left").select("h", "band", "node", "n", F.coalesce("class", "node").alias("class"))
     mixed_h = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("h")
-    others = _cells(classed.join(mixed_h, "h"), nodes)
+    others = _cells(classed.join(written(mixed_h, "mixed_buckets"), "h"), nodes)
     rest = written(later.union(others).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "later_pairs")
     return first.union(verified(rest, docs, text, similarity))
 
@@ -328,7 +329,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     found = classes(links(docs, text, similarity))
     rows = docs.select(F.col(key), F.xxhash64(whole_text(text)).alias("node"))
     placed = rows.join(found, "node", "left").select(key, "node", F.coalesce("class", "node").alias("class"))
-    names = placed.groupBy("class").agg(F.min(key).alias("class_id"))
+    names = written(placed.groupBy("class").agg(F.min(key).alias("class_id")), "class_names")
     return placed.join(names, "class").select(key, "node", "class_id")
 
 

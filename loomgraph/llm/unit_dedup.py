@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.shipping import ship_by_value
+from loomgraph.llm.shared import written
 from loomgraph.llm.word_cache import chunks
 
 ship_by_value(__name__)
@@ -86,6 +87,8 @@ def remove_repeats(
         raise ValueError(f"the input has a column {removed}; name another one")
     rows = _digest_rows(docs, key, text, unit, min_words)
     keepers = rows.groupBy("h1", "h2").agg(F.min("key").alias("first_key"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, as a join with a plain table can split the rows of a unit that very many documents hold.
+    keepers = written(keepers, "kept_units")
     gone = rows.join(keepers, ["h1", "h2"]).filter(~F.col("key").eqNullSafe(F.col("first_key")))
     lost = gone.groupBy(F.col("key").alias("_gone_key")).agg(F.collect_set("h1").alias("_gone"))
     met = docs.withColumn(text, F.col(text).cast("string")).join(lost, docs[key].eqNullSafe(F.col("_gone_key")), "left")

@@ -63,6 +63,7 @@ def planned(pages: DataFrame, archives: int, key: str = "page_id", url: str = "u
         known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies"))
         .filter("copies > 1 AND refers_to IS NOT NULL").drop("copies")
     )
+    firsts = written(firsts, "first_payloads")
     revisits = (
         known.join(firsts, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
         .select(F.col("page_id").alias("rid"), F.col("payload_digest").alias("rdigest"), "refers_to").distinct()
