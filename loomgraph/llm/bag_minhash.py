@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import whole_text, written
+from loomgraph.llm.shared import forget, whole_text, written
 
 ship_by_value(__name__)
 
@@ -251,12 +251,14 @@ def classes(links: DataFrame) -> DataFrame:
     while True:
         total = state.agg(F.sum(F.col("class").cast("decimal(38,0)"))).first()[0]
         if total == known:
+            forget(edges)
             return state
         known, turn = total, turn + 1
         around = edges.join(state.toDF("b", "near"), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         pulled = state.join(around, "node").select("node", F.least("class", "near").alias("class"))
         jumped = pulled.join(state.toDF("class", "further"), "class", "left")
-        state = written(jumped.select("node", F.least("class", "further").alias("class")), f"classes{turn}")
+        before, state = state, written(jumped.select("node", F.least("class", "further").alias("class")), f"classes{turn}")
+        forget(before)
 
 
 def _cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import whole_text, written
+from loomgraph.llm.shared import forget, whole_text, written
 from loomgraph.llm.word_cache import JsonTokenizer, worker_once
 
 ship_by_value(__name__)
@@ -205,7 +205,7 @@ def _epoch(state: DataFrame, epoch: int, capacity: int) -> DataFrame:
 
 
 def _pack_round(items: DataFrame, shards: int, capacity: int, name: str) -> DataFrame:
-    """``uid, length, shard, bin, fill`` of the best packing of every shard."""
+    """``uid, length, shard, bin, fill`` of the best packing of every shard, written."""
     parts = max(1, min(shards * ISLANDS, 4 * items.sparkSession.sparkContext.defaultParallelism, 10_000))
     shard = F.pmod(F.xxhash64("uid", F.lit(name)), F.lit(shards)).alias("shard")
     start = (
@@ -222,10 +222,13 @@ def _pack_round(items: DataFrame, shards: int, capacity: int, name: str) -> Data
     for epoch in range(1, EPOCHS):
         leaving = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("best").alias("migrant"))
         met = state.drop("n_bins").join(leaving, ["shard", "island"]).repartition(parts, "shard", "island")
-        state = written(_epoch(met, epoch, capacity), f"{name}_epoch{epoch}")
+        before, state = state, written(_epoch(met, epoch, capacity), f"{name}_epoch{epoch}")
+        forget(before)
     won = state.groupBy("shard").agg(F.min_by(F.struct("uids", "lengths", "best"), F.struct("n_bins", "island")).alias("won"))
     flat = won.select("shard", F.inline(F.arrays_zip("won.uids", "won.lengths", "won.best"))).toDF("shard", "uid", "length", "bin")
-    return flat.withColumn("fill", F.sum("length").over(Window.partitionBy("shard", "bin")))
+    packed = written(flat.withColumn("fill", F.sum("length").over(Window.partitionBy("shard", "bin"))), f"{name}_best")
+    forget(state)
+    return packed
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -236,7 +239,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     count = left.count()
     while count:
         shards = -(-count // shard_items)
-        packed = written(_pack_round(left, shards, capacity, f"pack{turn}"), f"packed{turn}")
+        packed = _pack_round(left, shards, capacity, f"pack{turn}")
         keep = F.lit(True) if shards == 1 else F.col("fill") >= F.lit(WELL_FILLED * capacity)
         opened = packed.filter(~keep).count()
         if opened > 0.5 * count:

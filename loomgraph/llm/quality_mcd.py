@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import whole_text, written
+from loomgraph.llm.shared import forget, whole_text, written
 
 #: Unit of the fixed-point statistics.
 SCALE = 1024
@@ -193,7 +193,8 @@ def estimates(vectors: DataFrame, n_groups: int) -> DataFrame:
         radius = near.groupBy("elang", "esource").agg(F.expr(f"percentile_disc({CORE_SHARE}) WITHIN GROUP (ORDER BY rank)").alias("radius"))
         radius = written(radius, f"mcd_radius{step}")
         core = _with_groups(near, radius, ["elang", "esource"], n_groups).filter("rank <= radius")
-        found = written(_inverse_root(_moments(core)), f"mcd{step}")
+        before, found = found, written(_inverse_root(_moments(core)), f"mcd{step}")
+        forget(before, radius)
     return found
 
 

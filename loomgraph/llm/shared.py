@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     folder = scratch_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    found = df.sparkSession.read.schema(df.schema).parquet(folder)
+    found.scratch_folder = folder
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(column: str = "text") -> Column:
@@ -44,15 +52,3 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a scratch folder through Spark's own file system layer."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def slices(batch, limit: int) -> Iterator:
-    """Parts of an Arrow batch of at most ``limit`` rows."""
-    for start in range(0, batch.num_rows, limit):
-        yield batch.slice(start, limit)
