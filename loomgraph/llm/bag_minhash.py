@@ -53,7 +53,7 @@ BLOCK_TEXTS = 256
 #: Node lists up to this length (8 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
 #: Words handled at a time in a worker.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 
 _U = np.uint64
 
