@@ -38,6 +38,7 @@ class KnowledgeBase:
         self.hyper = relevance.Hyperparameters()
         nodes = spark.createDataFrame([], model.NODE_SCHEMA)
         self.graph = PropertyGraph(nodes, spark.createDataFrame([], model.EDGE_SCHEMA))
+        self.artifact_paths: list[str] = []
         self.syntax: DataFrame | None = None
         self.files: DataFrame | None = None
 
@@ -54,12 +55,13 @@ class KnowledgeBase:
                 progress(step, text)
 
         tell(1, "scan")
-        files = read_source_tree(self.spark, path)
+        files = read_source_tree(self.spark, path, self.published)
         self.files = cut_lineage(content_state(files))
         tell(2, "parse")
         self.syntax = cut_lineage(parse_sources(files))
         tell(3, "extract")
         self._load_syntax()
+        self.artifact_paths = []
         if artifacts:
             tell(4, "artifacts")
             self.add_artifacts(artifacts)
@@ -79,8 +81,11 @@ class KnowledgeBase:
 
     def add_artifacts(self, path: str) -> dict[str, int]:
         """Add repositories, pull requests, issues and commits; files they touch must exist."""
-        documents = artifact_source.capped(artifact_source.read_artifacts(self.spark, path))
-        nodes, edges = artifact_source.artifact_graph(documents)
+        documents = artifact_source.read_artifacts(self.spark, path)
+        documents = artifact_source.capped(documents) if self.published else artifact_source.scanned(documents)
+        nodes, edges = artifact_source.artifact_graph(documents, self.published)
+        if path not in self.artifact_paths:
+            self.artifact_paths.append(path)
         nodes = cut_lineage(nodes)
         added = self.graph.new_ids(nodes).count()
         ordered = "ord" in self.graph.nodes.columns
@@ -94,10 +99,13 @@ class KnowledgeBase:
         return {"entities_added": added, "relationships_added": pairs}
 
     def update_project(self, path: str) -> dict[str, int]:
-        """Re-read ``path``, parse only files whose content changed and rebuild the links."""
+        """Re-read ``path``, parse only files whose content changed and rebuild the links.
+
+        The artifact documents that were added are read again, so they stay and are refreshed.
+        """
         if self.syntax is None or self.files is None:
             return self.analyze_project(path)
-        files = read_source_tree(self.spark, path)
+        files = read_source_tree(self.spark, path, self.published)
         now = cut_lineage(content_state(files))
         feed = cut_lineage(incremental.change_feed(self.files, now, python_only=False))
         counts = {r.change_type: r["count"] for r in feed.groupBy("change_type").count().collect()}
@@ -106,6 +114,8 @@ class KnowledgeBase:
         self.syntax = cut_lineage(incremental.refreshed(self.syntax, cut_lineage(parse_sources(changed)), deleted))
         self.files = now
         self._load_syntax()
+        for documents in self.artifact_paths:
+            self.add_artifacts(documents)
         return {f"files_{kind}": counts.get(kind, 0) for kind in ("added", "modified", "deleted")}
 
     def summary(self) -> dict[str, int]:
@@ -170,7 +180,7 @@ class KnowledgeBase:
         return relevance.rank(self.graph, problem, self.hyper, self.mode, **options)
 
     def top_functions(self, problem: str, k: int = 10) -> DataFrame:
-        return relevance.top_functions(self.relevance(problem), k)
+        return relevance.top_functions(self.relevance(problem, limit=k), k)
 
     def save_ranking(self, ranked: DataFrame, path: str) -> None:
         """Write a ranking as JSON; it has at most ``top_k`` rows, so one file holds it."""

@@ -37,15 +37,19 @@ def _filled(label: str, value: Column) -> Column:
     return F.when(value != "", F.concat(F.lit(label), value))
 
 
-def entity_text(columns: Iterable[str]) -> Column:
-    """``type: name | in file: path | ...`` with empty parts left out."""
+#: Lengths at which the published texts are cut.
+CODE_CUT, PROBLEM_CUT = 500, 2000
+
+
+def entity_text(columns: Iterable[str], cut: int | None = CODE_CUT) -> Column:
+    """``type: name | in file: path | ...`` with empty parts left out; ``cut=None`` keeps the whole code."""
     have = set(columns)
 
     def get(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) if name in have else F.lit("")
 
     code = get("code")
-    snippet = F.when(F.length(code) > 500, F.concat(F.substring(code, 1, 500), F.lit("..."))).otherwise(code)
+    snippet = code if cut is None else F.when(F.length(code) > cut, F.concat(F.substring(code, 1, cut), F.lit("..."))).otherwise(code)
     return F.concat_ws(
         " | ",
         F.when(get("name") != "", F.concat(F.coalesce("type", F.lit("unknown")), F.lit(": "), get("name"))),
@@ -63,10 +67,12 @@ def node_text(columns: Iterable[str]) -> Column:
     return F.trim(F.concat_ws(" ", *parts))
 
 
-def problem_text(text: Column) -> Column:
-    """Whitespace normalised, cut at 2000 characters with an ellipsis."""
+def problem_text(text: Column, cut: int | None = PROBLEM_CUT) -> Column:
+    """Whitespace normalised, cut with an ellipsis; ``cut=None`` keeps the whole text."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > 2000, F.concat(F.substring(flat, 1, 2000), F.lit("..."))).otherwise(flat)
+    if cut is None:
+        return flat
+    return F.when(F.length(flat) > cut, F.concat(F.substring(flat, 1, cut), F.lit("..."))).otherwise(flat)
 
 
 def repository_from_url(url: Column) -> Column:

@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 # A broadcast is asked for only when the row count is known to be below this.
 BROADCAST_ROWS = 200_000
-# Below this estimate no key can hold more than one task handles well.
-SKEW_BYTES = 4 << 30
 # Rows of one key that one task should join.
 ROWS_PER_TASK = 1_000_000
-_TRACKED_KEYS, _REPORTED_KEYS = 20_000, 500
 
 
 def first_by(df: DataFrame, keys: list[str], order: Column, **values: Column) -> DataFrame:
@@ -25,53 +22,43 @@ def first_by(df: DataFrame, keys: list[str], order: Column, **values: Column) ->
     )
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def heavy_keys(rows: DataFrame, keys: list[str], rows_per_task: int | None = None) -> DataFrame:
+    """Every key with more than ``rows_per_task`` rows, and the number of tasks ``_parts`` its rows should spread over.
 
-
-def hot_keys(rows: DataFrame, keys: list[str]) -> dict[int, int]:
-    """Hash of every heavy key and the number of tasks its rows should spread over.
-
-    One pass with a mergeable sketch, which brings back a few hundred counts at
-    most; it is skipped when the input is small.  A heavy key cannot escape the
-    sketch, and naming a light key heavy changes no result.
+    Counts combine on the map side.  No job runs until the lookup does, and ``rows`` should be a
+    stored table, as it is read once more.  At most one key per ``rows_per_task`` rows is heavy.
     """
-    if _estimated_bytes(rows) < SKEW_BYTES:
-        return {}
-    top = F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(_REPORTED_KEYS), F.lit(_TRACKED_KEYS))
-    found = rows.agg(top.alias("top")).first().top or []
-    return {r.item: -(-r["count"] // ROWS_PER_TASK) for r in found if r["count"] > ROWS_PER_TASK}
+    most = ROWS_PER_TASK if rows_per_task is None else rows_per_task
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
+    return counts.select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
 
 
-def parts_of(hot: dict[int, int], keys: list[str]) -> Column:
-    """Number of parts the rows of a key are spread over."""
-    if not hot:
-        return F.lit(1)
-    table = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-    return F.coalesce(table[F.xxhash64(*keys)], F.lit(1))
+def _with_parts(rows: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    # A row per million rows at most: small enough to broadcast.
+    return rows.join(F.broadcast(heavy), keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
 
-def spread_rows(rows: DataFrame, hot: dict[int, int], keys: list[str], spread: Column) -> DataFrame:
-    return rows.withColumn("_salt", F.pmod(spread, parts_of(hot, keys)).cast("int"))
+def spread_rows(rows: DataFrame, heavy: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    return _with_parts(rows, heavy, keys).withColumn("_salt", F.pmod(spread, F.col("_parts")).cast("int")).drop("_parts")
 
 
-def repeat_rows(table: DataFrame, hot: dict[int, int], keys: list[str]) -> DataFrame:
-    return table.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts_of(hot, keys).cast("int") - 1)))
+def repeat_rows(table: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    return _with_parts(table, heavy, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
 
 def salted_lookup(
     rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left", spread: Column | None = None,
-    hot: dict[int, int] | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table``, which holds at most one row per key.
 
-    The rows of a heavy key are spread over as many tasks as they need by
-    ``spread`` (by default a hash of their other columns), and its one row on
-    the other side is repeated for each.  The result equals the plain join.
+    With ``heavy`` (see ``heavy_keys``) the rows of a heavy key are spread over as many tasks as they
+    need by ``spread``, by default a hash of their other columns, and its one row on the other side is
+    repeated for each.  The result equals the plain join.  Without it the join is left to adaptive
+    execution, which splits partitions that turn out large where both sides are plain tables.
     """
-    hot = hot_keys(rows, keys) if hot is None else hot
     others = [c for c in rows.columns if c not in keys]
-    if not hot or (spread is None and not others):
+    if heavy is None or (spread is None and not others):
         return rows.join(table, keys, how)
-    left = spread_rows(rows, hot, keys, F.xxhash64(*others) if spread is None else spread)
-    return left.join(repeat_rows(table, hot, keys), [*keys, "_salt"], how).drop("_salt")
+    left = spread_rows(rows, heavy, keys, F.xxhash64(*others) if spread is None else spread)
+    return left.join(repeat_rows(table, heavy, keys), [*keys, "_salt"], how).drop("_salt")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import model
-from loomgraph.operators.lookups import BROADCAST_ROWS, hot_keys, repeat_rows, spread_rows
+from loomgraph.operators.lookups import BROADCAST_ROWS, heavy_keys, repeat_rows, spread_rows
 from loomgraph.session import bucketed, cut_lineage
 
 
@@ -57,7 +57,7 @@ class Arcs:
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
-        self._placed: tuple[DataFrame, dict[int, int]] | None = None
+        self._placed: tuple[DataFrame, DataFrame] | None = None
 
     def leaving(self, frontier: DataFrame, count: int) -> DataFrame:
         """Arcs whose ``src`` is in ``frontier``, which has ``count`` rows.
@@ -69,10 +69,10 @@ class Arcs:
         if count <= BROADCAST_ROWS:
             return self.rows.join(F.broadcast(frontier), "src")
         if self._placed is None:
-            hot = hot_keys(self.rows, ["src"])
-            self._placed = bucketed(spread_rows(self.rows, hot, ["src"], F.xxhash64("dst")), ["src", "_salt"]), hot
-        placed, hot = self._placed
-        return placed.join(repeat_rows(frontier, hot, ["src"]), ["src", "_salt"])
+            heavy = cut_lineage(heavy_keys(self.rows, ["src"]))
+            self._placed = bucketed(spread_rows(self.rows, heavy, ["src"], F.xxhash64("dst")), ["src", "_salt"]), heavy
+        placed, heavy = self._placed
+        return placed.join(repeat_rows(frontier, heavy, ["src"]), ["src", "_salt"])
 
 
 def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = True) -> Arcs:

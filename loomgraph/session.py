@@ -34,7 +34,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
     context.setCheckpointDir(configured)
@@ -68,8 +68,12 @@ def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
 def widen(scan: DataFrame) -> DataFrame:
     """Spread a plain table scan over all cores before costly work per row.
 
-    A scan that already has a split per core, as any large table does, stays as
-    it is; a small file with one row group would otherwise run in one task.
+    A scan that fills a split per core, as any large table does, stays as it is; a
+    small file with one row group would otherwise run in one task.  The size is what
+    the planner estimates, so nothing runs here; results do not depend on it.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return scan.repartition(cores) if size < cores * split else scan

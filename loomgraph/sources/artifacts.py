@@ -14,26 +14,29 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(model.ARTIFACT_DDL).option("multiLine", True).json(path)
 
 
-def _newest(items: str, limit: int, keep: Column | None = None) -> Column:
-    rows = F.col(items) if keep is None else keep
+def _newest(items: Column, limit: int | None) -> Column:
     newest = F.array_sort(
-        rows,
+        items,
         lambda a, b: F.when(a["updated_at"] > b["updated_at"], -1).when(a["updated_at"] < b["updated_at"], 1).otherwise(0),
     )
-    return F.slice(newest, 1, limit)
+    return newest if limit is None else F.slice(newest, 1, limit)
+
+
+def scanned(
+    artifacts: DataFrame, pulls: int | None = None, issues: int | None = None, commits: int | None = None
+) -> DataFrame:
+    """Pull requests and issues with the most recently updated first, and no issues that
+    are pull requests.  The limits are per repository; without one everything stays."""
+    plain = F.filter("issues", lambda i: i["pull_request"].isNull())
+    columns = {"pulls": _newest(F.col("pulls"), pulls), "issues": _newest(plain, issues)}
+    if commits is not None:
+        columns["commits"] = F.slice("commits", 1, commits)
+    return artifacts.withColumns(columns)
 
 
 def capped(artifacts: DataFrame) -> DataFrame:
-    """What the artifact scans keep of each repository: the most recently updated
-    pull requests and issues, issues that are no pull requests, the first commits."""
-    issues = F.filter("issues", lambda i: i["pull_request"].isNull())
-    return artifacts.withColumns(
-        {
-            "pulls": _newest("pulls", model.MAX_PULLS),
-            "issues": _newest("issues", model.MAX_ISSUES, issues),
-            "commits": F.slice("commits", 1, model.MAX_COMMITS),
-        }
-    )
+    """What the published artifact scans keep of each repository."""
+    return scanned(artifacts, model.MAX_PULLS, model.MAX_ISSUES, model.MAX_COMMITS)
 
 
 def artifact_totals(artifacts: DataFrame) -> DataFrame:
@@ -61,6 +64,22 @@ def _short_sha() -> Column:
     return F.substring("sha", 1, 8)
 
 
+def _pull_id(repository: Column | None) -> Column:
+    number = F.col("number").cast("string")
+    return F.concat(F.lit("pr_"), number) if repository is None else F.concat(F.lit("pr_"), repository, F.lit("#"), number)
+
+
+def _issue_id(repository: Column | None) -> Column:
+    number = F.col("number").cast("string")
+    return F.concat(F.lit("issue_"), number) if repository is None else F.concat(F.lit("issue_"), repository, F.lit("#"), number)
+
+
+def _commit_id(repository: Column | None) -> Column:
+    if repository is None:
+        return F.concat(F.lit("commit_"), _short_sha())
+    return F.concat(F.lit("commit_"), repository, F.lit("@"), F.col("sha"))
+
+
 def repository_nodes(repositories: DataFrame) -> DataFrame:
     """``repositories``: owner, name, full_name, description, language, stars, forks[, error].
 
@@ -81,44 +100,50 @@ def repository_nodes(repositories: DataFrame) -> DataFrame:
     return _nodes(rows, F.col("_id"), F.col("_name"), "repository")
 
 
-def pull_nodes(pulls: DataFrame) -> DataFrame:
+def pull_nodes(pulls: DataFrame, repository: Column | None = None) -> DataFrame:
+    """With ``repository`` ids hold its name; the short published ids are unique within one repository only."""
     number = F.col("number").cast("string")
     name = F.concat(F.lit("PR #"), number, F.lit(": "), _text(F.col("title")))
-    return _nodes(pulls, F.concat(F.lit("pr_"), number), name, "pull_request")
+    return _nodes(pulls, _pull_id(repository), name, "pull_request")
 
 
-def issue_nodes(issues: DataFrame) -> DataFrame:
+def issue_nodes(issues: DataFrame, repository: Column | None = None) -> DataFrame:
     number = F.col("number").cast("string")
     name = F.concat(F.lit("Issue #"), number, F.lit(": "), _text(F.col("title")))
-    return _nodes(issues, F.concat(F.lit("issue_"), number), name, "issue")
+    return _nodes(issues, _issue_id(repository), name, "issue")
 
 
-def commit_nodes(commits: DataFrame) -> DataFrame:
+def commit_nodes(commits: DataFrame, repository: Column | None = None) -> DataFrame:
     name = F.concat(F.lit("Commit "), _short_sha(), F.lit(": "), F.substring("message", 1, 50), F.lit("..."))
-    return _nodes(commits, F.concat(F.lit("commit_"), _short_sha()), name, "commit")
+    return _nodes(commits, _commit_id(repository), name, "commit")
 
 
-def modifies_edges(rows: DataFrame, kind: str) -> DataFrame:
+def modifies_edges(rows: DataFrame, kind: str, repository: Column | None = None) -> DataFrame:
     """Edges from pull requests or commits to the ``.py`` files they changed."""
-    if kind == "pull_request":
-        source = F.concat(F.lit("pr_"), F.col("number").cast("string"))
-    else:
-        source = F.concat(F.lit("commit_"), _short_sha())
+    source = _pull_id(repository) if kind == "pull_request" else _commit_id(repository)
     changed = rows.select(source.alias("src"), F.explode("files_changed").alias("path"))
     return changed.filter(F.col("path").endswith(".py")).select(
         "src", file_id(F.col("path")).alias("dst"), F.lit("MODIFIES").alias("type")
     )
 
 
-def artifact_graph(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all artifacts, one row per node id."""
+def artifact_graph(artifacts: DataFrame, published: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all artifacts, one row per node id.
+
+    Ids hold the repository's name and the whole hash of a commit.  ``published`` gives the short
+    ids, which are meant for one repository: of several rows with an id the first in order of
+    their values stays.
+    """
+    full = F.coalesce("repository.full_name", F.concat_ws("/", "repository.owner", "repository.name"), F.lit("unknown"))
+
     def flat(items: str) -> DataFrame:
-        return artifacts.select(F.explode(items).alias("item")).select("item.*")
+        return artifacts.select(full.alias("_repository"), F.explode(items).alias("item")).select("_repository", "item.*")
 
+    repository = None if published else F.col("_repository")
     pulls, issues, commits = flat("pulls"), flat("issues"), flat("commits")
-    repositories = artifacts.filter("repository IS NOT NULL").select("repository.*")
-    nodes = repository_nodes(repositories)
-    for part in (pull_nodes(pulls), issue_nodes(issues), commit_nodes(commits)):
+    nodes = repository_nodes(artifacts.filter("repository IS NOT NULL").select("repository.*"))
+    for part in (pull_nodes(pulls, repository), issue_nodes(issues, repository), commit_nodes(commits, repository)):
         nodes = nodes.unionByName(part, allowMissingColumns=True)
-    edges = modifies_edges(pulls, "pull_request").unionAll(modifies_edges(commits, "commit"))
-    return nodes.dropDuplicates(["id"]), edges.distinct()
+    edges = modifies_edges(pulls, "pull_request", repository).unionAll(modifies_edges(commits, "commit", repository))
+    row = F.struct(*nodes.columns)
+    return nodes.groupBy("id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"), edges.distinct()

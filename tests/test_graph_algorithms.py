@@ -123,16 +123,15 @@ def test_contained_pairs(spark):
 
 
 def test_heavy_keys_are_spread_and_results_stay(spark, monkeypatch):
-    monkeypatch.setattr(lookups, "SKEW_BYTES", 0)
     monkeypatch.setattr(lookups, "ROWS_PER_TASK", 50)
     rows = spark.range(900).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"), "id"
     )
     table = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, v int")
-    hot = lookups.hot_keys(rows, ["k"])
-    assert list(hot.values()) == [6]
+    heavy = lookups.heavy_keys(rows, ["k"])
+    assert [tuple(r) for r in heavy.collect()] == [("hot", 6)]
     for how in ("left", "inner", "left_semi", "left_anti"):
-        got = lookups.salted_lookup(rows, table, ["k"], how)
+        got = lookups.salted_lookup(rows, table, ["k"], how, heavy=heavy)
         want = rows.join(table, ["k"], how)
         assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     nodes, edges = _graph(spark, ["hub", *[f"n{i}" for i in range(300)]], [("hub", f"n{i}", "CALLS") for i in range(300)])
@@ -149,3 +148,16 @@ def test_large_frontiers_leave_the_arcs_in_place(spark, monkeypatch):
     plan = joined._jdf.queryExecution().toString().split("Physical Plan")[1]
     assert plan.count("Exchange hashpartitioning") <= 1
     assert joined.count() == 0
+
+
+def test_wide_intervals(spark):
+    bounds = [0, 1, 2**48, 2**49 + 1, 2**53 + 1, 2**55 + 12345, 2**60, 2**61 - 1, -(2**60)]
+    intervals = [(a, b, i) for i, (a, b) in enumerate((x, y) for x in bounds for y in bounds if x <= y)]
+    points = [p + d for p in bounds for d in (-1, 0, 1)]
+    got = first_covering(
+        spark.createDataFrame([("k", p) for p in points], "k string, at long"),
+        spark.createDataFrame([("k", *i) for i in intervals], "k string, low long, high long, o int"),
+        ["k"], "at", "low", "high", F.col("o"), F.col("o"), "hit", ["at"],
+    )
+    want = {p: min([o for lo, hi, o in intervals if lo <= p <= hi], default=None) for p in points}
+    assert {r.at: r.hit for r in got.collect()} == want

@@ -76,8 +76,10 @@ def test_project_life_cycle(spark, tmp_path):
     update = base.update_project(str(root))
     assert update == {"files_added": 0, "files_modified": 1, "files_deleted": 1}
     fresh = KnowledgeBase(spark, published=True)
-    fresh.analyze_project(str(root))
+    fresh.analyze_project(str(root), str(tmp_path / "artifacts.json"))
     assert triples(base) == triples(fresh)
+    kinds = {r.type for r in base.graph.nodes.select("type").distinct().collect()}
+    assert {"repository", "pull_request", "issue"} <= kinds
 
 
 def test_ranking_of_toy_graph(spark):
@@ -171,6 +173,7 @@ def test_capped_artifacts(spark, tmp_path):
     capped = artifacts.capped(artifacts.read_artifacts(spark, str(tmp_path / "a.json")))
     row = capped.first()
     assert len(row.pulls) == 200 and row.pulls[0].number == 249 and row.pulls[-1].number == 50
+    assert len(artifacts.scanned(artifacts.read_artifacts(spark, str(tmp_path / "a.json"))).first().pulls) == 250
     nodes, _ = artifacts.artifact_graph(capped.withColumn("issues", F.array().cast(capped.schema["issues"].dataType)))
     assert nodes.filter("type = 'repository'").first().id == "repo_o/n"
 
@@ -200,3 +203,55 @@ def test_source_tree_paths(spark, tmp_path):
     assert Counter(r.language for r in parse_sources(read_source_tree(spark, str(tmp_path / "p"))).filter("kind = 'file'").collect()) == {
         "python": 1, "java": 1}
     assert snapshot.graph_from_lines(spark.createDataFrame([('{"type": "metadata"}',)], "value string")).nodes.count() == 0
+
+
+def test_repositories_keep_their_artifacts_apart(spark, tmp_path):
+    for name in ("one", "two"):
+        document = {
+            "repository": {"owner": "o", "name": name, "full_name": f"o/{name}"},
+            "pulls": [{"number": 1, "title": name, "updated_at": "2024", "files_changed": [f"{name}.py"]}],
+            "issues": [{"number": 2, "title": name, "updated_at": "2024"}],
+            "commits": [{"sha": "12345678" + name, "message": name, "files_changed": [f"{name}.py"]}],
+        }
+        (tmp_path / f"{name}.json").write_text(json.dumps(document))
+    documents = artifacts.read_artifacts(spark, str(tmp_path))
+    nodes, edges = artifacts.artifact_graph(artifacts.scanned(documents))
+    assert nodes.count() == 8 and nodes.select("id").distinct().count() == 8
+    assert {(r.src, r.dst) for r in edges.collect()} == {
+        (f"{kind}_o/{name}{mark}", f"file_{name}_py") for name in ("one", "two") for kind, mark in (("pr", "#1"), ("commit", f"@12345678{name}"))
+    }
+    short, _ = artifacts.artifact_graph(documents, published=True)
+    assert {r.id: r.title for r in short.filter("type = 'pull_request'").collect()} == {"pr_1": "one"}
+
+
+def test_project_below_a_skipped_folder(spark, tmp_path):
+    _write(tmp_path / "build" / "p", {"a.py": "x = 1", "e.py": "", "build/c.py": "y = 1"})
+    root = str(tmp_path / "build" / "p")
+    assert {r.file_path for r in read_source_tree(spark, root).collect()} == {"a.py", "e.py"}
+    assert read_source_tree(spark, root, published=True).count() == 0
+
+
+def test_long_texts_and_long_lists(spark):
+    from loomgraph.functions import text as texts
+
+    row = spark.createDataFrame([("function", "f", "x" * 900)], "type string, name string, code string")
+    assert len(row.select(texts.entity_text(row.columns, None)).first()[0]) > 900 > len(row.select(texts.entity_text(row.columns)).first()[0])
+    assert len(row.select(texts.problem_text(F.repeat("code", F.lit(5)), None)).first()[0]) == 4500
+    nodes = spark.createDataFrame([(f"f{i}", f"login {i}", "function", "") for i in range(40)], "id string, name string, type string, file_path string")
+    base = KnowledgeBase(spark)
+    base.graph = PropertyGraph(nodes, spark.createDataFrame([], "src string, dst string, type string"))
+    assert base.top_functions("login fails", k=30).count() == 30
+
+
+def test_nothing_runs_before_an_action(spark):
+    from loomgraph.plans.catalog import QUERIES
+    from loomgraph.session import widen
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "plans only")
+    QUERIES["name_resolution_first_match"](spark, "/root/testdata/sf0.001")
+    parse_sources(widen(spark.range(100).groupBy("id").count().selectExpr("concat(id, '.py') AS file_path", "binary('x') AS content")))
+    # Reading a Parquet footer is the only job.
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("build")]
+    assert all(len(j.stageIds) == 1 for j in jobs if j) and len(jobs) <= 3
+    spark.sparkContext.setJobGroup("tests", "tests")
