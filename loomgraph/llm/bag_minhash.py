@@ -17,7 +17,7 @@ thousands of copies cost a pass each, no bucket is cut off, and every link betwe
 classes that the bands find is verified exactly.
 
 At a similarity of 0.8, 26 bands of 5 miss a pair with a chance of 3e-5, and comparing
-by signature drops one with a chance of 3e-6.  Equal texts are one node from the start.
+by signature drops one with a chance of 3e-5.  Equal texts are one node from the start.
 Texts and shingles are told apart by 64-bit hashes.
 
 Null text is empty.  A text without words is near no other text; equal ones are copies.
@@ -44,10 +44,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
-#: Equal slots from which a pair is verified: 4.5 standard deviations below the mean at the similarity.
-LEAST_EQUAL = int(SIMILARITY * SLOTS - 4.5 * (SLOTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Equal slots from which a pair is verified: 4 standard deviations below the mean at the similarity.
+LEAST_EQUAL = int(SIMILARITY * SLOTS - 4 * (SLOTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Pivots that a text is verified with in the first pass.
 FIRST_PIVOTS = 2
+#: Pairs of two classes that are verified before all others of theirs.
+BEST_OF_CLASSES = 3
 #: Texts of a bucket that are compared with each other in one step.
 BLOCK_TEXTS = 256
 #: Node lists up to this length (8 bytes each) are broadcast; longer ones are joined by a shuffle.
@@ -261,16 +263,17 @@ def classes(links: DataFrame) -> DataFrame:
         forget(before)
 
 
-def _cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different classes that share a bucket and can reach the similarity, each once.
+def _cells(rows: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """``x, y`` of different classes that share a bucket and can reach the similarity, each once.
 
-    ``rows``: ``h, band, node, class, n`` with ``n`` texts in the bucket.  A bucket is cut into blocks;
-    a text goes to the cells in which its block meets the others.
+    ``rows``: ``h, band, node, class, linked, n`` with ``n`` texts in the bucket.  A bucket is cut into
+    blocks; a text goes to the cells in which its block meets the others.  With ``best`` only the
+    pair with most equal slots of two classes in a cell, of which one at least has links.
     """
     blocks = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = rows.select(
-        "h", "band", "node", "class", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
+        "h", "band", "node", "class", "linked", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
     ).join(nodes.select("node", "sig"), "node")
     spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
@@ -279,28 +282,40 @@ def _cells(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         band, i, j = int(frame["band"].iloc[0]), int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         left = frame[frame["own"] == i]
         right = left if i == j else frame[frame["own"] == j]
-        empty = pd.DataFrame({"x": pd.Series(dtype="int64"), "y": pd.Series(dtype="int64")})
-        if not len(left) or not len(right):
-            return empty
-        one, two = (np.frombuffer(b"".join(side["sig"]), "<u2").reshape(-1, SLOTS) for side in (left, right))
         found = []
-        for a in range(len(left)):
+        one, two = (np.frombuffer(b"".join(side["sig"]), "<u2").reshape(-1, SLOTS) for side in (left, right))
+        nodes, kinds, linked = (right[c].to_numpy() for c in ("node", "class", "linked"))
+        for a, (node, kind, has_links) in enumerate(zip(left["node"], left["class"], left["linked"], strict=True)):
             same = two == one[a]
-            ok = (same.sum(1) >= LEAST_EQUAL) & (right["class"].to_numpy() != left["class"].iloc[a])
+            equal = same.sum(1)
+            ok = (equal >= LEAST_EQUAL) & (kinds != kind)
+            if best and not has_links:
+                ok &= linked
             if i == j:
                 ok[: a + 1] = False
             at = np.flatnonzero(ok)
             # Of the buckets that two texts share, the first one names them.
-            first = same[at].reshape(-1, BANDS, ROWS).all(2).argmax(1)
-            at = at[first == band]
-            found.append(pd.DataFrame({"x": left["node"].iloc[a], "y": right["node"].to_numpy()[at]}))
-        return pd.concat(found).astype("int64") if found else empty
+            at = at[same[at].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+            low, high = np.minimum(kind, kinds[at]), np.maximum(kind, kinds[at])
+            found.append(pd.DataFrame({"x": np.full(len(at), node), "y": nodes[at], "low": low, "high": high, "equal": equal[at]}))
+        pairs = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("x", "y", "low", "high", "equal")})
+        if best:
+            pairs = pairs.sort_values(["equal", "x", "y"], ascending=[False, True, True]).drop_duplicates(["low", "high"])
+        return pairs.astype("int64")
 
-    return spread.groupBy("h", "i", "j").applyInPandas(cell, "x bigint, y bigint")
+    pairs = spread.groupBy("h", "i", "j").applyInPandas(cell, "x bigint, y bigint, low bigint, high bigint, equal bigint")
+    if best:
+        ranked = F.row_number().over(Window.partitionBy("low", "high").orderBy(F.desc("equal"), "x", "y"))
+        pairs = pairs.withColumn("r", ranked).filter(F.col("r") <= BEST_OF_CLASSES)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``x, y``: verified pairs of texts, enough of them to connect every class."""
+    """``x, y``: verified pairs of texts, enough of them to connect every class.
+
+    Pairs are verified in four passes, those most likely to connect classes first; every pass looks
+    only at pairs whose classes still differ, and the last one at all of these.
+    """
     nodes = written(sketches(docs, text), "sketches")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     # Another text of the bucket in each bucket, as nodes are mixed with the bucket's hash.
@@ -310,20 +325,37 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     shared = written(buckets.join(pivots, "h"), "shared_buckets")
     met = shared.filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     sig = nodes.select("node", "sig")
-    compared = written(_equal_slots(met.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y")), "pivot_pairs")
+    compared = _equal_slots(met.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y"))
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("equal"), "y"))
-    ranked = compared.withColumn("r", best)
-    first = written(verified(ranked.filter(F.col("r") <= FIRST_PIVOTS), docs, text, similarity), "first_links")
-    found = classes(first)
-    of = lambda c: found.toDF(c, f"class_{c}")
-    # Pivot pairs that were not verified, and pairs without the pivot in buckets of three and more.
-    own = lambda c: F.coalesce(F.col(f"class_{c}"), F.col(c))
-    later = ranked.filter(F.col("r") > FIRST_PIVOTS).join(of("x"), "x", "left").join(of("y"), "y", "left").filter(own("x") != own("y")).select("x", "y")
-    classed = shared.filter("n > 2").join(found, "node", "left").select("h", "band", "node", "n", F.coalesce("class", "node").alias("class"))
-    mixed_h = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("h")
-    others = _cells(classed.join(written(mixed_h, "mixed_buckets"), "h"), nodes)
-    rest = written(later.union(others).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "later_pairs")
-    return first.union(verified(rest, docs, text, similarity))
+    ranked = written(compared.withColumn("r", best), "pivot_pairs")
+
+    def grown(known: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame:
+        more = verified(pairs, docs, text, similarity)
+        return written(more if known is None else known.union(more), name)
+
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        own = lambda c: F.coalesce(F.col(f"class_{c}"), F.col(c))
+        for c in ("x", "y"):
+            pairs = pairs.join(found.toDF(c, f"class_{c}"), c, "left")
+        return pairs.filter(own("x") != own("y")).select("x", "y")
+
+    def open_buckets(found: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets of three and more that hold different classes; pairs with a pivot are known."""
+        classed = shared.filter("n > 2").join(found, "node", "left").select(
+            "h", "band", "node", "n", F.coalesce("class", "node").alias("class"), F.col("class").isNotNull().alias("linked")
+        )
+        mixed_h = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("h")
+        return classed.join(written(mixed_h, name), "h")
+
+    first = grown(None, ranked.filter(F.col("r") <= FIRST_PIVOTS), "links1")
+    later = ranked.filter(F.col("r") > FIRST_PIVOTS)
+    second = grown(first, apart(later, classes(first)), "links2")
+    found = classes(second)
+    tried = written(_cells(open_buckets(found, "open_buckets1"), nodes, best=True).distinct(), "best_pairs")
+    third = grown(second, tried, "links3")
+    found = classes(third)
+    rest = _cells(open_buckets(found, "open_buckets2"), nodes, best=False).join(tried, ["x", "y"], "left_anti")
+    return grown(third, written(rest, "last_pairs"), "links4")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
