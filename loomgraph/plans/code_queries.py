@@ -11,7 +11,7 @@ from loomgraph.functions import text as texts
 from loomgraph.operators import incremental, tables
 from loomgraph.operators.extract import Extracted, extract
 from loomgraph.operators.graph import PropertyGraph
-from loomgraph.operators.lookups import first_by, salted_lookup
+from loomgraph.operators.lookups import first_by, heavy_keys, salted_lookup
 from loomgraph.operators.ranges import first_covering
 from loomgraph.plans.registry import query
 from loomgraph.plans.star_graph import STAR_SQL, star_graph, table
@@ -587,3 +587,48 @@ def incremental_apply(spark, sf):
     edges = before.relationships.select("src", "dst", "type", "line", "call_text").dropDuplicates(["src", "dst", "type"])
     graph = PropertyGraph(cut_lineage(nodes), cut_lineage(edges))
     return incremental.apply_changes(graph, snapshot_rows, parse_sources(_edited_parts(spark, sf))).counters
+
+
+# -- behaviour at the edges ----------------------------------------------------------------------
+
+@query(
+    "heavy_key_lookup",
+    "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, s_name FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey",
+)
+def heavy_key_lookup(spark, sf, rows_per_task: int = 400):
+    """Suppliers of line items; one with over ``rows_per_task`` lines is spread over several tasks."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    heavy = heavy_keys(lines, ["l_suppkey"], rows_per_task)
+    return salted_lookup(lines, names, ["l_suppkey"], "left", heavy=heavy)
+
+
+@query(
+    "repository_artifact_nodes",
+    """SELECT 'pr_' || event_type || '#' || (event_id % 100) AS id, 'PR #' || (event_id % 100) || ': ' || min(event_id) AS name, 'pull_request' AS type
+    FROM events GROUP BY event_type, event_id % 100""",
+)
+def repository_artifact_nodes(spark, sf):
+    """Event types as repositories whose pull requests have the same numbers."""
+    events = table(spark, sf, "events").groupBy("event_type", (F.col("event_id") % 100).alias("number")).agg(F.min("event_id").cast("string").alias("title"))
+    missing = ("body", "state", "author", "created_at", "merged_at")
+    rows = events.select("event_type", "number", "title", *[F.lit("").alias(c) for c in missing], F.array(F.lit("a.py")).alias("files_changed"))
+    return artifacts.pull_nodes(rows, F.col("event_type")).select("id", "name", "type")
+
+
+@query(
+    "wide_intervals",
+    """SELECT o_orderkey, min(p_partkey) AS covering FROM orders LEFT JOIN part ON p_partkey % 25 = o_orderkey % 25
+      AND (o_orderkey % 4000) * 562949953421312 + o_orderkey BETWEEN (p_partkey % 2000) * 562949953421312 AND (p_partkey % 2000 + p_size) * 562949953421312
+    GROUP BY o_orderkey""",
+)
+def wide_intervals(spark, sf):
+    """Points and intervals far apart, as positions in a concatenation of all files would be."""
+    unit = F.lit(1 << 49)
+    points = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 25).alias("k"), ((F.col("o_orderkey") % 4000) * unit + F.col("o_orderkey")).alias("at"))
+    low = F.col("p_partkey") % 2000
+    parts = table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_partkey") % 25).alias("k"), (low * unit).alias("low"), ((low + F.col("p_size")) * unit).alias("high")
+    )
+    met = first_covering(points, parts, ["k"], "at", "low", "high", F.col("p_partkey"), F.col("p_partkey"), "covering", ["o_orderkey"])
+    return met.select("o_orderkey", "covering")

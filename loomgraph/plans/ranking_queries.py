@@ -55,10 +55,10 @@ def sssp_typed(spark, sf):
     return paths.distances_from(graph.nodes, graph.edges, "order:0")
 
 
-@query("sssp_uniform", _search_sql("20", False, _from("region:0"), 60) + " SELECT id, d / 10.0::DOUBLE AS distance FROM dist")
+@query("sssp_uniform", _search_sql("20", False, _from("region:0"), 100) + " SELECT id, d / 10.0::DOUBLE AS distance FROM dist")
 def sssp_uniform(spark, sf):
     graph = star_graph(spark, sf, distinct=False)
-    return paths.distances_from(graph.nodes, graph.edges, "region:0", 6.0, UNIFORM, directed=False)
+    return paths.distances_from(graph.nodes, graph.edges, "region:0", 10.0, UNIFORM, directed=False)
 
 
 @query(
@@ -297,8 +297,8 @@ def _rounded(ranked):
 _RANK_COLUMNS = """SELECT entity_id, entity_name, entity_type, file_path, total_score, semantic_similarity,
     textual_similarity, path_length, path_decay_factor, "rank" FROM ranked"""
 
-_RANK_SQL = _score_sql(_search_sql(_WEIGHT_SQL, False, _from("nation:0"), 40), "LIMIT 20")
-_HYPER = relevance.Hyperparameters(max_path_length=4.0)
+_RANK_SQL = _score_sql(_search_sql(_WEIGHT_SQL, False, _from("nation:0"), 100), "LIMIT 20")
+_HYPER = relevance.Hyperparameters()
 
 
 def _rank(spark, sf, **options):
@@ -360,14 +360,14 @@ def relevance_quality(spark, sf):
 
 @query(
     "relevance_score_distribution",
-    f"""{_score_sql(_search_sql(_WEIGHT_SQL, False, _from("nation:0"), 40), "")} SELECT
+    f"""{_score_sql(_search_sql(_WEIGHT_SQL, False, _from("nation:0"), 100), "")} SELECT
     count(*) FILTER (total > 0.5) AS high, count(*) FILTER (total > 0.3) AS medium, count(*) FILTER (total > 0.1) AS low,
     round(max(total), 6) AS max_score, round(min(total), 6) AS min_score, round(avg(total), 6) AS mean_score FROM ranked""",
 )
 def relevance_score_distribution(spark, sf):
     """Over the scores of every candidate, not only the winners."""
     graph = star_graph(spark, sf, distinct=False)
-    found = paths.search(paths.prepare(graph.edges, TYPED, directed=False), paths.seed(graph.nodes, "nation:0"), cutoff=40)
+    found = paths.search(paths.prepare(graph.edges, TYPED, directed=False), paths.seed(graph.nodes, "nation:0"), cutoff=100)
     scores = relevance.score(graph.candidates(_TYPES), found, _PROBLEM, _HYPER, relevance.INTENDED)
     spread = relevance.score_distribution(scores)
     return spread.withColumns({n: F.round(n, 6) for n in ("max_score", "min_score", "mean_score")})
