@@ -68,10 +68,15 @@ def planned(pages: DataFrame, archives: int, key: str = "page_id", url: str = "u
         known.join(firsts, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
         .select(F.col("page_id").alias("rid"), F.col("payload_digest").alias("rdigest"), "refers_to").distinct()
     )
+    # One key for both sides that is never null, so that the join takes the partitions as they are.
+    deal = F.xxhash64("page_id", "payload_digest")
     rows = pages.select(page_id, F.col(url).cast("string").alias("url"), payload.alias("payload"), digest)
-    dealt = rows.repartition(archives, "page_id", "payload_digest")
-    here = F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("payload_digest") == F.col("rdigest"))
-    met = dealt.join(revisits.repartition(archives, "rid", "rdigest"), here, "left")
+    dealt = rows.withColumn("deal", deal).repartition(archives, "deal")
+    found = revisits.withColumn("rdeal", F.xxhash64("rid", "rdigest")).repartition(archives, "rdeal")
+    # The rest is no join key, else the planner would deal by it again.
+    same_page = F.coalesce(F.col("page_id") == F.col("rid"), F.col("page_id").isNull() & F.col("rid").isNull())
+    here = (F.col("deal") == F.col("rdeal")) & same_page & F.coalesce(F.col("payload_digest") == F.col("rdigest"), F.lit(False))
+    met = dealt.join(found, here, "left")
     return met.select("page_id", "url", "payload", "payload_digest", "refers_to").sortWithinPartitions("page_id", "payload_digest", "refers_to")
 
 
