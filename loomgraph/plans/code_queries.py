@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from loomgraph.operators.lookups import first_by, heavy_keys, salted_lookup
 from loomgraph.operators.ranges import first_covering
 from loomgraph.plans.registry import query
 from loomgraph.plans.star_graph import STAR_SQL, star_graph, table
-from loomgraph.session import cut_lineage, widen
+from loomgraph.session import cut_lineage, ensure_checkpoint_dir, widen
 from loomgraph.sources import artifacts, snapshot
 from loomgraph.sources.source_tree import content_state, parse_sources
 
@@ -632,3 +634,23 @@ def wide_intervals(spark, sf):
     )
     met = first_covering(points, parts, ["k"], "at", "low", "high", F.col("p_partkey"), F.col("p_partkey"), "covering", ["o_orderkey"])
     return met.select("o_orderkey", "covering")
+
+
+@query(
+    "snapshot_folder_round_trip",
+    """SELECT 'part:' || p_partkey AS id, p_partkey AS ord, 'about ' || p_name AS docstring, 'def ' || p_brand AS code, p_type AS kind, '[' || p_size || ',1]' AS sizes
+    FROM part""",
+)
+def snapshot_folder_round_trip(spark, sf):
+    """Order, texts and columns that a snapshot does not know survive a folder of JSON lines."""
+    part = table(spark, sf, "part")
+    nodes = part.select(
+        F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit("function").alias("type"),
+        F.lit("").alias("file_path"), F.col("p_partkey").alias("ord"), F.concat(F.lit("about "), "p_name").alias("docstring"),
+        F.concat(F.lit("def "), "p_brand").alias("code"), F.col("p_type").alias("kind"), F.array("p_size", F.lit(1)).alias("sizes"),
+    )
+    graph = PropertyGraph(nodes, spark.createDataFrame([], model.EDGE_SCHEMA))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot_{uuid.uuid4().hex}"
+    snapshot.export_snapshot(graph, folder)
+    found = snapshot.import_snapshot(spark, folder).nodes
+    return found.select("id", "ord", "docstring", "code", F.col("props")["kind"].alias("kind"), F.col("props")["sizes"].alias("sizes"))

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph import model
 from loomgraph.operators.graph import PropertyGraph
 
+# Node columns beside the schema that have a place of their own; any other goes into ``props``.
+_OWN_FIELDS = [("ord", model.LONG), ("signature", model.STR), ("docstring", model.STR), ("code", model.STR)]
+_PROPS = T.MapType(model.STR, model.STR)
 _LINE_SCHEMA = T.StructType(
     model.NODE_SCHEMA.fields
+    + [T.StructField(n, t) for n, t in _OWN_FIELDS]
+    + [T.StructField("props", _PROPS)]
     + [T.StructField(n, model.STR) for n in ("type_category", "source", "target", "call_text")]
 )
 
 
+def _as_text(df: DataFrame, column: str) -> Column:
+    simple = not isinstance(df.schema[column].dataType, (T.ArrayType, T.MapType, T.StructType))
+    return F.col(column).cast("string") if simple else F.to_json(column)
+
+
+def _props(nodes: DataFrame) -> Column | None:
+    """Columns without a place of their own, as a map from name to text (JSON for nested values)."""
+    known = set(_LINE_SCHEMA.fieldNames())
+    others = [c for c in nodes.columns if c not in known]
+    given = F.col("props") if "props" in nodes.columns else None
+    if not others:
+        return given
+    found = F.map_filter(F.create_map(*[x for c in others for x in (F.lit(c), _as_text(nodes, c))]), lambda k, v: v.isNotNull())
+    return found if given is None else F.map_concat(found, F.map_filter(F.coalesce(given, F.create_map().cast(_PROPS)), lambda k, v: ~k.isin(others)))
+
+
 def snapshot_lines(graph: PropertyGraph, metadata: bool = True) -> DataFrame:
     """``value`` column of JSON texts, metadata first."""
     spark = graph.nodes.sparkSession
     nodes = graph.nodes.withColumn("type_category", F.lit("node"))
-    known = set(_LINE_SCHEMA.fieldNames())
-    nodes = nodes.select(F.to_json(F.struct(*[c for c in nodes.columns if c in known])).alias("value"))
-    extra = [c for c in ("line", "call_text") if c in graph.edges.columns]
+    props = _props(graph.nodes)
+    fields = [c for c in nodes.columns if c in set(_LINE_SCHEMA.fieldNames()) and c != "props"]
+    nodes = nodes.select(F.to_json(F.struct(*fields, *([] if props is None else [props.alias("props")]))).alias("value"))
+    extra = [c for c in ("line", "call_text", "ord") if c in graph.edges.columns]
     edges = graph.edges.select(
         F.to_json(
             F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type", *extra, F.lit("edge").alias("type_category"))
@@ -47,9 +69,11 @@ def graph_from_lines(lines: DataFrame) -> PropertyGraph:
     parsed = lines.select(F.from_json("value", _LINE_SCHEMA).alias("r")).select("r.*").filter(
         F.coalesce(F.col("type"), F.lit("")) != "metadata"
     )
-    nodes = parsed.filter("type_category = 'node'").select(*model.NODE_SCHEMA.fieldNames())
+    nodes = parsed.filter("type_category = 'node'").select(
+        *model.NODE_SCHEMA.fieldNames(), *[n for n, _ in _OWN_FIELDS], "props"
+    )
     edges = parsed.filter("type_category = 'edge'").select(
-        F.col("source").alias("src"), F.col("target").alias("dst"), "type", "line", "call_text"
+        F.col("source").alias("src"), F.col("target").alias("dst"), "type", "line", "call_text", "ord"
     )
     return PropertyGraph(nodes, edges)
 
