@@ -23,15 +23,18 @@ from loomgraph.functions.shipping import ship_by_value
 ship_by_value(__name__)
 
 #: Words kept per worker; the cache is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Characters handled at a time, so that the words of a very long text are never all in memory.
 BLOCK_CHARS = 1 << 20
+PART_WORDS = 900_000
 #: Longer words are encoded without being kept.
 KEPT_CHARS = 64
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 # Code points whose class (letter, digit, space, other) no Unicode version or engine disputes.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ–-…]*")
 _LOWER_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# Lower-case texts that single points and commas part from their words.
+_SIMPLE = re.compile(r"(?:[^\W\d_]++|[.,](?![.,])|[ \n\t\r]++)*+")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -72,15 +75,19 @@ class WordCache(dict):
     def joined(self, lists: list[list[str]]) -> list[bytes]:
         """For every list of words what its words become, one after another."""
         found = [list(map(self.get, words)) for words in lists]
-        missing = list({w for words, got in zip(lists, found, strict=True) for w, b in zip(words, got, strict=True) if b is None})
+        gaps = []
+        for words, got in zip(lists, found, strict=True):
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1 if gaps and gaps[-1][0] is got else 0)
+                gaps.append((got, at, words[at]))
+        missing = list({gap[2] for gap in gaps})
         fresh = dict(zip(missing, self.encode_many(missing), strict=True)) if missing else {}
         if len(self) + len(fresh) > self.limit:
             self.clear()
         self.update((w, b) for w, b in fresh.items() if len(w) <= KEPT_CHARS)
-        return [
-            b"".join([fresh[w] if b is None else b for w, b in zip(words, got, strict=True)])
-            for words, got in zip(lists, found, strict=True)
-        ]
+        for got, at, word in gaps:
+            got[at] = fresh[word]
+        return list(map(b"".join, found))
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -104,7 +111,7 @@ class JsonTokenizer:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = self._kind()
         self.cache = WordCache(self._encode_parts if self.kind == "lower" else self._encode_many)
-        self.parts = WordCache(self._encode_run)
+        self.parts = WordCache(self._encode_run, PART_WORDS)
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -141,24 +148,37 @@ class JsonTokenizer:
         data, stops = ids.tobytes(), ends.tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    def _words(self, block: str) -> list[str] | None:
+    def _words(self, block: str) -> list[tuple[WordCache, list[str]]] | None:
+        """Runs of words in order, each with the cache that has them; none if the library should see the whole."""
         if self.kind == "whole" or not _PLAIN.fullmatch(block) or any(s in block for s in self.specials):
             return None
-        if self.kind == "lower":
-            block = block.lower()
-            # A second look, because folding case may leave the plain characters.
-            return block.split() if _PLAIN.fullmatch(block) else None
-        return _SPACED.findall(block)
+        if self.kind == "spaced":
+            return [(self.cache, _SPACED.findall(block))]
+        block = block.lower()
+        # A second look, because folding case may leave the plain characters.
+        if not _PLAIN.fullmatch(block):
+            return None
+        runs: list[tuple[WordCache, list[str]]] = []
+        for line in [block] if _SIMPLE.fullmatch(block) else block.split("\n"):
+            simple = _SIMPLE.fullmatch(line)
+            cache, words = (self.parts, line.replace(".", " . ").replace(",", " , ").split()) if simple else (self.cache, line.split())
+            if runs and runs[-1][0] is cache:
+                runs[-1][1].extend(words)
+            else:
+                runs.append((cache, words))
+        return runs
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text."""
         for first, last in chunks(map(len, texts)):
-            parts = [(row, b) for row in range(first, last) for b in blocks(texts[row])]
-            words = [self._words(b) for _, b in parts]
-            known = iter(self.cache.joined([w for w in words if w is not None]))
+            cut = [(row, b, self._words(b)) for row in range(first, last) for b in blocks(texts[row])]
+            known = {
+                id(c): iter(c.joined([words for _, _, runs in cut for own, words in runs or () if own is c]))
+                for c in (self.cache, self.parts)
+            }
             rows: list[list[bytes]] = [[] for _ in range(first, last)]
-            for (row, block), cut in zip(parts, words, strict=True):
-                rows[row - first].append(self._encode_many([block])[0] if cut is None else next(known))
+            for row, block, runs in cut:
+                rows[row - first] += self._encode_many([block]) if runs is None else [next(known[id(own)]) for own, _ in runs]
             yield from map(b"".join, rows)
 
 
