@@ -54,6 +54,8 @@ BEST_OF_CLASSES = 3
 BLOCK_TEXTS = 256
 #: Node lists up to this length (8 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
+#: Texts to verify are broadcast up to this many bytes in total.
+BROADCAST_TEXT_BYTES = 32 << 20
 #: Words handled at a time in a worker.
 CHUNK_WORDS = 1 << 18
 
@@ -214,8 +216,9 @@ def _equal_slots(pairs: DataFrame) -> DataFrame:
 
 def overlap(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets given as sorted different values and counts."""
-    _, a, b = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(one[1][a], two[1][b]).sum()
+    at = np.minimum(np.searchsorted(two[0], one[0]), max(0, len(two[0]) - 1))
+    same = two[0][at] == one[0] if len(two[0]) else np.zeros(len(one[0]), bool)
+    shared = np.minimum(one[1][same], two[1][at[same]]).sum()
     whole = one[1].sum() + two[1].sum() - shared
     return float(shared / whole) if whole else 0.0
 
@@ -228,8 +231,14 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", similarity:
     found = texts.join(F.broadcast(needed) if few else needed, "node", "left_semi")
     # Copies of a text leave each map task once.
     found = written(found.groupBy("node").agg(F.first("text").alias("text")), "needed_texts")
-    one, two = found.toDF("x", "tx"), found.toDF("y", "ty")
-    met = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", word_hashes(F.col("tx")).alias("wx"), word_hashes(F.col("ty")).alias("wy"))
+    size = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= BROADCAST_TEXT_BYTES:
+        # Few texts in many pairs, as of a large group of varied copies: hashed once each, and the pairs stay in place.
+        hashed = written(found.select("node", word_hashes(F.col("text")).alias("w")), "needed_words")
+        met = pairs.select("x", "y").join(F.broadcast(hashed.toDF("x", "wx")), "x").join(F.broadcast(hashed.toDF("y", "wy")), "y")
+    else:
+        one, two = found.toDF("x", "tx"), found.toDF("y", "ty")
+        met = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", word_hashes(F.col("tx")).alias("wx"), word_hashes(F.col("ty")).alias("wy"))
 
     def bag_of(words: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         values = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -237,11 +246,18 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", similarity:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [overlap(bag_of(a), bag_of(b)) >= similarity for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            bags_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            ends = []
+            for nodes, words in ((0, 2), (1, 3)):
+                ends.append(batch.column(nodes).to_pylist())
+                for row, node in enumerate(ends[-1]):
+                    if node not in bags_of:
+                        bags_of[node] = bag_of(batch.column(words)[row])
+            near = [overlap(bags_of[x], bags_of[y]) >= similarity for x, y in zip(*ends, strict=True)]
             keep = pa.array(np.flatnonzero(near))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["x", "y"])
 
-    return met.mapInArrow(stage, "x bigint, y bigint")
+    return met.select("x", "y", "wx", "wy").mapInArrow(stage, "x bigint, y bigint")
 
 
 def classes(links: DataFrame) -> DataFrame:

@@ -83,6 +83,7 @@ def test_one_row_of_each_class_stays(docs):
 def test_without_broadcast(docs, monkeypatch):
     texts = families(5, 6, 5, 4)
     monkeypatch.setattr(b, "BROADCAST_NODES", -1)
+    monkeypatch.setattr(b, "BROADCAST_TEXT_BYTES", -1)
     got = Counter((r.doc_id, r.class_id) for r in b.near_duplicates(docs(texts)).collect())
     assert got == brute_classes(texts, list(range(len(texts))))
 
