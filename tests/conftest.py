@@ -40,12 +40,13 @@ public class Box {
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from loomgraph.session import build_session
 
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
         spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
