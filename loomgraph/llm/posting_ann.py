@@ -6,7 +6,7 @@ holds a like share of it.  A vector enters the list of its nearest centroid and
 every other that is nearly as near (``BOUNDARY``), up to ``MOST_COPIES`` lists.  The
 centroids form a graph in memory; a best-first walk finds those near a vector.  A
 query reads the lists whose centroids are within ``PROBE`` times the distance of the
-nearest one.  Lists are cut into blocks of bounded size, so a dense region is many
+nearest one, and the ``LEAST_LISTS`` nearest.  Lists are cut into blocks of bounded size, so a dense region is many
 tasks, and every score is exact.
 
 Equal vectors are indexed once, with the ``k + 1`` smallest of their ids, which is all
@@ -38,6 +38,8 @@ K = 20
 LIST_VECTORS, MOST_LISTS, SAMPLE_PER_LIST = 200, 4_096, 32
 BOUNDARY, MOST_COPIES = 0.08, 4
 PROBE = 0.25
+#: Lists that a query reads in any case, as the nearest centroid may be next to it.
+LEAST_LISTS = 24
 #: Vectors and queries that meet in one step.
 BLOCK_VECTORS, BLOCK_QUERIES = 2_048, 2_048
 #: Lists of the first pass.
@@ -96,8 +98,11 @@ class CentroidGraph:
         self.links = np.hstack([np.vstack(order), ring])
         self.entries = np.unique(np.linspace(0, n - 1, min(n, max(8, int(n**0.5)))).astype(int))
 
-    def near(self, points: np.ndarray, ratio: float) -> np.ndarray:
-        """Distances to the centroids found, infinite elsewhere; walks end ``ratio`` beyond the nearest."""
+    def near(self, points: np.ndarray, ratio: float, least: int = 1) -> np.ndarray:
+        """Distances to the centroids found, infinite elsewhere.
+
+        Walks end ``ratio`` beyond the nearest, but not before the ``least`` nearest are settled.
+        """
         many, n = len(points), len(self.centres)
         found = np.full((many, n), np.inf)
         found[:, self.entries] = np.sqrt(squared_distances(points, self.centres[self.entries]))
@@ -106,7 +111,9 @@ class CentroidGraph:
         while len(active):
             nodes = waiting[active].argmin(1)
             away = waiting[active, nodes]
-            going = away <= (1 + ratio) * found[active].min(1)
+            known = found[active]
+            bound = np.maximum((1 + ratio) * known.min(1), np.partition(known, min(least, n) - 1, 1)[:, min(least, n) - 1])
+            going = (away <= bound) & np.isfinite(away)
             active, nodes = active[going], nodes[going]
             if not len(active):
                 break
@@ -153,8 +160,8 @@ def fit(groups: DataFrame, n: int, largest: float) -> CentroidGraph:
     return CentroidGraph(balanced_centroids(_augmented(np.stack(sample.to_list()).astype(float), largest), lists))
 
 
-def _places(rows: DataFrame, graph: CentroidGraph, largest: float | None, ratio: float, most: int | None) -> DataFrame:
-    """The lists of every ``key, vec``: all within ``ratio`` of the nearest, ``most`` at most if given."""
+def _places(rows: DataFrame, graph: CentroidGraph, largest: float | None, ratio: float, most: int | None = None, least: int = 1) -> DataFrame:
+    """The lists of every ``key, vec``: all within ``ratio`` of the nearest and the ``least`` nearest, ``most`` at most if given."""
 
     def stage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -163,10 +170,11 @@ def _places(rows: DataFrame, graph: CentroidGraph, largest: float | None, ratio:
                 vecs = np.stack(part["vec"].to_list()).astype(float)
                 # A query's extra coordinate is zero.
                 points = np.hstack([vecs, np.zeros((len(vecs), 1))]) if largest is None else _augmented(vecs, largest)
-                away = graph.near(points, ratio)
+                away = graph.near(points, ratio, least)
                 order = away.argsort(1, kind="stable")
                 near = np.take_along_axis(away, order, 1)
                 kept = near <= (1 + ratio) * near[:, :1]
+                kept[:, :least] = np.isfinite(near[:, :least])
                 if most:
                     kept[:, most:] = False
                 rows, places = np.nonzero(kept)
@@ -215,7 +223,7 @@ def nearest(table: DataFrame, is_query, k: int = K, key: str = "vec_id", vector:
     asked = written(members.filter(is_query(F.col("vec_id"))), "asked_vectors")
     queries = groups.join(asked.select("key").distinct(), "key", "left_semi")
     placed = written(_places(groups, graph, about.largest, BOUNDARY, MOST_COPIES).drop("place"), "placed_vectors")
-    probes = written(_places(queries, graph, None, PROBE, None), "probes")
+    probes = written(_places(queries, graph, None, PROBE, least=LEAST_LISTS), "probes")
     # One row per list, of which there are MOST_LISTS at most.
     held = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
     asking = probes.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qblocks"))
