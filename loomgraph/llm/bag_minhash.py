@@ -55,7 +55,9 @@ BLOCK_TEXTS = 256
 #: Node lists up to this length (8 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
 #: Texts to verify are broadcast up to this many bytes in total.
-BROADCAST_TEXT_BYTES = 32 << 20
+BROADCAST_TEXT_BYTES = 8 << 20
+#: Shingles of the bags that a worker keeps.
+KEPT_SHINGLES = 1 << 19
 #: Words handled at a time in a worker.
 CHUNK_WORDS = 1 << 18
 
@@ -246,14 +248,22 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", similarity:
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Bags of nodes that occur again, as long as they are few.
             bags_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            ends = []
-            for nodes, words in ((0, 2), (1, 3)):
-                ends.append(batch.column(nodes).to_pylist())
-                for row, node in enumerate(ends[-1]):
-                    if node not in bags_of:
-                        bags_of[node] = bag_of(batch.column(words)[row])
-            near = [overlap(bags_of[x], bags_of[y]) >= similarity for x, y in zip(*ends, strict=True)]
+            held, near = 0, []
+            xs, ys = (batch.column(n).to_pylist() for n in (0, 1))
+            for row, ends in enumerate(zip(xs, ys, strict=True)):
+                pair = []
+                for node, words in zip(ends, (2, 3), strict=True):
+                    found = bags_of.get(node)
+                    if found is None:
+                        found = bags_of[node] = bag_of(batch.column(words)[row])
+                        held += len(found[0])
+                    pair.append(found)
+                near.append(overlap(*pair) >= similarity)
+                if held > KEPT_SHINGLES:
+                    bags_of.clear()
+                    held = 0
             keep = pa.array(np.flatnonzero(near))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["x", "y"])
 
