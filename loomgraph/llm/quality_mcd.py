@@ -12,9 +12,11 @@ are exact, every step is deterministic and the hot source combines on the map
 side; the text is read once, the steps read a table of numbers.
 
 Groups of fewer than ``MIN_GROUP`` texts share an estimate with the other small
-groups of their language, and what is left of small languages shares one.  A fixed
-variance is added to every statistic, so groups in which one is constant have an
-estimate too, and clean texts are not rejected for a minute difference.
+groups of their language, and what is left of small languages shares one.  A small
+fixed variance is added to every statistic, so groups in which one is constant have an
+estimate too.  It is so small that each statistic can reject alone: in a group without
+symbols and repeats, from about 8 symbols, 6 repeated lines or 20 repeated words in a
+hundred words on; a single repeated line or symbol in a usual text does not.
 
 Null language and source are groups of their own; null text has no words and fails
 the base rules; repeated rows count each; an empty table gives an empty result.
@@ -39,7 +41,7 @@ CONSISTENCY = 1.41
 #: Squared distance of rejection: the chi-square quantile of five dimensions for one in a million.
 CUTOFF = 36.0
 #: Standard deviations added to those found, in natural units, by statistic.
-FLOORS = {"x0": 0.08, "x1": 0.5, "x2": 1.0, "x3": 1.2, "x4": 1.2}
+FLOORS = {"x0": 0.06, "x1": 0.35, "x2": 0.3, "x3": 0.5, "x4": 0.4}
 #: Group tables up to so many rows (some 400 bytes each) are broadcast; larger ones are joined with a salt.
 BROADCAST_GROUPS = 50_000
 SALTS = 32

@@ -71,6 +71,25 @@ def test_verdicts_equal_numpy_and_spare_clean_texts(docs):
     assert {i: got[i].kept for i in vectors} == reference_verdicts(vectors, groups)
 
 
+def test_each_statistic_rejects_alone(docs):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    clean = [" ".join(some(rng.randint(25, 400))) for _ in range(900)]
+    line, passage, short = " ".join(some(9)), some(14), [" ".join(some(2)) for _ in range(20)]
+    spared = ["\n".join([line, *(" ".join(some(9)) for _ in range(40)), line]), " ".join([*some(100), "#", *some(100)])]
+    planted = {
+        "word length": " ".join(a + b for a, b in zip(some(150), some(150), strict=True)),
+        "symbols": " ".join(w + "#" * (i % 8 == 0) for i, w in enumerate(some(150))),
+        "repeated lines": "\n".join(rng.choice(short) for _ in range(100)),
+        "repeated words": " ".join([*passage, *some(72), *passage]),
+        "length": " ".join(some(60_000)),
+    }
+    got = {r.row.doc_id: r for r in q.judge(docs([*clean, *spared, *planted.values()]), keep=["doc_id"]).collect()}
+    assert all(got[i].kept for i in range(902))
+    assert {name: (got[i].base_failed, got[i].kept) for i, name in enumerate(planted, 902)} == dict.fromkeys(planted, (False, False))
+
+
 def test_edge_tables(docs, spark):
     assert q.judge(docs([])).count() == 0
     repeated = docs(["one two"] * 3, ids=[None, 1, 1])
