@@ -1,7 +1,8 @@
 """Substring deduplication by hashing lines, paragraphs or the sentences of lines.
 
 Every text is cut into units, each with the delimiter that ends it.  A unit of at
-least ``MIN_WORDS`` words is normalised (case folded, white space as single spaces)
+least ``MIN_WORDS`` words, where each character of a script written without spaces
+counts as a word, is normalised (case folded, white space as single spaces)
 and digested with 128 bits.  Digests are grouped over all documents; the document
 with the smallest key keeps a unit, where it occurs there first, and every other
 occurrence is removed.  The removed spans are returned as code point offsets of the
@@ -35,7 +36,11 @@ ship_by_value(__name__)
 
 MIN_WORDS = 6
 #: What ends a unit; its match belongs to the unit.
-DELIMITERS = {"line": r"\n", "paragraph": r"\n[^\S\n]*\n\s*", "sentence": r"[.!?] |\n"}
+DELIMITERS = {"line": r"\n", "paragraph": r"\n[^\S\n]*\n\s*", "sentence": r"[.!?] |[。！？｡]|\n"}
+#: A character of a script written without spaces (Thai, Lao, Burmese, Khmer, kana, Han), or a run of others.
+_WORDS = re.compile(
+    "[{0}]|[^\\s{0}]+".format("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+)
 BATCH_CHARS = 2 << 20
 
 
@@ -56,7 +61,7 @@ def unit_digests(text: str, ends: re.Pattern, min_words: int) -> Iterator[tuple[
     digest = xxhash.xxh3_128_digest
     for start, end in cut_units(text, ends):
         words = text[start:end].lower().split()
-        if len(words) >= min_words:
+        if len(words) >= min_words or words and not text[start:end].isascii() and len(_WORDS.findall(text[start:end])) >= min_words:
             yield start, end, digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
 

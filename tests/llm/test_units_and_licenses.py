@@ -56,6 +56,19 @@ def test_keys_that_are_null_or_repeat(docs):
         u.remove_repeats(docs([line]), removed="n_words")
 
 
+@pytest.mark.parametrize(("unit", "end"), [("line", "\n"), ("paragraph", "\n\n"), ("sentence", "。")])
+@pytest.mark.parametrize("body", ["机器学习需要大量干净的数据", "これは繰り返される長い文です", "ข้อความนี้ซ้ำกันในหลายเอกสาร"])
+def test_texts_without_spaces(docs, unit, end, body):
+    rows = u.remove_repeats(docs([f"一{end}{body}{end}二", f"三{end}{body}{end}四"]), unit=unit).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: f"一{end}{body}{end}二", 1: f"三{end}四"}
+
+
+def test_short_lines_on_request(docs):
+    texts = ["Home\nAll rights reserved.\none", "All  Rights reserved.\n\ntwo\nhome\n\n"]
+    rows = u.remove_repeats(docs(texts), unit="line", min_words=1).collect()
+    assert {r.doc_id: r.text for r in rows} == {0: texts[0], 1: "\ntwo\n\n"}
+
+
 def brute_licenses(texts):
     out = set()
     for i, text in enumerate(texts):
