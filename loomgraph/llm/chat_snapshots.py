@@ -12,8 +12,8 @@ conversation may hold a third of all turns; only rows with equal conversation an
 number meet in one task.  Prefixes and equal conversations are grouped on the map side
 first.
 
-The rendered parts hold the turns of a block each: ``part`` counts from 0 and a usual
-conversation has one.  Null role and text render as empty and differ from empty ones in
+A conversation that stays is one row, whatever its turn numbers: blocks are rendered
+first, then joined in order.  Null role and text render as empty and differ from empty ones in
 the hash; rows without an id are one conversation; repeated rows are turns of their own;
 an empty table gives an empty result; other columns are not looked at.
 """
@@ -72,14 +72,14 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def collapse(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv, part, n_turns, text`` of the conversations that stay; ``n_turns`` counts the part's turns."""
+    """``conv, part, n_turns, text`` of the conversations that stay, a row each; ``part`` is 0."""
     prefixes = written(rolling(turns, conv, turn, role, text), "turn_prefixes")
     stay = maximal(prefixes.select("conv", "place", "p1", "p2")).toDF("kept")
     rows = prefixes.join(stay, F.col("conv").eqNullSafe(F.col("kept")), "left_semi")
-    parts = rows.groupBy("conv", "block").agg(
+    blocks = rows.groupBy("conv", "block").agg(
         F.sort_array(F.collect_list(F.struct("place", rendered(F.col("role"), F.col("text")).alias("t")))).alias("ts")
-    )
-    number = F.row_number().over(Window.partitionBy("conv").orderBy("block")) - 1
-    return parts.select("conv", "block", F.size("ts").cast("bigint").alias("n_turns"), F.array_join("ts.t", "").alias("text")).select(
-        F.col("conv").alias(conv), number.cast("bigint").alias("part"), "n_turns", F.col("text").alias(text)
+    ).select("conv", "block", F.size("ts").cast("bigint").alias("n"), F.array_join("ts.t", "").alias("t"))
+    whole = blocks.groupBy("conv").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("block", "t"))).alias("ts"))
+    return whole.select(
+        F.col("conv").alias(conv), F.lit(0).cast("bigint").alias("part"), "n_turns", F.array_join("ts.t", "").alias(text)
     )

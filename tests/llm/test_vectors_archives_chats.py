@@ -147,5 +147,13 @@ def test_snapshots_equal_brute_force(spark, monkeypatch, block):
     assert all(sorted(r.part for r in v) == list(range(len(v))) for v in got.values())
 
 
+@pytest.mark.parametrize("numbers", [range(250, 261), range(600), [n * 1_000_003 for n in range(40)]])
+def test_a_conversation_is_one_row(spark, numbers):
+    rows = [(conv, n, "user", f"t{n}", 1, "x") for conv in (1, 2) for n in numbers if conv == 1 or n != max(numbers)]
+    got = cs.collapse(chats(spark, rows)).collect()
+    assert [(r.conv_id, r.part, r.n_turns) for r in got] == [(1, 0, len(numbers))]
+    assert got[0].text == "".join(f"<|user|>\nt{n}\n" for n in numbers)
+
+
 def test_no_conversations(spark):
     assert cs.collapse(chats(spark, [])).count() == 0
