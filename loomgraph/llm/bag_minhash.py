@@ -384,23 +384,36 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     return grown(third, written(rest, "last_pairs"), "links4")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``key, node, class_id`` of every row; ``class_id`` is the smallest key of its class."""
+def _classed(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """``key, node, class, class_id`` of every row."""
     found = classes(links(docs, text, similarity))
     rows = docs.select(F.col(key), F.xxhash64(whole_text(text)).alias("node"))
     placed = rows.join(found, "node", "left").select(key, "node", F.coalesce("class", "node").alias("class"))
     names = written(placed.groupBy("class").agg(F.min(key).alias("class_id")), "class_names")
-    return placed.join(names, "class").select(key, "node", "class_id")
+    return placed.join(names, "class").select(key, "node", "class", "class_id")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``key, node, class_id`` of every row; ``class_id`` is the smallest key of its class."""
+    return _classed(docs, key, text, similarity).drop("class")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, that with the smallest key; rows without a key stay."""
-    found = near_duplicates(docs, key, text, similarity)
-    kept = written(found.filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_k"), F.col("node").alias("_n")), "kept_documents")
+    """``docs`` with one row of each class, that with the smallest key; rows without a key stay.
+
+    Classes whose smallest keys are equal keep a row each.  Of the rows of a class that share its smallest
+    key, the text with the smallest hash stays, and of equal texts the row whose other columns come first.
+    """
+    least = _classed(docs, key, text, similarity).filter(F.col(key).eqNullSafe(F.col("class_id")))
+    texts = least.groupBy("class", F.col(key).alias("_k"), F.col("node").alias("_n")).agg(F.count("*").alias("_times"))
+    first = texts.filter(F.col("_k").isNotNull()).groupBy("class").agg(F.min(F.struct("_k", "_n", "_times")).alias("m")).select("m.*")
+    kept = written(first.unionByName(texts.filter(F.col("_k").isNull()).select("_k", "_n", F.lit(1).cast("bigint").alias("_times"))), "kept_documents")
     here = docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(whole_text(text)) == F.col("_n"))
-    rows = docs.join(kept.distinct(), here, "left_semi")
-    repeated = kept.filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.count("*").alias("n")).filter("n > 1")
-    if repeated.isEmpty():
-        return rows
-    once = rows.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.unionByName(rows.filter(F.col(key).isNull()))
+    if kept.filter("_times > 1").isEmpty():
+        return docs.join(kept, here, "left_semi")
+    repeated = docs.join(kept.filter("_times > 1"), here, "left_semi")
+    order = F.to_json(F.struct(F.col(text).isNull().alias("_null"), *[F.col(f"`{c}`") for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
+    once = repeated.groupBy(F.col(key).alias("_k"), F.xxhash64(whole_text(text)).alias("_n")).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")
+    )
+    return docs.join(kept.filter("_times = 1"), here, "left_semi").unionByName(once.select("_row.*"))

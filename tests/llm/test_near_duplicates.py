@@ -80,6 +80,12 @@ def test_one_row_of_each_class_stays(docs):
     assert b.near_duplicates(docs([None, None], ids=[4, 3])).collect()[0].class_id == 3
 
 
+def test_a_key_with_different_texts_keeps_each_class(docs):
+    one, two = families(7, 2, 1, 1)
+    rows = docs([one, two, two, one], ids=[5, 5, 5, 6])
+    assert sorted((r.doc_id, r.text) for r in b.keep_one(rows).collect()) == sorted([(5, one), (5, two)])
+
+
 def test_without_broadcast(docs, monkeypatch):
     texts = families(5, 6, 5, 4)
     monkeypatch.setattr(b, "BROADCAST_NODES", -1)
