@@ -36,7 +36,9 @@ CONTAINMENT = 0.8
 BANDS = 96
 MOST_TEMPLATE_WORDS = 200_000
 
-# Notices as their licences word them.
+# Notices, standard headers and titles as their licences word them; the whole texts of the GNU, Apache, MPL
+# and CC licences are known by their titles.  Templates that name a version have at most four shingles, all of which are
+# then required, or so few that another version word leaves less than ``CONTAINMENT``.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": (
@@ -53,24 +55,67 @@ TEMPLATES = {
         'to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF '
         "ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program "
-        "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
-        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "GPL-1.0": "under the GNU General Public License, version 1",
+    "GPL-1.0-notice": "of the GNU General Public License, version 1",
+    "GPL-1.0-text": "GNU General Public License Version 1, February 1989",
+    "GPL-2.0": "under the GNU General Public License, version 2",
+    "GPL-2.0-notice": "of the GNU General Public License, version 2",
+    "GPL-2.0-text": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0": "under the GNU General Public License, version 3",
+    "GPL-3.0-notice": "of the GNU General Public License, version 3",
+    "GPL-3.0-text": "GNU General Public License Version 3, 29 June",
+    "GPL-2.0-short-notice": "GNU General Public License v2.0",
+    "GPL-3.0-short-notice": "GNU General Public License v3.0",
+    "LGPL-2.0": "GNU Library General Public License version 2",
+    "LGPL-2.1": "GNU Lesser General Public License version 2.1",
+    "LGPL-3.0": "GNU Lesser General Public License version 3",
+    "AGPL-3.0": "GNU Affero General Public License version 3",
+    "GPL-2.0-header": "the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
+    "GPL-2.0-or-later-header": "the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "GPL-3.0-or-later-header": "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "LGPL-2.1-or-later-header": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "LGPL-3.0-or-later-header": "the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0-or-later-header": "the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "MPL-1.1": "Mozilla Public License Version 1.1",
+    "MPL-2.0": "Mozilla Public License, v. 2.0",
+    "MPL-2.0-text": "Mozilla Public License Version 2.0",
+    "EPL-2.0": "Eclipse Public License 2.0",
+    "EPL-2.0-text": "Eclipse Public License - v 2.0",
+    "Artistic-2.0": "The Artistic License 2.0",
+    "CC0-1.0": "has waived all copyright and related or neighboring rights to",
+    "CC0-1.0-notice": "Licensed under CC0 1.0",
+    "CC0-1.0-text": "Legal Code CC0 1.0 Universal",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-SA-4.0-text": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-ND-4.0-text": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "CC-BY-NC-4.0-text": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-NC-SA-4.0-text": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+    "CC-BY-NC-ND-4.0-text": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
         "that the above copyright notice and this permission notice appear in all copies."
     ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
-        "the following disclaimer in the documentation and/or other materials provided with the distribution."
+    "BSD-2-Clause": "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License",
+    "BSD-3-Clause": "provided with the distribution. 3. Neither the name of",
+    "BSD-3-Clause-text": "provided with the distribution. Neither the name of",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License",
+    "BSD-4-Clause": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license"
     ),
 }
 

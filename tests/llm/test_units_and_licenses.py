@@ -105,3 +105,35 @@ def test_license_edges(docs, spark):
     assert Counter(r.doc_id for r in rows) == {None: 1, 1: 1}
     with pytest.raises(ValueError):
         ls.scan(docs(["x"]), templates={"short": "one two"})
+
+
+OTHERS = {
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "under the terms of the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007",
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007",
+    "GPL-3.0-text": "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007",
+    "Apache-2.0-text": "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "CC0-1.0-text": "Creative Commons Legal Code\n\nCC0 1.0 Universal",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSD-3-Clause": "and/or other materials provided with the distribution.\n3. Neither the name of the University nor the names",
+    "BSD-2-Clause": "and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE AUTHOR",
+    "GPL-2.0-or-later-header": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+    "LGPL-3.0-or-later-header": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or",
+}
+
+
+def test_each_licence_has_its_own_name(docs):
+    """Texts of the licences under their own names alone, each template among them."""
+    names = [*OTHERS, *ls.TEMPLATES]
+    got = {(r.doc_id, r.license) for r in ls.scan(docs([*OTHERS.values(), *ls.TEMPLATES.values()])).collect()}
+    family = lambda name: name.removesuffix("-header").removesuffix("-text").removesuffix("-notice").removesuffix("-short").removesuffix("-or-later")
+    assert {(i, n) for i, n in enumerate(names)} <= got
+    assert {(i, name) for i, name in got if family(name) != family(names[i])} == set()
+
+
+def test_other_versions_are_not_named(docs):
+    texts = ["Licensed under the Apache License, Version 1.1.", "under the GNU General Public License, version 4", "Licensed under CC BY-NC 2.5."]
+    assert ls.scan(docs(texts)).count() == 0
