@@ -10,14 +10,17 @@ share a bucket, and a bucket with one suffix is final.
   That needs no sort, as equal strings get equal identifiers everywhere.  A
   string of ``LENGTH`` bytes is represented by one place in it, the first with the smallest gram identifier,
   its anchor; equal strings have theirs at the same offset.  So only anchors, one in
-  some 70 places, are put in buckets and sorted over the cluster; a bucket of one
+  some 80 places, are put in buckets and sorted over the cluster; a bucket of one
   anchor is final, and all strings that it represents are unique.
 * First refinement.  The anchors left are sorted by the identifiers of the bytes before and behind them, as
   far as the strings reach that an anchor represents (its stretch).  Equal stretches are one
   sub-bucket: with two members or more, all their strings repeat.  A bucket that is one
   sub-bucket is done.
-* Second refinement.  Where a bucket holds different stretches, one member of each sends its
-  strings, by anchor, offset and identifier.  What two stretches send repeats.
+* Second refinement.  Where a bucket holds different stretches, one member of each is cut into pieces of
+  ``PIECE`` strings at fixed offsets from the anchor.  The bytes that all strings of such a
+  piece hold, its core, refine the bucket; a core of one piece is final, equal pieces repeat.
+* Third refinement.  Where a core has different pieces, their strings are compared by anchor, offset and
+  identifier.  What two pieces hold repeats.
 
 Buckets are counted on the map side, and rows meet written tables of buckets in joins that
 adaptive execution can split, so a passage in a third of all texts costs one row a text.  Texts
@@ -39,18 +42,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import written
+from loomgraph.llm.shared import forget, written
 
 ship_by_value(__name__)
 
 #: Bytes of a string that may not occur twice.
 LENGTH = 200
 #: Bytes of an anchor's gram; every string of LENGTH bytes holds LENGTH - GRAM + 1 of them.
-GRAM = 64
+GRAM = 40
+#: Strings of a piece in the second refinement.
+PIECE = 16
 #: Bytes hashed at a time.
 PART_BYTES = 1 << 18
-#: Gram buckets up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_BUCKETS = 1_000_000
+#: Up to this number of bucket or text keys (at most 24 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1 << 18
 
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
@@ -98,17 +103,17 @@ def identifiers(data: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndar
     return out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """``at, low, high`` of the anchors in texts that end at ``ends`` in ``data``, with identifiers.
+def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM, *more: int):
+    """``at, low, high`` of the anchors in texts that end at ``ends`` in ``data``, and identifiers by length.
 
     ``low`` and ``high`` are the first and last start of the strings that an anchor represents.
     """
-    ids = identifiers(data, (gram, length))
+    ids = identifiers(data, (gram, *more, length))
     grams, strings = ids[gram], ids[length]
     many = len(strings)
     none = np.zeros(0, np.int64)
     if not many:
-        return none, none, none, grams, strings
+        return none, none, none, ids
     # The smallest identifier with its place; the leftmost of equal ones.
     least = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     span, width = length - gram + 1, 1
@@ -127,7 +132,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     last = np.append(first[1:], many) - 1
     keep = inside[first]
     first, last = first[keep], last[keep]
-    return anchor[first], first, last, grams, strings
+    return anchor[first], first, last, ids
 
 
 def text_key(text: Column) -> list[Column]:
@@ -153,23 +158,23 @@ def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, int
         yield held
 
 
-def _hashed(texts: list[bytes], length: int, gram: int):
+def _hashed(texts: list[bytes], length: int, gram: int, *more: int):
     """For each list of parts: row and base of every anchor, with ``anchors`` of the parts."""
     for parts in _parts(texts, length):
         data = np.frombuffer(b"".join(texts[row][start:end] for row, start, end in parts), np.uint8)
         sizes = np.array([end - start for _, start, end in parts])
         ends = np.cumsum(sizes)
-        at, low, high, grams, strings = anchors(data, ends, length, gram)
+        at, low, high, ids = anchors(data, ends, length, gram, *more)
         part = np.searchsorted(ends, low, side="right")
         rows = np.array([row for row, _, _ in parts])[part]
         # From a place in the data to one in the text.
         shift = (np.array([start for _, start, _ in parts]) - (ends - sizes))[part]
-        yield rows, shift, at, low, high, grams, strings
+        yield rows, shift, at, low, high, ids
 
 
 def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``t1, t2, a``: the anchors of every text with its gram and stretch identifiers."""
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("g", pa.int64()), ("v", pa.int64())]))
+    kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("g", pa.int64()), ("v", pa.int64())]))
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,24 +182,26 @@ def anchor_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 part = batch.slice(first, 500)
                 bodies = part.column(2).to_pylist()
                 found = []
-                for rows, shift, at, low, high, grams, strings in _hashed(bodies, length, gram):
+                for rows, shift, at, low, high, ids in _hashed(bodies, length, gram):
+                    grams, strings = ids[gram], ids[length]
                     stretch = refined(refined(strings[low], strings[high]), ((at - low) * 4096 + (high - at)).astype(np.uint64))
-                    found.append((rows, at + shift, low + shift, high + shift, grams[at].view(np.int64), stretch.view(np.int64)))
-                columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 6
+                    found.append((rows, low + shift, high + shift, grams[at].view(np.int64), stretch.view(np.int64)))
+                columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
                 offsets = np.searchsorted(columns[0], np.arange(part.num_rows + 1)).astype(np.int32)
-                inner = [columns[n].astype(np.int32) for n in (1, 2, 3)] + list(columns[4:])
+                inner = [columns[n].astype(np.int32) for n in (1, 2)] + list(columns[3:])
                 struct = pa.StructArray.from_arrays([pa.array(c) for c in inner], fields=list(kind.value_type))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), struct)], names=["t1", "t2", "a"])
 
     return texts.select("t1", "t2", "body").mapInArrow(
-        stage, "t1 bigint, t2 bigint, a array<struct<at: int, low: int, high: int, g: bigint, v: bigint>>"
+        stage, "t1 bigint, t2 bigint, a array<struct<low: int, high: int, g: bigint, v: bigint>>"
     )
 
 
-def string_rows(wanted: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``g, off, w, t1, t2, p``: the strings of stretches, by anchor, offset and identifier.
+def piece_rows(wanted: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``g, k, core, v, t1, t2, off, p, ws``: the pieces of stretches with the identifiers of their strings.
 
-    ``wanted``: ``t1, t2, body, stretches``: texts with the first starts of the stretches to send.
+    ``off`` is the anchor's offset in the first string, ``p`` that string's start; ``wanted``:
+    ``t1, t2, body, stretches``, texts with the first starts of the stretches to send.
     """
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,48 +211,82 @@ def string_rows(wanted: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 starts = part.column(3)
                 owner = np.repeat(np.arange(part.num_rows), starts.value_lengths().to_numpy())
                 sent = owner << 32 | starts.flatten().to_numpy().astype(np.int64)
-                for rows, shift, at, low, high, grams, strings in _hashed(part.column(2).to_pylist(), length, gram):
+                for rows, shift, at, low, high, ids in _hashed(part.column(2).to_pylist(), length, gram, length - PIECE + 1):
                     send = np.isin(rows << 32 | (low + shift), sent)
                     if not send.any():
                         continue
-                    many = (high - low + 1)[send]
-                    p = np.repeat(low[send], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    anchor, base, row = (np.repeat(x[send], many) for x in (at, shift, rows))
+                    rows, shift, at, low, high = (x[send] for x in (rows, shift, at, low, high))
+                    grams, strings, cores = ids[gram], ids[length], ids[length - PIECE + 1]
+                    least, most = (at - high) // PIECE, (at - low) // PIECE
+                    many = most - least + 1
+                    k = np.repeat(least, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    at, low, high, row, base = (np.repeat(x, many) for x in (at, low, high, rows, shift))
+                    core = at - k * PIECE
+                    one, last = np.maximum(low, core - PIECE + 1), np.minimum(high, core)
+                    size = last - one + 1
+                    places = np.repeat(one, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                    v = refined(refined(strings[one], strings[last]), ((at - one) * 4096 + size).astype(np.uint64))
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(grams[anchor].view(np.int64)), pa.array((anchor - p).astype(np.int32)), pa.array(strings[p].view(np.int64)),
-                        part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((p + base).astype(np.int32)),
-                    ], names=["g", "off", "w", "t1", "t2", "p"])
+                        pa.array(grams[at].view(np.int64)), pa.array(k.astype(np.int32)), pa.array(cores[core].view(np.int64)), pa.array(v.view(np.int64)),
+                        part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array((at - one).astype(np.int32)),
+                        pa.array((one + base).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(strings[places].view(np.int64))),
+                    ], names=["g", "k", "core", "v", "t1", "t2", "off", "p", "ws"])
 
-    return wanted.select("t1", "t2", "body", "stretches").mapInArrow(stage, "g bigint, off int, w bigint, t1 bigint, t2 bigint, p int")
+    return wanted.select("t1", "t2", "body", "stretches").mapInArrow(
+        stage, "g bigint, k int, core bigint, v bigint, t1 bigint, t2 bigint, off int, p int, ws array<bigint>"
+    )
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is in the written table ``keys``."""
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, keys.columns, "left_semi")
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``t1, t2, low, high``: ranges of starts of strings that start anywhere else too.
+    """``t1, t2, starts``: ranges ``low, high`` of starts of strings that start anywhere else too.
 
     ``texts``: ``t1, t2, body``, a row for every text.
     """
+
+    def several(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return written(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys), name)
+
     rows = written(anchor_rows(texts, length, gram), "suffix_anchors")
     # Initial buckets: only those of two anchors or more stay open.
-    grams = rows.select(F.explode("a.g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    grams = written(grams, "suffix_buckets")
-    few = grams.count() <= BROADCAST_BUCKETS
-    flat = rows.select("t1", "t2", F.explode("a").alias("a")).select("t1", "t2", "a.*")
-    shared = written(flat.join(F.broadcast(grams) if few else grams, "g", "left_semi"), "suffix_shared")
+    grams = several(rows.select(F.explode("a.g").alias("g")), ["g"], "suffix_buckets")
+    flat = rows.select("t1", "t2", F.explode("a").alias("a")).select("t1", "t2", "a.low", "a.high", "a.g", "a.v")
+    shared = written(_with_keys(flat, grams), "suffix_shared")
+    forget(rows, grams)
     # First refinement, by stretches.
     stretch = shared.groupBy("g", "v").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "low")).alias("first"))
     stretch = written(stretch, "suffix_stretches")
-    full = stretch.filter("n > 1").select("g", "v")
-    ranges = shared.join(full, ["g", "v"], "left_semi").select("t1", "t2", "low", "high")
-    # Second refinement: buckets of several stretches.
-    mixed = written(stretch.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "suffix_mixed")
-    opened = stretch.join(mixed, "g", "left_semi").select("first.*", "n")
+    full = shared.join(stretch.filter("n > 1").select("g", "v"), ["g", "v"], "left_semi").select("t1", "t2", "low", "high")
+    full = written(full.groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("starts")), "suffix_starts1")
+    # Second refinement: buckets of several stretches, by the cores of pieces.
+    opened = _with_keys(stretch, several(stretch, ["g"], "suffix_mixed")).select("first.*")
     opened = written(opened.groupBy("t1", "t2").agg(F.collect_set("low").alias("stretches")), "suffix_open")
-    bodies = texts.join(opened.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("body").alias("body"))
-    strings = written(string_rows(bodies.join(opened, ["t1", "t2"]), length, gram), "suffix_strings")
-    # Stretches of one bucket send a string once each, so two rows are two stretches.
-    twice = written(strings.groupBy("g", "off", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "suffix_twice")
-    points = strings.join(twice, ["g", "off", "w"], "left_semi").select("t1", "t2", F.col("p").alias("low"), F.col("p").alias("high"))
-    return ranges.unionByName(points).distinct()
+    forget(shared, stretch)
+    keys = written(opened.select("t1", "t2"), "suffix_texts")
+    bodies = _with_keys(texts, keys).groupBy("t1", "t2").agg(F.first("body").alias("body"))
+    pieces = written(piece_rows(bodies.join(opened, ["t1", "t2"]), length, gram), "suffix_pieces")
+    kinds = written(pieces.groupBy("g", "k", "core", "v").agg(F.count("*").alias("n")), "suffix_cores")
+    equal = pieces.select("g", "k", "core", "v", "t1", "t2", "p", F.size("ws").alias("size"))
+    equal = equal.join(kinds.filter("n > 1").select("g", "k", "core", "v"), ["g", "k", "core", "v"], "left_semi")
+    # Third refinement: cores of several pieces, by strings.  A piece holds a string once, so two rows are two pieces.
+    mixed = _with_keys(pieces.select("g", "k", "core", "t1", "t2", "off", "p", "ws"), several(kinds, ["g", "k", "core"], "suffix_mixed_cores"))
+    strings = mixed.select("g", "t1", "t2", "off", "p", F.posexplode("ws").alias("i", "w"))
+    strings = written(strings.select("g", (F.col("off") - F.col("i")).alias("off"), "w", "t1", "t2", (F.col("p") + F.col("i")).alias("p")), "suffix_strings")
+    points = _with_keys(strings, several(strings, ["g", "off", "w"], "suffix_twice"))
+    rest = equal.select("t1", "t2", F.col("p").alias("low"), (F.col("p") + F.col("size") - 1).alias("high")).unionByName(
+        points.select("t1", "t2", F.col("p").alias("low"), F.col("p").alias("high"))
+    )
+    rest = written(rest.groupBy("t1", "t2").agg(F.collect_set(F.struct("low", "high")).alias("starts")), "suffix_starts2")
+    forget(pieces, kinds, strings)
+    found = written(full.unionByName(rest).groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts")), "suffix_starts")
+    forget(full, rest)
+    return found
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", removed: str = "removed", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -253,9 +294,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", removed: str = "removed"
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(*text_key(body), body.alias("body"))
     found = repeated_starts(texts.filter(F.length("body") >= length), length, gram)
-    spans = written(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("low", "high")).alias("starts")), "suffix_starts")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    met = docs.select(row, body.alias("body"), *text_key(body)).join(spans, ["t1", "t2"], "left").select("row", "body", "starts")
+    met = docs.select(row, body.alias("body"), *text_key(body)).join(found, ["t1", "t2"], "left").select("row", "body", "starts")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = T.StructType([
         met.schema["row"], T.StructField("kept", T.BinaryType()),
