@@ -10,14 +10,14 @@ of each slot is the signature.  Points are generated in order of time and only u
 time at which the slots are filled, so a long text costs hardly more than a short one.
 
 Bands of the signature give buckets.  In every bucket all texts meet one pivot, and the
-best pivots of a text are verified by exact overlap of the multisets.  Where a bucket
-then still holds texts of different classes, all its pairs are compared by signature,
-in blocks, and those that can reach the similarity are verified too.  So buckets of
-thousands of copies cost a pass each, no bucket is cut off, and every link between
-classes that the bands find is verified exactly.
+best pivots of a text are verified by exact overlap of the multisets.  Classes that then share a
+bucket make a family.  Texts of a family are compared by exact overlap, all classes with each other but not
+within the largest one: a family is cut into blocks, and two blocks meet in one multiplication of
+0/1 matrices, which sends back no more links than it takes to connect classes.  So no pair of texts is a
+row, buckets are not cut off, and every link between classes that the bands find is found.
 
 At a similarity of 0.8, 26 bands of 5 miss a pair with a chance of 3e-5, and comparing
-by signature drops one with a chance of 3e-5.  Equal texts are one node from the start.
+pivots by signature drops one with a chance of 3e-5.  Equal texts are one node from the start.
 Texts and shingles are told apart by 64-bit hashes.
 
 Null text is empty.  A text without words is near no other text; equal ones are copies.
@@ -30,13 +30,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import forget, whole_text, written
+from loomgraph.llm.shared import as_row, forget, named, whole_text, written
 
 ship_by_value(__name__)
 
@@ -48,10 +47,10 @@ SLOTS = BANDS * ROWS
 LEAST_EQUAL = int(SIMILARITY * SLOTS - 4 * (SLOTS * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Pivots that a text is verified with in the first pass.
 FIRST_PIVOTS = 2
-#: Pairs of two classes that are verified before all others of theirs.
-BEST_OF_CLASSES = 3
-#: Texts of a bucket that are compared with each other in one step.
-BLOCK_TEXTS = 256
+#: Texts and items of a block of a family.
+BLOCK_TEXTS, BLOCK_ITEMS = 2_048, 1 << 18
+#: Columns of a matrix that is multiplied.
+TILE_ITEMS = 1_024
 #: Node lists up to this length (8 bytes each) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_NODES = 2_000_000
 #: Texts to verify are broadcast up to this many bytes in total.
@@ -289,58 +288,130 @@ def classes(links: DataFrame) -> DataFrame:
         forget(before)
 
 
-def _cells(rows: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    """``x, y`` of different classes that share a bucket and can reach the similarity, each once.
+def elements(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """``node, items``: the multiset of each wanted text as a set; the n-th use of a shingle is an item of its own."""
 
-    ``rows``: ``h, band, node, class, linked, n`` with ``n`` texts in the bucket.  A bucket is cut into
-    blocks; a text goes to the cells in which its block meets the others.  With ``best`` only the
-    pair with most equal slots of two classes in a cell, of which one at least has links.
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, lengths = _lists(batch.column(1))
+            for first, last in _spans(lengths):
+                part = batch.slice(first, last - first)
+                words, counts = _lists(part.column(1))
+                rows, hashes, weights = bags(*shingles(words, counts))
+                turn = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+                items = mixed(np.repeat(hashes, weights) + turn.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+                total = np.bincount(rows, weights=weights, minlength=len(counts)).astype(np.int64)
+                # Rows come in order but for those of few words.
+                order = np.argsort(np.repeat(rows, weights), kind="stable")
+                offsets = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(items[order].view(np.int64)))], names=["node", "items"])
+
+    few = nodes.count() <= BROADCAST_NODES
+    texts = docs.select(F.xxhash64(whole_text(text)).alias("node"), whole_text(text).alias("text"))
+    # Copies of a text leave each map task once.
+    found = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return found.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(stage, "node bigint, items array<bigint>")
+
+
+def shared_items(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``one`` with all of ``two``, each flat items and lengths.
+
+    A multiplication of 0/1 matrices, a tile of items at a time; sums are below 2 ** 24, so float32 is exact.
+    """
+    values = np.concatenate([one[0], two[0]])
+    row = np.concatenate([np.repeat(np.arange(len(one[1])), one[1]), np.repeat(np.arange(len(two[1])), two[1])])
+    _, column, counts = np.unique(values, return_inverse=True, return_counts=True)
+    often = counts > 1
+    place = np.cumsum(often) - 1
+    total = np.zeros((len(one[1]), len(two[1])), np.int64)
+    on = often[column]
+    right = np.arange(len(values)) >= len(one[0])
+    row, column, right = row[on], place[column[on]], right[on]
+    order = np.argsort(column, kind="stable")
+    row, column, right = row[order], column[order], right[order]
+    for start in range(0, int(often.sum()), TILE_ITEMS):
+        low, high = np.searchsorted(column, [start, start + TILE_ITEMS])
+        r, c, side = row[low:high], column[low:high] - start, right[low:high]
+        sides = [np.zeros((len(lengths), TILE_ITEMS), np.float32) for _, lengths in (one, two)]
+        for dense, mask in zip(sides, (~side, side), strict=True):
+            dense[r[mask], c[mask]] = 1
+        total += (sides[0] @ sides[1].T).astype(np.int64)
+    return total
+
+
+def spanning(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of pairs that are enough to connect what all pairs connect."""
+    parent: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while parent.setdefault(n, n) != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    keep = []
+    for place, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(place)
+    return np.array(keep, np.int64)
+
+
+def family_links(members: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+    """``x, y``: links between different classes of a family, enough to connect its classes.
+
+    ``members``: ``family, node, class``.  Texts of a family's largest class are known to be connected, so they
+    meet the others only.  A family is cut into blocks; in a cell two blocks meet by one multiplication.
     """
-    blocks = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = rows.select(
-        "h", "band", "node", "class", "linked", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"),
-    ).join(nodes.select("node", "sig"), "node")
-    spread = spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def cell(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node")
-        band, i, j = int(frame["band"].iloc[0]), int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        left = frame[frame["own"] == i]
-        right = left if i == j else frame[frame["own"] == j]
-        found = []
-        one, two = (np.frombuffer(b"".join(side["sig"]), "<u2").reshape(-1, SLOTS) for side in (left, right))
-        nodes, kinds, linked = (right[c].to_numpy() for c in ("node", "class", "linked"))
-        for a, (node, kind, has_links) in enumerate(zip(left["node"], left["class"], left["linked"], strict=True)):
-            same = two == one[a]
-            equal = same.sum(1)
-            ok = (equal >= LEAST_EQUAL) & (kinds != kind)
-            if best and not has_links:
-                ok &= linked
-            if i == j:
-                ok[: a + 1] = False
-            at = np.flatnonzero(ok)
-            # Of the buckets that two texts share, the first one names them.
-            at = at[same[at].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
-            low, high = np.minimum(kind, kinds[at]), np.maximum(kind, kinds[at])
-            found.append(pd.DataFrame({"x": np.full(len(at), node), "y": nodes[at], "low": low, "high": high, "equal": equal[at]}))
-        pairs = pd.concat(found) if found else pd.DataFrame({c: [] for c in ("x", "y", "low", "high", "equal")})
-        if best:
-            pairs = pairs.sort_values(["equal", "x", "y"], ascending=[False, True, True]).drop_duplicates(["low", "high"])
-        return pairs.astype("int64")
-
-    pairs = spread.groupBy("h", "i", "j").applyInPandas(cell, "x bigint, y bigint, low bigint, high bigint, equal bigint")
-    if best:
-        ranked = F.row_number().over(Window.partitionBy("low", "high").orderBy(F.desc("equal"), "x", "y"))
-        pairs = pairs.withColumn("r", ranked).filter(F.col("r") <= BEST_OF_CLASSES)
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    items = written(elements(docs, written(members.select("node").distinct(), "family_nodes"), text), "family_items")
+    sized = written(members.join(items.select("node", F.size("items").alias("size")), "node"), "family_members")
+    kinds = sized.groupBy("family", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = F.max(F.struct("n", "class", "size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
+    plan = kinds.groupBy("family").agg(largest.alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")).select(
+        "family", F.col("most.class").alias("largest"), blocks(F.col("most.n"), F.col("most.size")).alias("tail"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("head"),
+    )
+    placed = sized.join(written(plan, "family_plan"), "family")
+    inside = F.col("class") != F.col("largest")
+    own = F.when(inside, F.pmod(F.xxhash64("node"), F.col("head"))).otherwise(F.col("head") + F.pmod(F.xxhash64("node"), F.col("tail"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("head") + F.when(inside, F.col("tail")).otherwise(0) - 1)
+    spread = placed.select("family", "node", "class", own.alias("own"), F.explode(others).alias("other"))
+    spread = spread.select("family", "node", "class", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, kind, own = (table.column(c).to_numpy() for c in ("node", "class", "own"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        column = table.column("items").chunk(0)
+        sides = []
+        for block in (i, j):
+            rows = np.flatnonzero(own == block)
+            values, lengths = _lists(column.take(pa.array(rows)))
+            sides.append((rows, values, lengths))
+        (left, values, sizes), (right, values2, sizes2) = sides
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            shared = shared_items((values, sizes), (values2, sizes2))
+            whole = sizes[:, None] + sizes2[None, :] - shared
+            a, b = np.nonzero((shared / np.maximum(whole, 1) >= similarity) & (kind[left][:, None] != kind[right][None, :]))
+            x, y = left[a], right[b]
+            # One pair for two classes is enough, and of these as many as connect them.
+            ends = np.stack([np.minimum(kind[x], kind[y]), np.maximum(kind[x], kind[y])], 1)
+            ends, first = np.unique(ends, axis=0, return_index=True)
+            keep = first[spanning(ends[:, 0], ends[:, 1])] if len(first) else first
+            xs, ys = [np.minimum(node[x[keep]], node[y[keep]])], [np.maximum(node[x[keep]], node[y[keep]])]
+        return pa.table({"x": pa.array(np.concatenate(xs)), "y": pa.array(np.concatenate(ys))})
+
+    return spread.join(items, "node").groupBy("family", "i", "j").applyInArrow(cell, "x bigint, y bigint")
 
 
 def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``x, y``: verified pairs of texts, enough of them to connect every class.
 
-    Pairs are verified in four passes, those most likely to connect classes first; every pass looks
-    only at pairs whose classes still differ, and the last one at all of these.
+    First every text is verified with its best pivots.  Buckets that then still hold different classes
+    make families, whose texts of different classes are compared exactly.
     """
     nodes = written(sketches(docs, text), "sketches")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
@@ -353,49 +424,32 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     sig = nodes.select("node", "sig")
     compared = _equal_slots(met.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y"))
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("equal"), "y"))
-    ranked = written(compared.withColumn("r", best), "pivot_pairs")
-
-    def grown(known: DataFrame | None, pairs: DataFrame, name: str) -> DataFrame:
-        more = verified(pairs, docs, text, similarity)
-        return written(more if known is None else known.union(more), name)
-
-    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        own = lambda c: F.coalesce(F.col(f"class_{c}"), F.col(c))
-        for c in ("x", "y"):
-            pairs = pairs.join(found.toDF(c, f"class_{c}"), c, "left")
-        return pairs.filter(own("x") != own("y")).select("x", "y")
-
-    def open_buckets(found: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets of three and more that hold different classes; pairs with a pivot are known."""
-        classed = shared.filter("n > 2").join(found, "node", "left").select(
-            "h", "band", "node", "n", F.coalesce("class", "node").alias("class"), F.col("class").isNotNull().alias("linked")
-        )
-        mixed_h = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("h")
-        return classed.join(written(mixed_h, name), "h")
-
-    first = grown(None, ranked.filter(F.col("r") <= FIRST_PIVOTS), "links1")
-    later = ranked.filter(F.col("r") > FIRST_PIVOTS)
-    second = grown(first, apart(later, classes(first)), "links2")
-    found = classes(second)
-    tried = written(_cells(open_buckets(found, "open_buckets1"), nodes, best=True).distinct(), "best_pairs")
-    third = grown(second, tried, "links3")
-    found = classes(third)
-    rest = _cells(open_buckets(found, "open_buckets2"), nodes, best=False).join(tried, ["x", "y"], "left_anti")
-    return grown(third, written(rest, "last_pairs"), "links4")
+    ranked = written(compared.withColumn("r", best).filter(F.col("r") <= FIRST_PIVOTS), "pivot_pairs")
+    first = written(verified(ranked, docs, text, similarity), "links1")
+    found = written(classes(first), "classes_of_pivots")
+    # In a bucket of two, the pair with the pivot is all there is, but it may have been no best one.
+    classed = shared.join(found, "node", "left").select("h", "node", F.coalesce("class", "node").alias("class"))
+    mixed_h = classed.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("h", "low")
+    open_rows = written(classed.join(written(mixed_h, "open_buckets"), "h").select("node", "class", "low").distinct(), "open_rows")
+    tied = classes(open_rows.filter("class <> low").select(F.col("class").alias("x"), F.col("low").alias("y")).distinct())
+    members = open_rows.select("node", "class").distinct().join(tied.toDF("class", "family"), "class").select("family", "node", "class")
+    more = written(family_links(members, docs, text, similarity), "links2")
+    forget(nodes, pivots, shared, ranked)
+    return first.union(more)
 
 
 def _classed(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """``key, node, class, class_id`` of every row."""
+    """``row, key, node, class, class_id`` of every row."""
     found = classes(links(docs, text, similarity))
-    rows = docs.select(F.col(key), F.xxhash64(whole_text(text)).alias("node"))
-    placed = rows.join(found, "node", "left").select(key, "node", F.coalesce("class", "node").alias("class"))
-    names = written(placed.groupBy("class").agg(F.min(key).alias("class_id")), "class_names")
-    return placed.join(names, "class").select(key, "node", "class", "class_id")
+    rows = docs.select(as_row(docs), named(key).alias("key"), F.xxhash64(whole_text(text)).alias("node"))
+    placed = rows.join(found, "node", "left").select("row", "key", "node", F.coalesce("class", "node").alias("class"))
+    names = written(placed.groupBy("class").agg(F.min("key").alias("class_id")), "class_names")
+    return placed.join(names, "class").select("row", "key", "node", "class", "class_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``key, node, class_id`` of every row; ``class_id`` is the smallest key of its class."""
-    return _classed(docs, key, text, similarity).drop("class")
+    return _classed(docs, key, text, similarity).select(F.col("key").alias(key), "node", "class_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -404,16 +458,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     Classes whose smallest keys are equal keep a row each.  Of the rows of a class that share its smallest
     key, the text with the smallest hash stays, and of equal texts the row whose other columns come first.
     """
-    least = _classed(docs, key, text, similarity).filter(F.col(key).eqNullSafe(F.col("class_id")))
-    texts = least.groupBy("class", F.col(key).alias("_k"), F.col("node").alias("_n")).agg(F.count("*").alias("_times"))
-    first = texts.filter(F.col("_k").isNotNull()).groupBy("class").agg(F.min(F.struct("_k", "_n", "_times")).alias("m")).select("m.*")
-    kept = written(first.unionByName(texts.filter(F.col("_k").isNull()).select("_k", "_n", F.lit(1).cast("bigint").alias("_times"))), "kept_documents")
-    here = docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(whole_text(text)) == F.col("_n"))
-    if kept.filter("_times > 1").isEmpty():
-        return docs.join(kept, here, "left_semi")
-    repeated = docs.join(kept.filter("_times > 1"), here, "left_semi")
-    order = F.to_json(F.struct(F.col(text).isNull().alias("_null"), *[F.col(f"`{c}`") for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
-    once = repeated.groupBy(F.col(key).alias("_k"), F.xxhash64(whole_text(text)).alias("_n")).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")
-    )
-    return docs.join(kept.filter("_times = 1"), here, "left_semi").unionByName(once.select("_row.*"))
+    least = _classed(docs, key, text, similarity).filter(F.col("key").eqNullSafe(F.col("class_id")))
+    texts = least.groupBy("class", "key", "node").agg(F.count("*").alias("times"))
+    first = texts.filter(F.col("key").isNotNull()).groupBy("class").agg(F.min(F.struct("key", "node", "times")).alias("m")).select("m.*")
+    kept = written(first.unionByName(texts.filter(F.col("key").isNull()).select("key", "node", F.lit(1).cast("bigint").alias("times"))), "kept_documents")
+    rows = docs.select(as_row(docs), named(key).alias("key"), F.xxhash64(whole_text(text)).alias("node"))
+
+    def among(some: DataFrame) -> DataFrame:
+        return rows.join(some, rows["key"].eqNullSafe(some["key"]) & (rows["node"] == some["node"]), "left_semi")
+
+    if kept.filter("times > 1").isEmpty():
+        return among(kept).select("row.*")
+    order = F.to_json(F.struct(named(text).isNull().alias("is_null"), F.struct(*[named(c) for c in docs.columns if c != text]).alias("others")), {"ignoreNullFields": "false"})
+    repeated = docs.select(as_row(docs), named(key).alias("key"), F.xxhash64(whole_text(text)).alias("node"), order.alias("order"))
+    twice = kept.filter("times > 1")
+    repeated = repeated.join(twice, repeated["key"].eqNullSafe(twice["key"]) & (repeated["node"] == twice["node"]), "left_semi")
+    once = repeated.groupBy("key", "node").agg(F.min_by("row", "order").alias("row"))
+    return among(kept.filter("times = 1")).select("row.*").unionByName(once.select("row.*"))

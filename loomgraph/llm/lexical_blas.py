@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import forget, whole_text, written
+from loomgraph.llm.shared import forget, named, whole_text, written
 from loomgraph.llm.word_cache import blocks, chunks
 
 ship_by_value(__name__)
@@ -74,7 +74,7 @@ def item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
                     ], names=["item", "term", "times"])
 
     schema = f"item {items.schema[key].dataType.simpleString()}, term binary, times bigint"
-    rows = items.select(F.col(f"`{key}`").alias("item"), whole_text(f"`{text}`").alias("text")).mapInArrow(stage, schema)
+    rows = items.select(named(key).alias("item"), whole_text(text).alias("text")).mapInArrow(stage, schema)
     # Items whose rows repeat are one item with all their terms.
     return rows.groupBy("item", "term").agg(F.sum("times").alias("times"))
 
@@ -105,7 +105,7 @@ def document_terms(docs: DataFrame, vocabulary: list[bytes], key: str, text: str
                     pa.ListArray.from_arrays(offsets, pa.array(flat[0])), pa.ListArray.from_arrays(offsets, pa.array(flat[1])),
                 ], names=["id", "n", "at", "tf"])
 
-    return docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), whole_text(f"`{text}`").alias("text")).mapInArrow(
+    return docs.select(named(key).cast("bigint").alias("id"), whole_text(text).alias("text")).mapInArrow(
         stage, "id bigint, n bigint, at array<int>, tf array<bigint>"
     )
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import written
+from loomgraph.llm.shared import named, written
 
 ship_by_value(__name__)
 
@@ -312,11 +312,11 @@ def manifest(
     Rows: ``key, leaf, subroot, root, path, folded_root``.  ``changed`` is the text that is checked against
     the manifest, the row's own by default; where it differs, ``folded_root`` is not the root.
     """
-    own = [F.col(f"`{c}`") for c in columns]
+    own = [named(c) for c in columns]
     leaf = leaf_digest(own)
     other = leaf_digest([changed if c == text else v for c, v in zip(columns, own, strict=True)]) if changed is not None else leaf
     leaves = docs.select(
-        group_key(F.col(f"`{group}`")).alias("g"), F.col(f"`{key}`").alias("key"), leaf.alias("digest"), other.alias("other"),
+        group_key(named(group)).alias("g"), named(key).alias("key"), leaf.alias("digest"), other.alias("other"),
         F.monotonically_increasing_id().alias("tie"),
     )
     leaves = written(numbered(written(leaves, "merkle_leaves"), ["key", "digest", "tie"]), "merkle_numbered")

@@ -42,9 +42,19 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def named(column: str) -> Column:
+    """The column of this name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one, so that none can clash with those of an operator; ``select("row.*")`` unpacks it."""
+    return F.struct(*[named(c) for c in df.columns]).alias(name)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def tokenizer_path(name: str) -> str:

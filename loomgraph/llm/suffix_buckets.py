@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import forget, written
+from loomgraph.llm.shared import as_row, forget, whole_text, written
 
 ship_by_value(__name__)
 
@@ -291,11 +291,10 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 def remove_repeats(docs: DataFrame, text: str = "text", removed: str = "removed", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``row`` (the given columns), ``kept`` (bytes left) and ``removed``: spans ``start, end`` of bytes."""
-    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
+    body = whole_text(text).cast("binary")
     texts = docs.select(*text_key(body), body.alias("body"))
     found = repeated_starts(texts.filter(F.length("body") >= length), length, gram)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    met = docs.select(row, body.alias("body"), *text_key(body)).join(found, ["t1", "t2"], "left").select("row", "body", "starts")
+    met = docs.select(as_row(docs), body.alias("body"), *text_key(body)).join(found, ["t1", "t2"], "left").select("row", "body", "starts")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = T.StructType([
         met.schema["row"], T.StructField("kept", T.BinaryType()),
