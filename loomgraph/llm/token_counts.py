@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import whole_text, written
+from loomgraph.llm.shared import named, whole_text, written
 from loomgraph.llm.word_cache import JsonTokenizer, worker_once
 
 ship_by_value(__name__)
@@ -64,12 +64,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     body = whole_text(text)
-    keyed = docs.select(F.sha2(body, 256).alias("content_digest"), body.alias("text"))
-    misses = (
-        keyed.join(stored_counts(spark, cache, version), "content_digest", "left_anti")
-        .groupBy("content_digest").agg(F.first("text").alias("text"))
-    )
+    # Grouped before the anti-join, so that copies are folded in the task that reads them.
+    distinct = docs.groupBy(F.sha2(body, 256).alias("content_digest")).agg(F.first(body).alias("text"))
+    misses = distinct.join(stored_counts(spark, cache, version), "content_digest", "left_anti")
     encode_counts(misses, tokenizer).withColumn("tokenizer_digest", F.lit(version)).write.partitionBy("tokenizer_digest").mode("append").parquet(cache)
-    rows = docs.select(F.col(key), F.sha2(body, 256).alias("content_digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
+    rows = docs.select(named(key).alias("key"), F.sha2(body, 256).alias("content_digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
     # Read from a table of their own, the counts leave the copies of one text free to be split over tasks.
-    return rows.join(written(stored_counts(spark, cache, version), "known_counts"), "content_digest").select(key, "n_bytes", "n_tokens")
+    counted = rows.join(written(stored_counts(spark, cache, version), "known_counts"), "content_digest")
+    return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens")
