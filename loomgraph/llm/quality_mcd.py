@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import forget, whole_text, written
+from loomgraph.llm.shared import forget, named, whole_text, written
 
 #: Unit of the fixed-point statistics.
 SCALE = 1024
@@ -203,9 +203,9 @@ def estimates(vectors: DataFrame, n_groups: int) -> DataFrame:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
     """``row`` (a struct of the columns ``keep``, by default all), the counts, ``base_failed`` and ``kept``."""
     keep = docs.columns if keep is None else keep
-    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    group = lambda c: F.coalesce(F.concat(F.lit("="), named(c).cast("string")), F.lit("null"))
     rows = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("row"), group(lang).alias("glang"), group(source).alias("gsource"),
+        F.struct(*[named(c) for c in keep]).alias("row"), group(lang).alias("glang"), group(source).alias("gsource"),
         whole_text(text).alias("body"),
     )
     counted = base_counts(rows, F.col("body")).drop("body").withColumn("base_failed", base_failed())

@@ -20,6 +20,7 @@ empty table gives an empty result.  The other columns stay as they are.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import written
+from loomgraph.llm.shared import as_row, named, written
 from loomgraph.llm.word_cache import chunks
 
 ship_by_value(__name__)
@@ -81,7 +82,7 @@ def _digest_rows(docs: DataFrame, key: str, text: str, unit: str, min_words: int
                 yield pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), keys], names=["h1", "h2", "key"])
 
     schema = f"h1 bigint, h2 bigint, key {docs.schema[key].dataType.simpleString()}"
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(stage, schema)
+    return docs.select(named(key).alias("key"), named(text).cast("string").alias("text")).mapInArrow(stage, schema)
 
 
 def remove_repeats(
@@ -95,34 +96,32 @@ def remove_repeats(
     # Written, as a join with a plain table can split the rows of a unit that very many documents hold.
     keepers = written(keepers, "kept_units")
     gone = rows.join(keepers, ["h1", "h2"]).filter(~F.col("key").eqNullSafe(F.col("first_key")))
-    lost = gone.groupBy(F.col("key").alias("_gone_key")).agg(F.collect_set("h1").alias("_gone"))
-    met = docs.withColumn(text, F.col(text).cast("string")).join(lost, docs[key].eqNullSafe(F.col("_gone_key")), "left")
-    met = met.select(*[F.col(f"`{c}`") for c in docs.columns], "_gone")
-    place, pattern = docs.columns.index(text), DELIMITERS[unit]
+    lost = gone.groupBy("key").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
+    rows = docs.select(as_row(docs), named(text).cast("string").alias("body"), named(key).alias("key"))
+    met = rows.join(lost, rows["key"].eqNullSafe(lost["key"]), "left").select("row", "body", "gone")
+    pattern = DELIMITERS[unit]
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*met.schema.fields[:-1], T.StructField(removed, spans)])
+    schema = T.StructType([met.schema["row"], T.StructField("body", T.StringType()), T.StructField("cuts", spans)])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = schema.fieldNames()
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = re.compile(pattern)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(1).to_pylist()
             for first, last in chunks((len(t or "") for t in texts), BATCH_CHARS):
                 kept, cuts = [], []
                 part = batch.slice(first, last - first)
-                for body, gone in zip(texts[first:last], part.column(part.num_columns - 1).to_pylist(), strict=True):
-                    lost, seen, out, spans, at = set(gone or ()), set(), [], [], 0
+                for body, gone in zip(texts[first:last], part.column(2).to_pylist(), strict=True):
+                    lost, seen, out, spans, at = {(g["h1"], g["h2"]) for g in gone or ()}, set(), [], [], 0
                     for start, end, digest in unit_digests(body or "", ends, min_words):
-                        if digest in seen or int.from_bytes(digest[:8], "little", signed=True) in lost:
+                        if digest in seen or struct.unpack("<qq", digest) in lost:
                             out.append(body[at:start])
                             spans.append({"start": start, "end": end})
                             at = end
                         seen.add(digest)
                     kept.append(body if not spans else "".join([*out, body[at:]]))
                     cuts.append(spans)
-                columns = [part.column(n) for n in range(part.num_columns - 1)]
-                columns[place] = pa.array(kept, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cuts, span_type)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array(cuts, span_type)], names=["row", "body", "cuts"])
 
-    return met.mapInArrow(stage, schema)
+    found = met.mapInArrow(stage, schema)
+    return found.select(*[(F.col("body") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns], F.col("cuts").alias(removed))
