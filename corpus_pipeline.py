@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bag_minhash, packing, quality_mcd, unit_dedup
-from loomgraph.llm.shared import tokenizer_path, written
+from loomgraph.llm.shared import named, tokenizer_path, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sentences that an earlier document holds go from the texts."""
-    kept = unit_dedup.remove_repeats(docs, removed="_removed")
-    gone = F.size("_removed") > 0
+    removed = "removed"
+    while removed in docs.columns:
+        removed += "_"
+    kept = unit_dedup.remove_repeats(docs, removed=removed)
+    gone = F.size(removed) > 0
     return kept.select(
-        *[F.when(gone, F.char_length("text").cast("bigint")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+        *[F.when(gone, F.char_length("text").cast("bigint")).otherwise(named(c)).alias(c) if c == "n_chars" else named(c) for c in docs.columns]
     )
 
 
