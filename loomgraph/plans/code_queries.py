@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import model
@@ -204,6 +204,67 @@ def java_relationships(spark, sf):
     return found.relationships.select("src", "dst", "type").distinct()
 
 
+_PACKAGE_MODULE = """from .shared import helper
+from ..{o}.shared import helper as other
+from lib.{o}.part_{m} import Part{m}
+from . import part_{f}
+from lib.{b} import VERSION
+import lib.{b}.shared.missing
+import {b}.shared
+import json
+from outside.kit import part_{k}
+
+class Part{k}:
+    pass
+"""
+
+
+def package_files(spark, sf) -> DataFrame:
+    """A package per brand with equal names in every package, and a module per part."""
+    brand = F.lower(F.translate("p_brand", "#", "_"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), brand.alias("b"))
+    brands = parts.groupBy("b").agg(F.min("k").alias("f"), F.max("k").alias("m"))
+    # The next brand by name, round and round; there are 25 at most.
+    ring = Window.orderBy("b")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = brands.select(
+        "b", "f", F.coalesce(F.lead("b").over(ring), F.first("b").over(whole)).alias("o"), F.coalesce(F.lead("m").over(ring), F.first("m").over(whole)).alias("m"),
+    )
+    rows = parts.join(F.broadcast(after), "b")
+    modules = rows.select(
+        F.format_string("lib/%s/part_%d.py", "b", "k").alias("file_path"), _filled(_PACKAGE_MODULE, k="k", b="b", o="o", m="m", f="f").alias("text"),
+    )
+    fixed = F.array(
+        F.struct(F.concat(F.lit("lib/"), "b", F.lit("/__init__.py")).alias("file_path"), F.lit("VERSION = 1\n").alias("text")),
+        F.struct(F.concat(F.lit("lib/"), "b", F.lit("/shared.py")).alias("file_path"), F.lit("def helper():\n    return 1\n").alias("text")),
+    )
+    rest = brands.select(F.explode(fixed).alias("x")).select("x.*")
+    return modules.unionByName(rest).select("file_path", F.col("text").cast("binary").alias("content"))
+
+
+@query(
+    "source_imports_intended",
+    """WITH p AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '_')) AS b FROM part),
+    g AS (SELECT b, min(k) AS f, max(k) AS m FROM p GROUP BY b),
+    h AS (SELECT b, f, coalesce(lead(b) OVER w, first_value(b) OVER w) AS o, coalesce(lead(m) OVER w, first_value(m) OVER w) AS m FROM g WINDOW w AS (ORDER BY b)),
+    x AS (SELECT p.k, p.b, f, o, m, 'lib_' || p.b || '_part_' || k || '_py_import_' AS i FROM p JOIN h USING (b))
+    SELECT DISTINCT i || e.a AS src, e.z AS dst FROM (SELECT i, unnest([
+      {'a': 'helper', 'z': 'lib_' || b || '_shared_py_function_helper'},
+      {'a': 'helper', 'z': 'lib_' || o || '_shared_py_function_helper'},
+      {'a': 'Part' || m, 'z': 'lib_' || o || '_part_' || m || '_py_class_Part' || m},
+      {'a': 'part_' || f, 'z': 'file_lib_' || b || '_part_' || f || '_py'},
+      {'a': 'VERSION', 'z': 'file_lib_' || b || '___init___py'},
+      {'a': 'lib.' || b || '.shared.missing', 'z': 'file_lib_' || b || '_shared_py'},
+      {'a': b || '.shared', 'z': 'file_lib_' || b || '_shared_py'},
+      {'a': 'json', 'z': 'external_module_json'},
+      {'a': 'part_' || k, 'z': 'external_module_outside_kit_part_' || k}]) AS e FROM x)""",
+)
+def source_imports_intended(spark, sf):
+    """Imports of modules, packages and definitions by absolute and relative names."""
+    found = extract(parse_sources(package_files(spark, sf)), published=False)
+    return found.relationships.filter("type = 'IMPORTS'").select("src", "dst").distinct()
+
+
 @query(
     "code_entity_table",
     f"""WITH {_PART_SQL} SELECT c || '_function_convert_' || k AS id, 'convert_' || k AS name, path AS file_path,
