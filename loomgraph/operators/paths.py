@@ -1,10 +1,9 @@
 """Shortest paths as rounds of frontier joins.
 
-Distances are integer tenths of the published weights, so sums are exact and
+Distances are whole units, tenths for the published weights, so sums are exact and
 every engine that adds them agrees.  One round joins the nodes improved last
 round with their outgoing edges and keeps the minimum per target; the state
-after each round is checkpointed.  Weights are at least 1.0, so a cutoff of
-``d`` bounds the rounds by ``d``.
+after each round is checkpointed.
 """
 
 from __future__ import annotations
@@ -20,27 +19,45 @@ from loomgraph.operators.lookups import BROADCAST_ROWS, heavy_keys, repeat_rows,
 from loomgraph.session import bucketed, cut_lineage
 
 
+#: Units of the finest weights, per 1.0.
+FINE = 1_000_000
+
+
 @dataclass(frozen=True)
 class Weights:
-    """Edge weights per type in tenths; ``uniform`` charges the default for every edge,
-    which is what edges stored without a single type cost."""
+    """Edge weights per type in whole units, ``scale`` of them per 1.0; ``uniform`` charges the default for every
+    edge, which is what edges stored without a single type cost."""
 
     tenths: tuple[tuple[str, int], ...] = tuple(model.EDGE_WEIGHT_TENTHS.items())
     default: int = model.DEFAULT_WEIGHT_TENTHS
     uniform: bool = False
+    scale: int = 10
 
     def updated(self, new: dict[str, float]) -> Weights:
-        table = dict(self.tenths)
-        default = self.default
+        """Other weights for some types; units become millionths where tenths cannot hold them."""
+        fine = self.scale == FINE or any(abs(w * self.scale - round(w * self.scale)) > 1e-9 for w in new.values())
+        scale = FINE if fine else self.scale
+        table = {kind: w * (scale // self.scale) for kind, w in self.tenths}
+        default = self.default * (scale // self.scale)
         for kind, weight in new.items():
+            units = round(weight * scale)
+            if units <= 0:
+                raise ValueError(f"weight {weight} of {kind} is not above zero")
             if kind == "default":
-                default = round(weight * 10)
+                default = units
             else:
-                table[kind] = round(weight * 10)
-        return Weights(tuple(table.items()), default, self.uniform)
+                table[kind] = units
+        return Weights(tuple(table.items()), default, self.uniform, scale)
 
     def as_dict(self) -> dict[str, float]:
-        return {**{k: v / 10 for k, v in self.tenths}, "default": self.default / 10}
+        return {**{k: v / self.scale for k, v in self.tenths}, "default": self.default / self.scale}
+
+    def units(self, distance: float) -> int:
+        """The most units within a distance."""
+        return int(distance * self.scale + 1e-9)
+
+    def distance(self, units: Column) -> Column:
+        return F.coalesce(units / F.lit(float(self.scale)), F.lit(float("inf")))
 
     def column(self, edge_type: Column) -> Column:
         if self.uniform or not self.tenths:
@@ -49,7 +66,7 @@ class Weights:
         return F.coalesce(F.create_map(*pairs)[edge_type], F.lit(self.default))
 
 
-HOPS = Weights(tenths=(), default=1)
+HOPS = Weights(tenths=(), default=1, scale=1)
 
 
 class Arcs:
@@ -78,7 +95,7 @@ class Arcs:
 def prepare(edges: DataFrame, weights: Weights = Weights(), directed: bool = True) -> Arcs:
     """The lightest edge of every ordered pair."""
     kind = F.col("type") if "type" in edges.columns else F.lit(None).cast("string")
-    weighted = edges.select("src", "dst", weights.column(kind).cast("int").alias("w")).filter("src <> dst")
+    weighted = edges.select("src", "dst", weights.column(kind).cast("bigint").alias("w")).filter("src <> dst")
     if not directed:
         weighted = weighted.unionAll(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return Arcs(cut_lineage(weighted.groupBy("src", "dst").agg(F.min("w").alias("w"))))
@@ -95,12 +112,12 @@ def search(
     ``parent`` is the smallest id among the predecessors that lie on a shortest
     path.  With a ``target`` the search stops once nothing shorter can reach it.
     """
-    lowest = seeds.groupBy("id").agg(F.min(F.struct(F.col("dist").cast("int").alias("dist"), "parent")).alias("best"))
+    lowest = seeds.groupBy("id").agg(F.min(F.struct(F.col("dist").cast("bigint").alias("dist"), "parent")).alias("best"))
     state = cut_lineage(lowest.select("id", "best.dist", "best.parent", F.lit(0).alias("round")))
     number = 0
     while True:
         active = F.col("round") == number
-        probe = F.max(F.when(F.col("id") == F.lit(target), F.col("dist"))) if target else F.lit(None).cast("int")
+        probe = F.max(F.when(F.col("id") == F.lit(target), F.col("dist"))) if target else F.lit(None).cast("bigint")
         rows, reached = state.agg(F.count(F.when(active, 1)), probe).first()
         if not rows:
             break
@@ -113,7 +130,7 @@ def search(
             F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("dist"),
             F.col("src").alias("parent"), F.lit(number).alias("round"),
         )
-        limit = min(x for x in (cutoff, reached, 2**31 - 1) if x is not None)
+        limit = min(x for x in (cutoff, reached, 2**62) if x is not None)
         merged = state.unionAll(found.filter(F.col("dist") <= limit)).groupBy("id").agg(
             F.min(F.struct("dist", "parent")).alias("best"),
             F.min(F.struct("dist", "round")).alias("when"),
@@ -129,18 +146,13 @@ def seed(nodes: DataFrame, source: str) -> DataFrame:
     )
 
 
-def _distance(tenths: Column) -> Column:
-    return F.coalesce(tenths / F.lit(10.0), F.lit(float("inf")))
-
-
 def distances_from(
     nodes: DataFrame, edges: DataFrame, source: str, max_distance: float = model.MAX_PATH_LENGTH,
     weights: Weights = Weights(), directed: bool = True,
 ) -> DataFrame:
     """``id, distance`` of every node within ``max_distance``."""
-    cutoff = int(max_distance * 10 + 1e-9)
-    found = search(prepare(edges, weights, directed), seed(nodes, source), cutoff=cutoff)
-    return found.select("id", _distance(F.col("dist")).alias("distance"))
+    found = search(prepare(edges, weights, directed), seed(nodes, source), cutoff=weights.units(max_distance))
+    return found.select("id", weights.distance(F.col("dist")).alias("distance"))
 
 
 def within_distance(nodes, edges, source, max_distance, weights=Weights(), directed=True) -> DataFrame:
@@ -167,6 +179,29 @@ def trace(found: DataFrame, targets: list[str]) -> dict[str, list[str]]:
     return traced
 
 
+def walks(found: DataFrame) -> DataFrame:
+    """``id, dist, path`` for every reached node, from the state of a search.
+
+    Pointers double: each node holds the way from a node above it, and takes that node's way in front of its
+    own, so a round halves the hops that are left.
+    """
+    up = cut_lineage(found.select("id", "dist", F.col("parent").alias("top"), F.array("id").alias("path")))
+    while not up.filter("top IS NOT NULL").isEmpty():
+        above = up.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("front"))
+        longer = up.filter("top IS NOT NULL").join(above, "top").select("id", "dist", F.col("next").alias("top"), F.concat("front", "path").alias("path"))
+        up = cut_lineage(up.filter("top IS NULL").unionByName(longer))
+    return up.select("id", "dist", "path")
+
+
+def all_shortest_paths(
+    nodes: DataFrame, edges: DataFrame, source: str, max_distance: float = model.MAX_PATH_LENGTH,
+    weights: Weights = Weights(), directed: bool = True,
+) -> DataFrame:
+    """``id, distance, path`` of every node within ``max_distance``, one path each."""
+    found = walks(search(prepare(edges, weights, directed), seed(nodes, source), cutoff=weights.units(max_distance)))
+    return found.select("id", weights.distance(F.col("dist")).alias("distance"), "path")
+
+
 def shortest_path(
     nodes: DataFrame, edges: DataFrame, source: str, target: str,
     weights: Weights = Weights(), directed: bool = True,
@@ -174,23 +209,61 @@ def shortest_path(
     """One row ``source, target, distance, path``; infinity and no path when unreachable."""
     found = search(prepare(edges, weights, directed), seed(nodes, source), target=target)
     ends = nodes.sparkSession.createDataFrame([(source, target)], "source string, target string")
-    row = found.filter(F.col("id") == target).select("dist").first()
-    tenths = row.dist if row else None
-    here = trace(found, [target]).get(target, [])
-    path = F.array(*[F.lit(x) for x in here]).cast("array<string>")
-    return ends.select("source", "target", _distance(F.lit(tenths).cast("int")).alias("distance"), path.alias("path"))
+    way = walks(found).filter(F.col("id") == target).select(F.col("id").alias("target"), "dist", "path")
+    return ends.join(way, "target", "left").select(
+        "source", "target", weights.distance(F.col("dist")).alias("distance"), F.coalesce("path", F.array().cast("array<string>")).alias("path"),
+    )
 
 
 def shortest_hops(nodes: DataFrame, edges: DataFrame, source: str, target: str, directed: bool = True) -> DataFrame:
     """Unweighted variant: ``distance`` is the number of edges."""
-    found = shortest_path(nodes, edges, source, target, HOPS, directed)
-    return found.withColumn("distance", F.col("distance") * 10)
+    return shortest_path(nodes, edges, source, target, HOPS, directed)
+
 
+def k_shortest_paths(
+    nodes: DataFrame, edges: DataFrame, source: str, target: str, k: int = 3, weights: Weights = Weights(), directed: bool = True,
+    published: bool = False,
+) -> DataFrame:
+    """``source, target, distance, path`` of the ``k`` shortest paths without a repeated node, the shortest first.
 
-def k_shortest_paths(nodes, edges, source, target, k: int = 3, weights=Weights(), directed=True) -> DataFrame:
-    """At most one path, the shortest, whatever ``k`` above zero asks for."""
-    found = shortest_path(nodes, edges, source, target, weights, directed)
-    return found.filter(F.size("path") > 0).limit(min(k, 1))
+    Paths of equal length come by their nodes.  A search from the target gives every node's distance to
+    it.  Then partial paths grow from the source, those first whose length plus the distance left is
+    least, until nothing that is left can be among the first ``k``; so paths are exact, and none
+    that could not end in time is followed.  ``published``: at most the shortest one.
+    """
+    if published or k < 2:
+        found = shortest_path(nodes, edges, source, target, weights, directed)
+        return found.filter(F.size("path") > 0).limit(min(k, 1))
+    spark = nodes.sparkSession
+    arcs = prepare(edges, weights, directed)
+    back = Arcs(cut_lineage(arcs.rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    left = cut_lineage(search(back, seed(nodes, target)).select("id", F.col("dist").alias("left")))
+    shape = "id string, dist bigint, path array<string>, least bigint"
+    open_ = left.filter(F.col("id") == source).select(
+        "id", F.lit(0).cast("bigint").alias("dist"), F.array("id").alias("path"), F.col("left").alias("least")
+    )
+    done = spark.createDataFrame([], shape)
+    if source == target:
+        open_, done = done, open_
+    else:
+        open_ = open_.join(nodes.filter(F.col("id") == source).select("id").distinct(), "id", "left_semi")
+    open_, last = cut_lineage(open_), None
+    while True:
+        least, many = open_.agg(F.min("least"), F.count("*")).first()
+        if not many or last is not None and least > last:
+            break
+        now = open_.filter(F.col("least") <= least)
+        step = arcs.leaving(now.select(F.col("id").alias("src"), "dist", "path"), many)
+        grown = step.filter(~F.array_contains("path", F.col("dst"))).select(
+            F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.concat("path", F.array("dst")).alias("path")
+        )
+        grown = cut_lineage(grown.join(left, "id").select("id", "dist", "path", (F.col("dist") + F.col("left")).alias("least")))
+        done = cut_lineage(done.unionByName(grown.filter(F.col("id") == target)).orderBy("dist", "path").limit(k))
+        ends, most = done.agg(F.count("*"), F.max("dist")).first()
+        last = most if ends == k else None
+        open_ = open_.filter(F.col("least") > least).unionByName(grown.filter(F.col("id") != target))
+        open_ = cut_lineage(open_ if last is None else open_.filter(F.col("least") <= last))
+    return done.select(F.lit(source).alias("source"), F.lit(target).alias("target"), weights.distance(F.col("dist")).alias("distance"), "path")
 
 
 def path_info(
@@ -237,10 +310,10 @@ def path_info(
                     F.col("edge").isNotNull(),
                     F.struct(
                         F.col("node").alias("source"), F.col("next").alias("target"),
-                        shown_type.alias("type"), (F.col("edge.w") / F.lit(10.0)).alias("weight"),
+                        shown_type.alias("type"), (F.col("edge.w") / F.lit(float(weights.scale))).alias("weight"),
                     ),
                 ).alias("edge"),
-                F.col("edge.w").alias("tenths"),
+                F.col("edge.w").cast("bigint").alias("units"),
             ).alias("step"),
         )
     )
@@ -249,7 +322,7 @@ def path_info(
     return gathered.select(
         "id",
         F.size("steps").alias("length"),
-        (F.aggregate("steps", F.lit(0), lambda acc, s: acc + F.coalesce(s["tenths"], F.lit(0))) / F.lit(10.0)).alias(
+        (F.aggregate("steps", F.lit(0).cast("bigint"), lambda acc, s: acc + F.coalesce(s["units"], F.lit(0))) / F.lit(float(weights.scale))).alias(
             "total_weight"
         ),
         F.filter(F.transform("steps", lambda s: s["edge"]), lambda e: e.isNotNull()).alias("edges"),

@@ -111,11 +111,40 @@ def shortest_path_missing(spark, sf):
 
 @query("k_shortest_paths", _path_sql(_WEIGHT_SQL, "region:1", "10.0::DOUBLE", found_only=True))
 def k_shortest_paths(spark, sf):
+    graph = star_graph(spark, sf, distinct=False)
+    found = paths.k_shortest_paths(graph.nodes, graph.edges, "order:0", "region:1", k=3, published=True)
+    return found.withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    "k_shortest_loopless",
+    f"""WITH RECURSIVE {STAR_SQL}, {_arcs(_WEIGHT_SQL, True)}, go(id, d, nodes) AS (
+      SELECT 'order:0', 0, ['order:0']
+      UNION ALL SELECT a.dst, d + a.w, list_append(nodes, a.dst) FROM go JOIN arcs a ON a.src = go.id
+      WHERE NOT list_contains(nodes, a.dst) AND go.id <> 'region:1')
+    SELECT 'order:0' AS source, 'region:1' AS target, d / 10.0::DOUBLE AS distance, array_to_string(nodes, '>') AS path
+    FROM go WHERE id = 'region:1' ORDER BY d, nodes LIMIT 3""",
+)
+def k_shortest_loopless(spark, sf):
     graph = star_graph(spark, sf, distinct=False)
     found = paths.k_shortest_paths(graph.nodes, graph.edges, "order:0", "region:1", k=3)
     return found.withColumn("path", F.array_join("path", ">"))
 
 
+@query(
+    "all_shortest_paths",
+    _search_sql(_WEIGHT_SQL, False, _from("nation:0"), 32) + """, par AS (
+      SELECT a.dst AS id, min(p.id) AS parent FROM arcs a JOIN dist p ON p.id = a.src JOIN dist t ON t.id = a.dst WHERE p.d + a.w = t.d GROUP BY a.dst),
+    way(id, path) AS (SELECT 'nation:0', 'nation:0' UNION ALL SELECT par.id, way.path || '>' || par.id FROM way JOIN par ON par.parent = way.id)
+    SELECT id, d / 10.0::DOUBLE AS distance, path FROM way JOIN dist USING (id)""",
+)
+def all_shortest_paths(spark, sf):
+    """A shortest path to every node near a nation."""
+    graph = star_graph(spark, sf, distinct=False)
+    found = paths.all_shortest_paths(graph.nodes, graph.edges, "nation:0", 3.2, directed=False)
+    return found.withColumn("path", F.array_join("path", ">"))
+
+
 _LINES = """lines AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem)"""
 
 

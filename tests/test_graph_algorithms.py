@@ -98,6 +98,48 @@ def test_edge_weights_can_change():
     assert weights.as_dict()["CALLS"] == 3.0 and weights.as_dict()["default"] == 4.5
 
 
+def test_fine_weights_stay_exact(spark):
+    import pytest
+
+    weights = paths.Weights().updated({"CALLS": 1.25, "MENTIONS": 0.04})
+    assert weights.as_dict()["CALLS"] == 1.25 and weights.as_dict()["MENTIONS"] == 0.04
+    assert weights.as_dict()["default"] == paths.Weights().as_dict()["default"]
+    for bad in (0.0, -1.0, 1e-9):
+        with pytest.raises(ValueError):
+            paths.Weights().updated({"CALLS": bad})
+    nodes, edges = _graph(spark, ["a", "b", "c"], [("a", "b", "CALLS"), ("b", "c", "MENTIONS")])
+    got = {r.id: (r.distance, r.path) for r in paths.all_shortest_paths(nodes, edges, "a", weights=weights).collect()}
+    assert got == {"a": (0.0, ["a"]), "b": (1.25, ["a", "b"]), "c": (1.29, ["a", "b", "c"])}
+
+
+def test_k_shortest_paths_equal_enumeration(spark):
+    rng = random.Random(11)
+    names = [f"n{i}" for i in range(9)]
+    links = sorted({(a, b, rng.choice(["CALLS", "MENTIONS", "USES"])) for _ in range(34) for a, b in [rng.sample(names, 2)]})
+    nodes, edges = _graph(spark, names, links)
+    weights = paths.Weights()
+    cost = {}
+    for a, b, kind in links:
+        w = dict(weights.tenths).get(kind, weights.default)
+        cost[a, b] = min(w, cost.get((a, b), w))
+    every = []
+
+    def walk(node, d, path):
+        if node == "n8":
+            return every.append((d, path))
+        for (a, b), w in cost.items():
+            if a == node and b not in path:
+                walk(b, d + w, [*path, b])
+
+    walk("n0", 0, ["n0"])
+    want = sorted(every)[:7]
+    got = sorted((r.distance, r.path) for r in paths.k_shortest_paths(nodes, edges, "n0", "n8", k=7).collect())
+    assert len(every) > 7 and got == [(d / 10, p) for d, p in want]
+    assert [r.path for r in paths.k_shortest_paths(nodes, edges, "n0", "n0", k=3).collect()] == [["n0"]]
+    assert paths.k_shortest_paths(nodes, edges, "n0", "n8", k=3, published=True).count() == 1
+    assert paths.k_shortest_paths(nodes, edges, "absent", "n8", k=3).count() == 0
+
+
 def test_first_covering_interval(spark):
     rng = random.Random(1)
     spans = [0, 1, 2, 5, 7, 8, 15, 16, 31, 64, 100]
