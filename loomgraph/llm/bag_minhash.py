@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import as_row, forget, named, whole_text, written
+from loomgraph.llm.shared import LONG_ROWS, as_row, forget, named, whole_text, written
 
 ship_by_value(__name__)
 
@@ -364,7 +364,7 @@ def family_links(members: DataFrame, docs: DataFrame, text: str, similarity: flo
     ``members``: ``family, node, class``.  Texts of a family's largest class are known to be connected, so they
     meet the others only.  A family is cut into blocks; in a cell two blocks meet by one multiplication.
     """
-    items = written(elements(docs, written(members.select("node").distinct(), "family_nodes"), text), "family_items")
+    items = written(elements(docs, written(members.select("node").distinct(), "family_nodes"), text), "family_items", LONG_ROWS)
     sized = written(members.join(items.select("node", F.size("items").alias("size")), "node"), "family_members")
     kinds = sized.groupBy("family", "class").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     largest = F.max(F.struct("n", "class", "size"))
@@ -413,7 +413,7 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     First every text is verified with its best pivots.  Buckets that then still hold different classes
     make families, whose texts of different classes are compared exactly.
     """
-    nodes = written(sketches(docs, text), "sketches")
+    nodes = written(sketches(docs, text), "sketches", LONG_ROWS)
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     # Another text of the bucket in each bucket, as nodes are mixed with the bucket's hash.
     pivots = buckets.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(F.col("h"))).alias("m"), F.count("*").alias("n"))
@@ -425,7 +425,7 @@ def links(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -
     compared = _equal_slots(met.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y"))
     best = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("equal"), "y"))
     ranked = written(compared.withColumn("r", best).filter(F.col("r") <= FIRST_PIVOTS), "pivot_pairs")
-    first = written(verified(ranked, docs, text, similarity), "links1")
+    first = written(verified(ranked, docs, text, similarity), "links1", LONG_ROWS)
     found = written(classes(first), "classes_of_pivots")
     # In a bucket of two, the pair with the pivot is all there is, but it may have been no best one.
     classed = shared.join(found, "node", "left").select("h", "node", F.coalesce("class", "node").alias("class"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.shipping import ship_by_value
-from loomgraph.llm.shared import forget, whole_text, written
+from loomgraph.llm.shared import LONG_ROWS, forget, whole_text, written
 from loomgraph.llm.word_cache import JsonTokenizer, worker_once
 
 ship_by_value(__name__)
@@ -256,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every piece with its document's key, its place there, and its sequence and offset."""
     cut = cut_pieces(docs, tokenizer, capacity, end_id, key, text)
-    pieces = written(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = written(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces", LONG_ROWS)
     return pieces.join(pack(pieces, capacity), "uid").drop("uid")
 
 

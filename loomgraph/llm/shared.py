@@ -22,15 +22,27 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}_{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a step whose rows are long, a text's words or so, that go to a Python worker at a time.
+LONG_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Later steps read only the columns that they need, and a lost executor costs no recomputation
-    beyond the running step.
+    beyond the running step.  ``batch_rows``: at most so many rows are handed to a Python worker at a time.
     """
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    found = df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = scratch_folder(spark, name)
+    before = spark.conf.get(_BATCH)
+    if batch_rows is not None and not 0 < int(before) <= batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_BATCH, before)
+    found = spark.read.schema(df.schema).parquet(folder)
     found.scratch_folder = folder
     return found
 
