@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import model
-from loomgraph.operators import incremental, paths, tables
+from loomgraph.operators import incremental, paths, renames, tables
 from loomgraph.operators.components import component_info, connected_components
 from loomgraph.operators.extract import extract
 from loomgraph.operators.graph import PropertyGraph, upsert_nodes
@@ -17,7 +17,7 @@ from loomgraph.plans import relevance
 from loomgraph.session import cut_lineage
 from loomgraph.sources import artifacts as artifact_source
 from loomgraph.sources import snapshot
-from loomgraph.sources.source_tree import content_state, parse_sources, read_source_tree
+from loomgraph.sources.source_tree import parse_sources, read_source_tree
 from loomgraph.sources.store import GraphStore
 
 Progress = Callable[[int, str], None]
@@ -56,7 +56,7 @@ class KnowledgeBase:
 
         tell(1, "scan")
         files = read_source_tree(self.spark, path, self.published)
-        self.files = cut_lineage(content_state(files))
+        self.files = cut_lineage(renames.line_profile(files))
         tell(2, "parse")
         self.syntax = cut_lineage(parse_sources(files))
         tell(3, "extract")
@@ -99,24 +99,37 @@ class KnowledgeBase:
         return {"entities_added": added, "relationships_added": pairs}
 
     def update_project(self, path: str) -> dict[str, int]:
-        """Re-read ``path``, parse only files whose content changed and rebuild the links.
+        """Re-read ``path``, parse only files whose content is new there and rebuild the links.
 
-        The artifact documents that were added are read again, so they stay and are refreshed.
+        A file that moved with its content keeps its parsed events under the new path.  The
+        artifact documents that were added are read again, so they stay and are refreshed.
         """
         if self.syntax is None or self.files is None:
             return self.analyze_project(path)
         files = read_source_tree(self.spark, path, self.published)
-        now = cut_lineage(content_state(files))
-        feed = cut_lineage(incremental.change_feed(self.files, now, python_only=False))
+        now = cut_lineage(renames.line_profile(files))
+        moved = cut_lineage(renames.renames(self.files, now))
+        plain = incremental.change_feed(self.files, now, python_only=False)
+        feed = cut_lineage(renames.with_renames(plain, moved, python_only=False))
         counts = {r.change_type: r["count"] for r in feed.groupBy("change_type").count().collect()}
-        changed = incremental.changed_files(self.files, files)
-        deleted = feed.filter("change_type = 'deleted'")
-        self.syntax = cut_lineage(incremental.refreshed(self.syntax, cut_lineage(parse_sources(changed)), deleted))
+        # Events depend on the content, and on the path only through the language.
+        suffix = lambda c: F.lower(F.regexp_extract(c, r"\.[^./]*$", 0))
+        carried = moved.filter((F.col("similarity") == 1.0) & (suffix("old_path") == suffix("new_path")))
+        carried = carried.join(self._hashes(self.files, "old_path"), "old_path").join(self._hashes(now, "new_path"), ["new_path", "content_hash"])
+        carried = cut_lineage(carried.select("old_path", "new_path"))
+        known = incremental.renamed_files(self.files, carried)
+        changed = incremental.changed_files(known, files)
+        deleted = known.join(now, "file_path", "left_anti")
+        self.syntax = cut_lineage(incremental.refreshed(self.syntax, cut_lineage(parse_sources(changed)), deleted, carried))
         self.files = now
         self._load_syntax()
         for documents in self.artifact_paths:
             self.add_artifacts(documents)
-        return {f"files_{kind}": counts.get(kind, 0) for kind in ("added", "modified", "deleted")}
+        return {f"files_{kind}": counts.get(kind, 0) for kind in ("added", "modified", "deleted", "renamed")}
+
+    @staticmethod
+    def _hashes(listing: DataFrame, name: str) -> DataFrame:
+        return listing.select(F.col("file_path").alias(name), "content_hash")
 
     def summary(self) -> dict[str, int]:
         kinds = {r.type: r.cnt for r in self.graph.node_type_counts().collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.functions import predicates as is_
 from loomgraph.functions import text as texts
-from loomgraph.operators import incremental, tables
+from loomgraph.operators import incremental, renames, tables
 from loomgraph.operators.extract import Extracted, extract
 from loomgraph.operators.graph import PropertyGraph
 from loomgraph.operators.lookups import first_by, heavy_keys, salted_lookup
@@ -587,6 +587,47 @@ def change_feed(spark, sf):
     )
 
 
+_MARK = "# moved to folder "
+
+
+def _moved_listing(spark, sf, later: bool) -> DataFrame:
+    """Documents as files; later a third of them lies in other folders, a part of those with one more line.
+
+    Every tenth has gone by then.
+    """
+    docs = table(spark, sf, "documents").filter("text IS NOT NULL")
+    number = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    folder, text = F.lit("docs/"), F.col("text")
+    if later:
+        docs = docs.filter("doc_id % 10 <> 0")
+        moved, edited = F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0
+        folder = F.when(moved & edited, "edited/").when(moved, "moved/").otherwise("docs/")
+        text = F.when(moved & edited, F.concat(F.lit(_MARK), number, F.lit("\n"), "text")).otherwise(text)
+    return docs.select(F.concat(folder, number, F.lit(".py")).alias("file_path"), text.cast("binary").alias("content"))
+
+
+@query(
+    "change_feed_renames",
+    f"""WITH d AS (SELECT doc_id, text, lpad(doc_id::VARCHAR, 12, '0') AS num, md5(text) AS h FROM documents WHERE text IS NOT NULL),
+    gone AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY num) AS n FROM d WHERE doc_id % 10 = 0 OR doc_id % 3 = 0),
+    come AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY num) AS n FROM d WHERE doc_id % 10 <> 0 AND doc_id % 6 = 3),
+    same AS (SELECT g.num AS old_num, c.num AS new_num FROM gone g JOIN come c USING (h, n)),
+    edited AS (SELECT num, h, strlen(text) + 1 AS size, strlen(text) + 2 + {len(_MARK) + 12} AS grown,
+        row_number() OVER (PARTITION BY h ORDER BY num) AS n FROM d WHERE doc_id % 10 <> 0 AND doc_id % 6 = 0),
+    still AS (SELECT num, h, row_number() OVER (PARTITION BY h ORDER BY num) AS n FROM gone WHERE num NOT IN (SELECT old_num FROM same)),
+    changed AS (SELECT s.num AS old_num, e.num AS new_num FROM still s JOIN edited e USING (h, n) WHERE 2 * e.size >= e.grown)
+    SELECT 'moved/' || new_num || '.py' AS file_path, 'renamed' AS change_type, 'docs/' || old_num || '.py' AS old_path FROM same
+    UNION ALL SELECT 'edited/' || new_num || '.py', 'renamed', 'docs/' || old_num || '.py' FROM changed
+    UNION ALL SELECT 'docs/' || num || '.py', 'deleted', NULL FROM still WHERE num NOT IN (SELECT old_num FROM changed)
+    UNION ALL SELECT 'edited/' || num || '.py', 'added', NULL FROM edited WHERE num NOT IN (SELECT new_num FROM changed)
+    UNION ALL SELECT 'moved/' || num || '.py', 'added', NULL FROM come WHERE num NOT IN (SELECT new_num FROM same)""",
+)
+def change_feed_renames(spark, sf):
+    """Moved files are found by equal contents, moved and edited ones by their lines."""
+    before, after = (renames.line_profile(_moved_listing(spark, sf, later)) for later in (False, True))
+    return renames.with_renames(incremental.change_feed(before, after), renames.renames(before, after))
+
+
 @query(
     "changed_files",
     """SELECT 'docs/' || doc_id || '.py' AS file_path, md5(text || '!') AS content_hash FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0""",

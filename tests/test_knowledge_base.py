@@ -74,7 +74,7 @@ def test_project_life_cycle(spark, tmp_path):
     (root / "tests/test_calc.py").unlink()
     (root / "src/calc.py").write_text(SAMPLE["src/calc.py"] + "\ndef extra():\n    build()\n")
     update = base.update_project(str(root))
-    assert update == {"files_added": 0, "files_modified": 1, "files_deleted": 1}
+    assert update == {"files_added": 0, "files_modified": 1, "files_deleted": 1, "files_renamed": 0}
     fresh = KnowledgeBase(spark, published=True)
     fresh.analyze_project(str(root), str(tmp_path / "artifacts.json"))
     assert triples(base) == triples(fresh)
