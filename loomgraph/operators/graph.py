@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import model
 from loomgraph.operators.lookups import salted_lookup
+from loomgraph.session import cut_lineage
 
 Ids = DataFrame | Iterable[str]
 
@@ -155,32 +156,38 @@ class PropertyGraph:
         """Long form: ``metric, key, value``.  ``total_edges`` counts pairs, while
         ``relationship_types`` counts each type of a pair."""
 
-        def scalar(metric: str, df: DataFrame, value: Column) -> DataFrame:
-            return df.agg(value.cast("long").alias("value")).select(
-                F.lit(metric).alias("metric"), F.lit("").alias("key"), "value"
-            )
-
-        def keyed(metric: str, df: DataFrame) -> DataFrame:
-            return df.select(F.lit(metric).alias("metric"), F.col("type").alias("key"), F.col("cnt").alias("value"))
-
-        files = self.nodes.filter("file_path <> ''").select("file_path").distinct()
-        rows = (
-            keyed("node_types", self.node_type_counts())
-            .unionAll(keyed("relationship_types", self.rel_type_counts()))
-            .unionAll(scalar("total_nodes", self.nodes, F.count("*")))
-            .unionAll(scalar("total_edges", self.edges.select("src", "dst").distinct(), F.count("*")))
-            .unionAll(scalar("files_covered", files, F.count("*")))
-        )
+        rows = self._node_statistics()
+        # One row per pair; the types of a pair are a small set.
+        pairs = self.edges.groupBy("src", "dst").agg(F.collect_set(F.struct("type")).alias("types"))
         if components:
             from loomgraph.operators.components import component_sizes
 
-            largest = scalar(
-                "largest_component_size",
-                component_sizes(self.nodes, self.edges),
-                F.coalesce(F.max("size"), F.lit(0)),
+            # The counts and the search both read the stored pairs.
+            pairs = cut_lineage(pairs)
+            sizes = component_sizes(self.nodes, pairs.select("src", "dst"))
+            largest = sizes.agg(F.coalesce(F.max("size"), F.lit(0)).alias("value"))
+            rows = rows.unionAll(largest.select(F.lit("largest_component_size"), F.lit(""), "value"))
+        return rows.unionAll(_edge_statistics(pairs))
+
+    def _node_statistics(self) -> DataFrame:
+        """Counts by type, of all nodes and of their files, in one scan."""
+        kind = F.coalesce(F.col("type"), F.lit("unknown"))
+        groups = self.nodes.groupBy(kind.alias("type"), "file_path").agg(F.count("*").alias("n"))
+        measured = groups.select(
+            F.inline(
+                F.array(
+                    _measure("node_types", F.col("type"), F.col("n")),
+                    _measure("total_nodes", F.lit(""), F.col("n")),
+                    _measure("files_covered", F.lit(""), F.lit(0), F.when(F.col("file_path") != "", F.col("file_path"))),
+                )
             )
-            rows = rows.unionAll(largest)
-        return rows
+        )
+        zeros = self.nodes.sparkSession.range(1).select(
+            F.inline(F.array(*[_measure(m, F.lit(""), F.lit(0)) for m in ("total_nodes", "files_covered")]))
+        )
+        return measured.unionAll(zeros).groupBy("metric", "key").agg(
+            (F.sum("value") + F.count_distinct("file")).alias("value")
+        )
 
     # -- changes ---------------------------------------------------------------
 
@@ -205,9 +212,14 @@ class PropertyGraph:
         return PropertyGraph(_membership(self.nodes, "id", ids, "left_anti"), edges)
 
     def update_entity(self, node_id: str, updates: dict[str, object]) -> PropertyGraph:
+        """Set attributes of a node; one that no node has yet becomes a column, null elsewhere."""
         hit = F.col("id") == node_id
+        known = set(self.nodes.columns)
         nodes = self.nodes.withColumns(
-            {name: F.when(hit, F.lit(value)).otherwise(F.col(name)) for name, value in updates.items()}
+            {
+                name: F.when(hit, F.lit(value)).otherwise(F.col(name)) if name in known else F.when(hit, F.lit(value))
+                for name, value in updates.items()
+            }
         )
         return PropertyGraph(nodes, self.edges)
 
@@ -224,6 +236,19 @@ class PropertyGraph:
         return valid.join(self.edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
+def _measure(metric: str, key: Column, value: Column, file: Column | None = None) -> Column:
+    file = F.lit(None).cast("string") if file is None else file
+    return F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("long").alias("value"), file.alias("file"))
+
+
+def _edge_statistics(pairs: DataFrame) -> DataFrame:
+    """Counts of pairs by each of their types, and of all pairs, in one scan."""
+    typed = F.transform("types", lambda t: _measure("relationship_types", t["type"], F.lit(1)))
+    measured = pairs.select(F.inline(F.concat(typed, F.array(_measure("total_edges", F.lit(""), F.lit(1))))))
+    zero = pairs.sparkSession.range(1).select(F.inline(F.array(_measure("total_edges", F.lit(""), F.lit(0)))))
+    return measured.unionAll(zero).groupBy("metric", "key").agg(F.sum("value").alias("value"))
+
+
 def node_table(node_type: Column) -> Column:
     """Name of the node table that stores a node type."""
     choice = F.lit("CodeEntity")

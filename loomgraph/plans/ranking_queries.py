@@ -11,6 +11,7 @@ from loomgraph.functions.similarity import (
 )
 from loomgraph.operators import paths
 from loomgraph.operators.graph import PropertyGraph
+from loomgraph.operators.text_topk import edit_topk
 from loomgraph.plans import relevance
 from loomgraph.plans.registry import query
 from loomgraph.plans.star_graph import STAR_SQL, star_graph, star_nodes, table
@@ -230,7 +231,21 @@ def text_edit_similarity(spark, sf):
     FROM documents d, (SELECT text FROM benchmark WHERE item_id = 0) q) ORDER BY similarity DESC, doc_id LIMIT 20""",
 )
 def text_edit_topk(spark, sf):
-    return text_edit_similarity(spark, sf).orderBy(F.desc("similarity"), "doc_id").limit(20)
+    problem = table(spark, sf, "benchmark").filter("item_id = 0")
+    return edit_topk(problem, table(spark, sf, "documents"), 20, "item_id", "doc_id")[0].select(F.col("key").alias("doc_id"), "similarity")
+
+
+@query(
+    "text_edit_topk_items",
+    f"""SELECT item_id, doc_id, similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS r FROM (
+        SELECT item_id, doc_id, round({_edit_similarity("q.text", "d.text")}, 6) AS similarity FROM documents d, benchmark q
+        WHERE d.text IS NOT NULL AND q.text IS NOT NULL)) WHERE r <= 20""",
+)
+def text_edit_topk_items(spark, sf):
+    """The documents most similar to every benchmark item."""
+    found, _ = edit_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), 20, "item_id", "doc_id")
+    return found.select(F.col("query").alias("item_id"), F.col("key").alias("doc_id"), "similarity")
 
 
 @query("text_matching_topk")

@@ -196,6 +196,41 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
     assert names == {"uno"}
 
 
+def test_stream_of_additions_changes_deletions_and_moves(spark, tmp_path):
+    root, table = tmp_path / "src", str(tmp_path / "events")
+
+    def functions():
+        keep_events(str(root), table, str(tmp_path / "cp"), spark).awaitTermination()
+        return {(r.file_path, r.name) for r in latest_events(spark, table).filter("kind = 'function'").collect()}
+
+    body = "def {}():\n    pass\n".format
+    _write(root, {"r1/a.py": body("a1"), "r1/p/b.py": body("b1"), "r1/c.py": body("c1")})
+    assert functions() == {("a.py", "a1"), ("p/b.py", "b1"), ("c.py", "c1")}
+    _write(root, {"r3/changes.jsonl": '{"old_path": "a.py", "new_path": null}\n{"old_path": "p/b.py", "new_path": "q/b.py"}\n\nbroken', "r3/q/b.py": body("b3")})
+    assert functions() == {("q/b.py", "b3"), ("c.py", "c1")}
+    # A revision that arrives late changes nothing that a later one has said.
+    _write(root, {"r2/a.py": body("a2"), "r2/c.py": body("c2"), "r2/changes.jsonl": '{"old_path": "q/b.py"}'})
+    assert functions() == {("q/b.py", "b3"), ("c.py", "c2")}
+    # A path may come again, and within the revision that took it away too.
+    _write(root, {"r4/a.py": body("a4"), "r4/changes.jsonl": '{"old_path": "a.py", "new_path": "d.py"}', "r4/d.py": body("d4")})
+    assert functions() == {("q/b.py", "b3"), ("c.py", "c2"), ("a.py", "a4"), ("d.py", "d4")}
+
+
+def test_update_of_a_new_attribute_and_statistics_of_an_empty_graph(spark):
+    nodes = spark.createDataFrame([("a", "x", "class", "f"), ("b", "y", None, "")], "id string, name string, type string, file_path string")
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "CALLS"), ("a", "b", "USES")], "src string, dst string, type string")
+    graph = PropertyGraph(nodes, edges)
+    rows = {r.id: r.owner for r in graph.update_entity("a", {"owner": "me", "name": "z"}).nodes.collect()}
+    assert rows == {"a": "me", "b": None}
+    measured = {(r.metric, r.key): r.value for r in graph.statistics().collect()}
+    assert measured == {
+        ("node_types", "class"): 1, ("node_types", "unknown"): 1, ("total_nodes", ""): 2, ("files_covered", ""): 1,
+        ("relationship_types", "CALLS"): 1, ("relationship_types", "USES"): 1, ("total_edges", ""): 1, ("largest_component_size", ""): 2,
+    }
+    empty = {(r.metric, r.key): r.value for r in graph.cleared().statistics().collect()}
+    assert empty == {("total_nodes", ""): 0, ("files_covered", ""): 0, ("total_edges", ""): 0, ("largest_component_size", ""): 0}
+
+
 def test_source_tree_paths(spark, tmp_path):
     _write(tmp_path / "p", {"a.py": "", "x/B.java": "class B {}", "node_modules/c.py": "", "d.txt": ""})
     got = {r.file_path for r in read_source_tree(spark, str(tmp_path / "p")).collect()}
