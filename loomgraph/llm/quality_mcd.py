@@ -3,9 +3,11 @@
 Base counts are taken from every whole text with built-in functions.  Texts that
 fail no base rule become vectors of five transformed statistics.  For every
 language and source a minimum-covariance-determinant estimate is found by
-concentration steps: from a coordinate-wise median on, the three quarters of the
-texts nearest by Mahalanobis distance give the next mean and covariance.  A text
-whose distance to the final estimate is beyond ``CUTOFF`` is rejected.
+concentration steps: the three quarters of the texts nearest by Mahalanobis distance
+give the next mean and covariance.  Four starts, scaled by medians and median absolute
+deviations of the data, take two steps each; the one of least determinant goes on
+until its determinant falls by less than a hundredth, ``MOST_STEPS`` steps at most.
+A text whose distance to that estimate is beyond ``CUTOFF`` is rejected.
 
 Everything is DataFrame operations.  Statistics are fixed-point integers, so sums
 are exact, every step is deterministic and the hot source combines on the map
@@ -32,7 +34,11 @@ from loomgraph.llm.shared import forget, named, whole_text, written
 
 #: Unit of the fixed-point statistics.
 SCALE = 1024
-STEPS = 3
+N_STARTS, SCREEN_STEPS, MOST_STEPS = 4, 2, 8
+#: A step counts while it brings the determinant below so much of the last one.
+FALL = 0.99
+#: Factor from a median absolute deviation to a standard deviation; cut of standardised values and what starts add to their diagonals.
+NORMAL_MAD, WINSOR, RIDGE = 1.4826, 1.5, 0.01
 MIN_GROUP = 100
 #: Share of the texts that an estimate is made from.
 CORE_SHARE = 0.75
@@ -53,6 +59,8 @@ _SPACE = "[ \\t-\\r]"
 _SYMBOLS = "#*$%&|<>"
 _XS = list(FLOORS)
 _PAIRS = [(i, j) for i in range(len(_XS)) for j in range(i + 1)]
+_KEYS = ["elang", "esource"]
+_ESTIMATE = [f"m{i}" for i in range(len(_XS))] + [f"w{i}{j}" for i, j in _PAIRS]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -138,7 +146,7 @@ def _estimate_keys(vectors: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _inverse_root(found: DataFrame) -> DataFrame:
-    """From means ``m`` and covariances ``c`` the rows ``w`` of an inverse Cholesky factor."""
+    """From means ``m`` and covariances ``c`` the rows ``w`` of an inverse Cholesky factor, and the determinant."""
     d = len(_XS)
     for i in range(d):
         for j in range(i + 1):
@@ -149,7 +157,10 @@ def _inverse_root(found: DataFrame) -> DataFrame:
         for i in range(j, d):
             rest = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
             found = found.withColumn(f"w{i}{j}", ((1.0 if i == j else 0.0) - rest) / F.col(f"l{i}{i}"))
-    return found.select("elang", "esource", *[f"m{i}" for i in range(d)], *[f"w{i}{j}" for i, j in _PAIRS])
+    root = F.col("l00")
+    for i in range(1, d):
+        root = root * F.col(f"l{i}{i}")
+    return found.select("elang", "esource", "start", (root * root).alias("det"), *_ESTIMATE)
 
 
 def _distance() -> Column:
@@ -166,38 +177,104 @@ def _ranked(distance: Column) -> Column:
     return F.floor(256.0 * F.log(1.0 + distance)).cast("bigint")
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    medians = [F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x})").alias(f"m{i}") for i, x in enumerate(_XS)]
-    found = vectors.groupBy("elang", "esource").agg(*medians)
-    found = found.select("elang", "esource", *[(F.col(f"m{i}") / SCALE).alias(f"m{i}") for i in range(len(_XS))])
-    for i, j in _PAIRS:
-        found = found.withColumn(f"c{i}{j}", F.lit(FLOORS[_XS[i]] ** 2 if i == j else 0.0))
+def _standardised(vectors: DataFrame, n_groups: int) -> DataFrame:
+    """Median ``m`` and robust deviation ``s`` of every statistic by group."""
+    middle = lambda value, name: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias(name)
+    d = range(len(_XS))
+    medians = written(vectors.groupBy(*_KEYS).agg(*[middle(x, f"q{i}") for i, x in enumerate(_XS)]), "mcd_medians")
+    away = _with_groups(vectors, medians, _KEYS, n_groups)
+    away = away.groupBy(*_KEYS).agg(*[F.max(f"q{i}").alias(f"q{i}") for i in d], *[middle(f"abs({x} - q{i})", f"a{i}") for i, x in enumerate(_XS)])
+    spread = lambda i: NORMAL_MAD * F.col(f"a{i}") / SCALE
+    found = away.select(
+        *_KEYS, *[(F.col(f"q{i}") / SCALE).alias(f"m{i}") for i in d],
+        *[F.sqrt(spread(i) * spread(i) + FLOORS[_XS[i]] ** 2).alias(f"s{i}") for i in d],
+    )
+    found = written(found, "mcd_scales")
+    forget(medians)
+    return found
+
+
+def _starts(vectors: DataFrame, n_groups: int) -> DataFrame:
+    """Four first estimates of every group.
+
+    All are centred at the medians.  The first is diagonal; the others are second moments of
+    the standardised statistics' signs, of their values cut at ``WINSOR``, and of their directions.
+    """
+    d = range(len(_XS))
+    scales = _standardised(vectors, n_groups)
+    z = _with_groups(vectors, scales, _KEYS, n_groups).select(
+        *_KEYS, *[((F.col(x) / SCALE - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, x in enumerate(_XS)]
+    )
+    square = F.col("z0") * F.col("z0")
+    for i in d[1:]:
+        square = square + F.col(f"z{i}") * F.col(f"z{i}")
+    z = z.withColumn("norm", F.sqrt(square))
+    forms = [
+        lambda v: F.signum(v),
+        lambda v: F.greatest(F.lit(-WINSOR), F.least(F.lit(WINSOR), v)),
+        lambda v: F.when(F.col("norm") > 0.0, v / F.col("norm")).otherwise(0.0),
+    ]
+    fixed = lambda v: F.floor(v * SCALE + 0.5).cast("bigint")
+    each = F.array(*[F.struct(F.lit(n).alias("start"), *[fixed(form(F.col(f"z{i}"))).alias(f"u{i}") for i in d]) for n, form in enumerate(forms, 1)])
+    rows = z.select(*_KEYS, F.inline(each))
+    sums = rows.groupBy(*_KEYS, "start").agg(F.count("*").alias("n"), *[F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}{j}") for i, j in _PAIRS])
+    shared = [*_KEYS, *[f"m{i}" for i in d]]
+    moment = lambda i, j: F.col(f"p{i}{j}") / F.col("n") / (SCALE * SCALE) + (RIDGE if i == j else 0.0)
+    shaped = sums.join(scales, _KEYS).select(
+        *shared, "start", *[(F.col(f"s{i}") * F.col(f"s{j}") * moment(i, j)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    )
+    diagonal = scales.select(
+        *shared, F.lit(0).alias("start"), *[(F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
+    )
+    found = written(_inverse_root(diagonal.unionByName(shaped)), "mcd_starts")
+    forget(scales)
     return found
 
 
 def _moments(core: DataFrame) -> DataFrame:
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_XS)]
     products = [F.sum(F.col(_XS[i]) * F.col(_XS[j])).alias(f"p{i}{j}") for i, j in _PAIRS]
-    found = core.groupBy("elang", "esource").agg(F.count("*").alias("n"), *sums, *products)
+    found = core.groupBy(*_KEYS, "start").agg(F.count("*").alias("n"), *sums, *products)
     mean = lambda i: F.col(f"s{i}") / F.col("n") / SCALE
     columns = [mean(i).alias(f"m{i}") for i in range(len(_XS))]
     for i, j in _PAIRS:
         value = CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") / (SCALE * SCALE) - mean(i) * mean(j))
         columns.append((value + FLOORS[_XS[i]] ** 2 if i == j else value).alias(f"c{i}{j}"))
-    return found.select("elang", "esource", *columns)
+    return found.select(*_KEYS, "start", *columns)
+
+
+def _concentrated(vectors: DataFrame, found: DataFrame, n_groups: int, name: str) -> DataFrame:
+    """One concentration step: the estimate of the texts nearest to each estimate of ``found``."""
+    near = _with_groups(vectors, found, _KEYS, n_groups).select(*_KEYS, "start", "row", *_XS, _ranked(_distance()).alias("rank"))
+    radius = near.groupBy(*_KEYS, "start").agg(F.expr(f"percentile_disc({CORE_SHARE}) WITHIN GROUP (ORDER BY rank)").alias("radius"))
+    radius = written(radius, f"{name}_radius")
+    core = _with_groups(near, radius, [*_KEYS, "start"], n_groups * N_STARTS).filter("rank <= radius")
+    after = written(_inverse_root(_moments(core)), name)
+    forget(radius)
+    return after
 
 
 def estimates(vectors: DataFrame, n_groups: int) -> DataFrame:
-    """The final estimate of every group of ``vectors`` (``elang, esource``, statistics)."""
-    found = written(_inverse_root(_start(vectors)), "mcd_start")
-    for step in range(STEPS):
-        near = _with_groups(vectors, found, ["elang", "esource"], n_groups).select("elang", "esource", "row", *_XS, _ranked(_distance()).alias("rank"))
-        radius = near.groupBy("elang", "esource").agg(F.expr(f"percentile_disc({CORE_SHARE}) WITHIN GROUP (ORDER BY rank)").alias("radius"))
-        radius = written(radius, f"mcd_radius{step}")
-        core = _with_groups(near, radius, ["elang", "esource"], n_groups).filter("rank <= radius")
-        before, found = found, written(_inverse_root(_moments(core)), f"mcd{step}")
-        forget(before, radius)
-    return found
+    """The estimate of least determinant found for every group of ``vectors`` (``elang, esource``, statistics)."""
+    found = _starts(vectors, n_groups)
+    for step in range(SCREEN_STEPS):
+        before, found = found, _concentrated(vectors, found, n_groups, f"mcd_screen{step}")
+        forget(before)
+    values = ["start", "det", *_ESTIMATE]
+    least = found.groupBy(*_KEYS).agg(F.min_by(F.struct(*values), F.struct("det", "start")).alias("least"))
+    best = written(least.select(*_KEYS, "least.*", F.lit(True).alias("moved")), "mcd_least")
+    forget(found)
+    for step in range(MOST_STEPS):
+        moving = best.filter("moved").drop("moved")
+        if moving.isEmpty():
+            break
+        after = _concentrated(vectors, moving, n_groups, f"mcd{step}")
+        both = best.select(*_KEYS, F.struct(*values).alias("old")).join(after.select(*_KEYS, F.struct(*values).alias("new")), _KEYS, "left")
+        falls = F.coalesce(F.col("new.det") < FALL * F.col("old.det"), F.lit(False))
+        chosen = both.select(*_KEYS, F.when(falls, F.col("new")).otherwise(F.col("old")).alias("least"), falls.alias("moved"))
+        before, best = best, written(chosen.select(*_KEYS, "least.*", "moved"), f"mcd_best{step}")
+        forget(before, after)
+    return best.drop("moved")
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -216,7 +293,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     vectors = _with_groups(plain.withColumn("row", F.lit(0)), keys, ["glang", "gsource"], n_groups)
     found = estimates(vectors, n_groups)
     judged = _with_groups(passed.select("*", *_vector()), keys, ["glang", "gsource"], n_groups)
-    judged = _with_groups(judged, found, ["elang", "esource"], n_groups)
+    judged = _with_groups(judged, found, _KEYS, n_groups)
     columns = ["row", *COUNTS, "base_failed"]
     return judged.select(*columns, (_distance() <= CUTOFF).alias("kept")).union(
         counted.filter("base_failed").select(*columns, F.lit(False).alias("kept"))

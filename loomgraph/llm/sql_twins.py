@@ -24,7 +24,9 @@ def _inverse_root_sql(source: str, prefix: str) -> str:
     for n, (name, value) in enumerate(entries):
         steps.append(f"{prefix}_{n} AS (SELECT *, {value} AS {name} FROM {last})")
         last = f"{prefix}_{n}"
-    return ",\n".join([*steps, f"{prefix} AS (SELECT * FROM {last})"])
+    root = " * ".join(f"l{i}{i}" for i in range(_D))
+    values = ", ".join(mcd._ESTIMATE)
+    return ",\n".join([*steps, f"{prefix} AS MATERIALIZED (SELECT elang, esource, start, ({root}) * ({root}) AS det, {values} FROM {last})"])
 
 
 def _distance_sql() -> str:
@@ -32,6 +34,59 @@ def _distance_sql() -> str:
     return " + ".join(f"({z}) * ({z})" for z in zs)
 
 
+def _starts_sql() -> list[str]:
+    """Medians, deviations and the four first estimates."""
+    d, xs = range(_D), mcd._XS
+    spread = lambda i: f"({mcd.NORMAL_MAD}::DOUBLE * a{i} / {mcd.SCALE}.0::DOUBLE)"
+    fixed = lambda i, value: f"CAST(floor(({value}) * {mcd.SCALE}.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS u{i}"
+    forms = [
+        lambda i: f"CAST(sign(z{i}) AS DOUBLE)",
+        lambda i: f"greatest(-{mcd.WINSOR}::DOUBLE, least({mcd.WINSOR}::DOUBLE, z{i}))",
+        lambda i: f"CASE WHEN norm > 0 THEN z{i} / norm ELSE 0.0::DOUBLE END",
+    ]
+    means = ", ".join(f"m{i}" for i in d)
+    moment = lambda i, j: f"(p{i}{j} / n / {mcd.SCALE * mcd.SCALE}.0::DOUBLE + {mcd.RIDGE if i == j else 0.0}::DOUBLE)"
+    return [
+        "medians AS (SELECT elang, esource, " + ", ".join(f"quantile_disc({x}, 0.5) AS q{i}" for i, x in enumerate(xs)) + " FROM vectors GROUP BY ALL)",
+        "aways AS (SELECT elang, esource, " + ", ".join(f"max(q{i}) AS q{i}" for i in d) + ", "
+        + ", ".join(f"quantile_disc(abs({x} - q{i}), 0.5) AS a{i}" for i, x in enumerate(xs))
+        + " FROM vectors JOIN medians USING (elang, esource) GROUP BY elang, esource)",
+        "scales AS MATERIALIZED (SELECT elang, esource, " + ", ".join(f"q{i} / {mcd.SCALE}.0::DOUBLE AS m{i}" for i in d) + ", "
+        + ", ".join(f"sqrt({spread(i)} * {spread(i)} + {mcd.FLOORS[x] ** 2}::DOUBLE) AS s{i}" for i, x in enumerate(xs)) + " FROM aways)",
+        "zs AS (SELECT elang, esource, " + ", ".join(f"({x} / {mcd.SCALE}.0::DOUBLE - m{i}) / s{i} AS z{i}" for i, x in enumerate(xs))
+        + " FROM vectors JOIN scales USING (elang, esource))",
+        "normed AS MATERIALIZED (SELECT *, sqrt(" + " + ".join(f"z{i} * z{i}" for i in d) + ") AS norm FROM zs)",
+        "shapes AS (" + " UNION ALL ".join(
+            f"SELECT elang, esource, {n} AS start, " + ", ".join(fixed(i, form(i)) for i in d) + " FROM normed" for n, form in enumerate(forms, 1)
+        ) + ")",
+        "shape_sums AS (SELECT elang, esource, start, CAST(count(*) AS DOUBLE) AS n, "
+        + ", ".join(f"CAST(sum(u{i} * u{j}) AS DOUBLE) AS p{i}{j}" for i, j in mcd._PAIRS) + " FROM shapes GROUP BY elang, esource, start)",
+        f"starts AS (SELECT elang, esource, start, {means}, " + ", ".join(f"s{i} * s{j} * {moment(i, j)} AS c{i}{j}" for i, j in mcd._PAIRS)
+        + f" FROM shape_sums JOIN scales USING (elang, esource) UNION ALL SELECT elang, esource, 0, {means}, "
+        + ", ".join(f"s{i} * s{i}" if i == j else "0.0::DOUBLE" for i, j in mcd._PAIRS) + " FROM scales)",
+    ]
+
+
+def _concentrated_sql(found: str, name: str) -> list[str]:
+    """One concentration step from the estimates ``found``."""
+    xs, on = ", ".join(mcd._XS), "USING (elang, esource, start)"
+    mean = [f"(s{i} / n / {mcd.SCALE}.0::DOUBLE)" for i in range(_D)]
+    cov = {(i, j): f"{mcd.CONSISTENCY}::DOUBLE * (p{i}{j} / n / {mcd.SCALE * mcd.SCALE}.0::DOUBLE - {mean[i]} * {mean[j]})" for i, j in mcd._PAIRS}
+    floors = {i: f" + {mcd.FLOORS[x] ** 2}::DOUBLE" for i, x in enumerate(mcd._XS)}
+    return [
+        f"""{name}_near AS MATERIALIZED (SELECT elang, esource, start, {xs}, CAST(floor(256.0::DOUBLE * ln(1.0::DOUBLE + ({_distance_sql()}))) AS BIGINT) AS r
+        FROM vectors v JOIN {found} f USING (elang, esource))""",
+        f"{name}_radius AS (SELECT elang, esource, start, quantile_disc(r, {mcd.CORE_SHARE}) AS radius FROM {name}_near GROUP BY elang, esource, start)",
+        f"{name}_sums AS (SELECT elang, esource, start, CAST(count(*) AS DOUBLE) AS n, "
+        + ", ".join(f"CAST(sum({x}) AS DOUBLE) AS s{i}" for i, x in enumerate(mcd._XS)) + ", "
+        + ", ".join(f"CAST(sum({mcd._XS[i]} * {mcd._XS[j]}) AS DOUBLE) AS p{i}{j}" for i, j in mcd._PAIRS)
+        + f" FROM {name}_near JOIN {name}_radius {on} WHERE r <= radius GROUP BY elang, esource, start)",
+        f"{name}_moments AS (SELECT elang, esource, start, " + ", ".join(f"{m} AS m{i}" for i, m in enumerate(mean)) + ", "
+        + ", ".join(f"{cov[i, j]}{floors[i] if i == j else ''} AS c{i}{j}" for i, j in mcd._PAIRS) + f" FROM {name}_sums)",
+        _inverse_root_sql(f"{name}_moments", name),
+    ]
+
+
 def quality_sql() -> str:
     def log(inner: str) -> str:
         return f"CAST(floor(ln({inner}) * {mcd.SCALE} + 0.5) AS BIGINT)"
@@ -39,8 +94,7 @@ def quality_sql() -> str:
     n = "CAST(n_words AS DOUBLE)"
     values = [f"word_chars / {n}", *[f"1.0::DOUBLE + 100.0::DOUBLE * {c} / {n}" for c in ("n_symbols", "n_dup_lines", "n_repeat_words")], n]
     vector = ", ".join(f"{log(v)} AS {x}" for v, x in zip(values, mcd._XS, strict=True))
-    xs, on = ", ".join(mcd._XS), "USING (elang, esource)"
-    floors = [mcd.FLOORS[x] ** 2 for x in mcd._XS]
+    on = "USING (elang, esource)"
     ctes = [
         r"""texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)""",
@@ -64,29 +118,21 @@ def quality_sql() -> str:
         f"languages AS (SELECT glang, sum(n) AS small_n FROM sizes WHERE n < {mcd.MIN_GROUP} GROUP BY glang)",
         f"""keys AS (SELECT glang, gsource, CASE WHEN n >= {mcd.MIN_GROUP} OR coalesce(small_n >= {mcd.MIN_GROUP}, false) THEN glang ELSE '*' END AS elang,
             CASE WHEN n >= {mcd.MIN_GROUP} THEN gsource ELSE '*' END AS esource FROM sizes LEFT JOIN languages USING (glang))""",
-        "vectors AS (SELECT * FROM plain JOIN keys USING (glang, gsource))",
-        "start AS (SELECT elang, esource, "
-        + ", ".join(f"quantile_disc({x}, 0.5) / {mcd.SCALE}.0::DOUBLE AS m{i}" for i, x in enumerate(mcd._XS)) + ", "
-        + ", ".join(f"{floors[i] if i == j else 0.0}::DOUBLE AS c{i}{j}" for i, j in mcd._PAIRS)
-        + " FROM vectors GROUP BY elang, esource)",
-        _inverse_root_sql("start", "found0"),
+        "vectors AS MATERIALIZED (SELECT * FROM plain JOIN keys USING (glang, gsource))",
+        *_starts_sql(),
+        _inverse_root_sql("starts", "start_estimates"),
     ]
-    for step in range(mcd.STEPS):
-        mean = [f"(s{i} / n / {mcd.SCALE}.0::DOUBLE)" for i in range(_D)]
-        cov = {(i, j): f"{mcd.CONSISTENCY}::DOUBLE * (p{i}{j} / n / {mcd.SCALE * mcd.SCALE}.0::DOUBLE - {mean[i]} * {mean[j]})" for i, j in mcd._PAIRS}
-        ctes += [
-            f"""near{step} AS MATERIALIZED (SELECT elang, esource, {xs}, CAST(floor(256.0::DOUBLE * ln(1.0::DOUBLE + ({_distance_sql()}))) AS BIGINT) AS r
-            FROM vectors v JOIN found{step} f {on})""",
-            f"radius{step} AS (SELECT elang, esource, quantile_disc(r, {mcd.CORE_SHARE}) AS radius FROM near{step} GROUP BY elang, esource)",
-            f"sums{step} AS (SELECT elang, esource, CAST(count(*) AS DOUBLE) AS n, "
-            + ", ".join(f"CAST(sum({x}) AS DOUBLE) AS s{i}" for i, x in enumerate(mcd._XS)) + ", "
-            + ", ".join(f"CAST(sum({mcd._XS[i]} * {mcd._XS[j]}) AS DOUBLE) AS p{i}{j}" for i, j in mcd._PAIRS)
-            + f" FROM near{step} JOIN radius{step} {on} WHERE r <= radius GROUP BY elang, esource)",
-            f"moments{step} AS (SELECT elang, esource, " + ", ".join(f"{m} AS m{i}" for i, m in enumerate(mean)) + ", "
-            + ", ".join(f"{cov[i, j]}{f' + {floors[i]}::DOUBLE' if i == j else ''} AS c{i}{j}" for i, j in mcd._PAIRS) + f" FROM sums{step})",
-            _inverse_root_sql(f"moments{step}", f"found{step + 1}"),
-        ]
-    ctes.append(f"verdicts AS (SELECT doc_id, ({_distance_sql()}) <= {mcd.CUTOFF}::DOUBLE AS kept FROM vectors v JOIN found{mcd.STEPS} f {on})")
+    last = "start_estimates"
+    for step in range(mcd.SCREEN_STEPS):
+        ctes += _concentrated_sql(last, f"screen{step}")
+        last = f"screen{step}"
+    values = ["start", "det", *mcd._ESTIMATE]
+    ctes.append(f"best0 AS (SELECT elang, esource, {', '.join(values)} FROM {last} QUALIFY row_number() OVER (PARTITION BY elang, esource ORDER BY det, start) = 1)")
+    for step in range(mcd.MOST_STEPS):
+        ctes += _concentrated_sql(f"best{step}", f"after{step}")
+        chosen = ", ".join(f"CASE WHEN n.det < {mcd.FALL}::DOUBLE * o.det THEN n.{v} ELSE o.{v} END AS {v}" for v in values)
+        ctes.append(f"best{step + 1} AS MATERIALIZED (SELECT elang, esource, {chosen} FROM best{step} o JOIN after{step} n {on})")
+    ctes.append(f"verdicts AS (SELECT doc_id, ({_distance_sql()}) <= {mcd.CUTOFF}::DOUBLE AS kept FROM vectors v JOIN best{mcd.MOST_STEPS} f {on})")
     return "WITH " + ",\n".join(ctes) + f"""
         SELECT doc_id, {', '.join(mcd.COUNTS)}, base_failed, coalesce(v.kept, false) AS kept FROM judged LEFT JOIN verdicts v USING (doc_id)"""
 
