@@ -220,6 +220,49 @@ def shortest_hops(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     return shortest_path(nodes, edges, source, target, HOPS, directed)
 
 
+def distance_between(
+    nodes: DataFrame, edges: DataFrame, source: str, target: str, weights: Weights = Weights(), directed: bool = True,
+) -> DataFrame:
+    """One row ``source, target, distance, reached`` by a search from both ends; infinity when there is no way.
+
+    The side with the smaller frontier takes the next round.  A shortest path of fewest edges that is not found
+    yet crosses both frontiers and at least one more edge, so the search ends when the sum of the least distances on
+    the frontiers and of the lightest edge is no less than the best meeting.  ``reached`` counts the rows of both sides.
+    """
+    spark = nodes.sparkSession
+    arcs = prepare(edges, weights, directed)
+    back = Arcs(arcs.rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    lightest = arcs.rows.agg(F.coalesce(F.min("w"), F.lit(0))).first()[0]
+    ways = [arcs, back]
+    states = [cut_lineage(seed(nodes, end).select("id", F.col("dist").cast("bigint").alias("dist"), F.lit(0).alias("round"))) for end in (source, target)]
+    open_ = [state.agg(F.count("*"), F.min("dist")).first() for state in states]
+    rounds, best = [0, 0], 0 if source == target and open_[0][0] else None
+    while all(rows for rows, _ in open_):
+        if best is not None and open_[0][1] + open_[1][1] + lightest >= best:
+            break
+        side = 0 if open_[0][0] <= open_[1][0] else 1
+        active = states[side].filter(F.col("round") == rounds[side])
+        rounds[side] += 1
+        step = ways[side].leaving(active.select(F.col("id").alias("src"), F.col("dist").alias("d")), open_[side][0])
+        found = step.select(F.col("dst").alias("id"), (F.col("d") + F.col("w")).alias("dist"), F.lit(rounds[side]).alias("round"))
+        if best is not None:
+            found = found.filter(F.col("dist") < best)
+        merged = states[side].unionAll(found).groupBy("id").agg(F.min(F.struct("dist", "round")).alias("best"))
+        states[side] = cut_lineage(merged.select("id", "best.*"))
+        fresh = states[side].filter(F.col("round") == rounds[side])
+        other = states[1 - side].select("id", F.col("dist").alias("rest"))
+        met = fresh.join(other, "id").agg(F.min(F.col("dist") + F.col("rest"))).first()[0]
+        best = min((x for x in (best, met) if x is not None), default=None)
+        for end in (0, 1):
+            of_use = F.col("round") == rounds[end]
+            if best is not None:
+                of_use = of_use & (F.col("dist") < best)
+            open_[end] = states[end].filter(of_use).agg(F.count("*"), F.min("dist")).first()
+    reached = sum(state.count() for state in states)
+    ends = spark.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target"), F.lit(best).cast("bigint").alias("dist"))
+    return ends.select("source", "target", weights.distance(F.col("dist")).alias("distance"), F.lit(reached).cast("bigint").alias("reached"))
+
+
 def k_shortest_paths(
     nodes: DataFrame, edges: DataFrame, source: str, target: str, k: int = 3, weights: Weights = Weights(), directed: bool = True,
     published: bool = False,

@@ -103,6 +103,16 @@ def shortest_path_hops(spark, sf):
     return found.withColumn("path", F.array_join("path", ">"))
 
 
+@query(
+    "distance_between",
+    f"SELECT source, target, distance FROM ({_path_sql(_WEIGHT_SQL, 'region:1', '10.0::DOUBLE')})",
+)
+def distance_between(spark, sf):
+    """The length of ``shortest_path`` by a search from both ends."""
+    graph = star_graph(spark, sf, distinct=False)
+    return paths.distance_between(graph.nodes, graph.edges, "order:0", "region:1").select("source", "target", "distance")
+
+
 @query("shortest_path_missing", "SELECT 'region:0' AS source, 'order:0' AS target, 'infinity'::DOUBLE AS distance, 0 AS hops")
 def shortest_path_missing(spark, sf):
     graph = star_graph(spark, sf, distinct=False)

@@ -72,6 +72,24 @@ def test_distances_match_dijkstra(spark):
         assert got == want
 
 
+def test_search_from_both_ends(spark):
+    rng = random.Random(8)
+    ids = [f"n{i:03d}" for i in range(150)]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    kinds = ["CONTAINS", "CALLS", "IMPORTS", "other"]
+    rows = [(*rng.sample(ids[:140], 2), rng.choice(kinds)) for _ in range(420)]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string").cache()
+    for source, target in [("n000", "n001"), ("n002", "n077"), ("n000", "n149"), ("n003", "n003"), ("n003", "lost"), ("lost", "lost")]:
+        for weights in (paths.Weights(), paths.HOPS):
+            want = paths.shortest_path(nodes, edges, source, target, weights).first().distance
+            assert paths.distance_between(nodes, edges, source, target, weights).first().distance == want
+    # On a tree of three children each, two frontiers reach far fewer rows than one.
+    tree = [(f"t{(i - 1) // 3}", f"t{i}", "CALLS") for i in range(1, 1093)]
+    tree_nodes = spark.createDataFrame([(f"t{i}",) for i in range(1093)], "id string")
+    found = paths.distance_between(tree_nodes, spark.createDataFrame(tree, "src string, dst string, type string"), "t0", "t1092", paths.HOPS).first()
+    assert found.distance == 6 and found.reached < 20
+
+
 def test_toy_ranking_graph(spark):
     nodes, edges = _graph(
         spark, ["issue_1", "func_1", "func_2", "func_3"], [("issue_1", "func_2", "MENTIONS"), ("func_2", "func_3", "CALLS")]
