@@ -25,14 +25,13 @@ def _as_text(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string") if simple else F.to_json(column)
 
 
-def _props(nodes: DataFrame) -> Column | None:
+def _props(rows: DataFrame, known: set[str]) -> Column | None:
     """Columns without a place of their own, as a map from name to text (JSON for nested values)."""
-    known = set(_LINE_SCHEMA.fieldNames())
-    others = [c for c in nodes.columns if c not in known]
-    given = F.col("props") if "props" in nodes.columns else None
+    others = [c for c in rows.columns if c not in known]
+    given = F.col("props") if "props" in rows.columns else None
     if not others:
         return given
-    found = F.map_filter(F.create_map(*[x for c in others for x in (F.lit(c), _as_text(nodes, c))]), lambda k, v: v.isNotNull())
+    found = F.map_filter(F.create_map(*[x for c in others for x in (F.lit(c), _as_text(rows, c))]), lambda k, v: v.isNotNull())
     return found if given is None else F.map_concat(found, F.map_filter(F.coalesce(given, F.create_map().cast(_PROPS)), lambda k, v: ~k.isin(others)))
 
 
@@ -40,10 +39,13 @@ def snapshot_lines(graph: PropertyGraph, metadata: bool = True) -> DataFrame:
     """``value`` column of JSON texts, metadata first."""
     spark = graph.nodes.sparkSession
     nodes = graph.nodes.withColumn("type_category", F.lit("node"))
-    props = _props(graph.nodes)
+    props = _props(graph.nodes, set(_LINE_SCHEMA.fieldNames()))
     fields = [c for c in nodes.columns if c in set(_LINE_SCHEMA.fieldNames()) and c != "props"]
     nodes = nodes.select(F.to_json(F.struct(*fields, *([] if props is None else [props.alias("props")]))).alias("value"))
     extra = [c for c in ("line", "call_text", "ord") if c in graph.edges.columns]
+    edge_props = _props(graph.edges, {"src", "dst", "type", "line", "call_text", "ord", "props"})
+    if edge_props is not None:
+        extra.append(edge_props.alias("props"))
     edges = graph.edges.select(
         F.to_json(
             F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "type", *extra, F.lit("edge").alias("type_category"))
@@ -73,7 +75,7 @@ def graph_from_lines(lines: DataFrame) -> PropertyGraph:
         *model.NODE_SCHEMA.fieldNames(), *[n for n, _ in _OWN_FIELDS], "props"
     )
     edges = parsed.filter("type_category = 'edge'").select(
-        F.col("source").alias("src"), F.col("target").alias("dst"), "type", "line", "call_text", "ord"
+        F.col("source").alias("src"), F.col("target").alias("dst"), "type", "line", "call_text", "ord", "props"
     )
     return PropertyGraph(nodes, edges)
 

@@ -186,6 +186,39 @@ def test_embedding_cache(spark, tmp_path):
     assert cache_stats(read_cache(spark, path)).first().cached_embeddings == 2
 
 
+def test_ranking_from_cached_vectors(spark, tmp_path):
+    nodes = spark.createDataFrame(
+        [("i", "login fails", "issue", ""), ("f", "login", "function", "a.py"), ("g", "logout", "function", "a.py"), ("h", "login", "function", "a.py"),
+         ("u", "unreachable", "function", "b.py")],
+        "id string, name string, type string, file_path string",
+    )
+    edges = spark.createDataFrame([("i", "f", "MENTIONS"), ("f", "g", "CALLS"), ("g", "h", "CALLS")], "src string, dst string, type string")
+    graph, path, columns = PropertyGraph(nodes, edges), str(tmp_path / "vectors"), ["entity_id", "rank", "total_score", "semantic_similarity"]
+    want = relevance.rank(graph, "login fails", with_path_info=False).select(*columns).collect()
+    for _ in range(2):
+        got = relevance.rank(graph, "login fails", with_path_info=False, embedding_cache=path).select(*columns).collect()
+        assert got == want
+    # Equal texts are stored once, rows that nothing reaches are not embedded, and the second run added none.
+    hashes = [r.text_hash for r in read_cache(spark, path).collect()]
+    assert len(hashes) == len(set(hashes)) == 2
+
+
+def test_snapshots_keep_columns_of_edges(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "a", "class", "x"), ("b", "b", "class", "x")], "id string, name string, type string, file_path string")
+    edges = spark.createDataFrame(
+        [("a", "b", "CALLS", 3, 0.5, ["p", "q"], "n"), ("b", "a", "USES", None, None, None, None)],
+        "src string, dst string, type string, line int, weight double, tags array<string>, name string",
+    )
+    snapshot.export_snapshot(PropertyGraph(nodes, edges), str(tmp_path / "s"))
+    again = snapshot.import_snapshot(spark, str(tmp_path / "s"))
+    for n in range(2):
+        got = {r.type: (r.line, r.props) for r in again.edges.collect()}
+        assert got["CALLS"] == (3, {"weight": "0.5", "tags": '["p","q"]', "name": "n"})
+        assert got["USES"][0] is None and not got["USES"][1]
+        snapshot.export_snapshot(again, str(tmp_path / f"t{n}"))
+        again = snapshot.import_snapshot(spark, str(tmp_path / f"t{n}"))
+
+
 def test_stream_keeps_the_last_version(spark, tmp_path):
     root, table = tmp_path / "src", str(tmp_path / "events")
     _write(root, {"r1/a.py": "def one():\n    pass\n", "r1/b.py": "x = f()\n"})
