@@ -64,3 +64,26 @@ def test_fewer_texts_than_k_and_empty_tables(spark):
     assert got == [(0, 1, 0.666667), (0, 2, 1.0)]
     assert run(spark, [], [(1, "a", "")], 5) == ([], 0)
     assert run(spark, [(0, "a")], [], 5) == ([], 0)
+
+
+def test_one_pass_gives_the_edits_to_many_queries():
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abß😀") for _ in range(n))
+    for _ in range(200):
+        queries, text = [some(rng.randint(0, 70)) for _ in range(rng.randint(0, 5))], some(rng.randint(0, 80))
+        got = text_topk.edits_to(text, [(len(q), text_topk.letter_places(q)) for q in queries])
+        assert got == [edits(q, text) for q in queries]
+
+
+def test_a_text_travels_once_for_all_queries(spark, monkeypatch):
+    passes = spark.sparkContext.accumulator(0)
+    one_pass = text_topk.edits_to
+
+    def counted(text, queries):
+        passes.add(1)
+        return one_pass(text, queries)
+
+    monkeypatch.setattr(text_topk, "edits_to", counted)
+    texts = [(i, "ab" * (i % 3 + 1), "") for i in range(30)]
+    _, distances = run(spark, [(q, "ab" * (q + 1)) for q in range(6)], texts, 3)
+    assert distances >= 60 and 0 < passes.value < distances
