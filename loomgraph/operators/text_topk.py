@@ -18,7 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from loomgraph.session import cut_lineage, widen
 ship_by_value(__name__)
 
 BLOCK = 512
+#: Letters of texts that meet a single problem side by side; longer texts meet it alone.
+BLOCK_CHARS = 1 << 17
 DIGITS = 6
 #: Characters counted one by one; all others are counted together.
 COUNTED = "abcdefghijklmnopqrstuvwxyz .,"
@@ -74,6 +78,23 @@ def letter_places(text: str) -> dict[str, int]:
     return places
 
 
+def _edit_columns(text: str, equal: dict[str, int], first: int, every: int) -> tuple[int, int]:
+    """Where the last columns of edit tables rise and fall, for tables side by side that ``text`` walks over.
+
+    ``equal`` has the places of every letter, ``first`` the first place of every table and ``every`` all their places.
+    """
+    up, down, get = every, 0, equal.get
+    for letter in text:
+        same = get(letter, 0)
+        x = same | down
+        across = (((same & up) + up) ^ up) | same
+        more = ((down | (every & ~(across | up))) << 1) | first
+        less = (up & across) << 1
+        up = (less & every) | (every & ~(x | more))
+        down = more & x & every
+    return up, down
+
+
 def edits_to(text: str, queries: list[tuple[int, dict[str, int]]]) -> list[int]:
     """Edits between ``text`` and every query, given by its length and ``letter_places``."""
     equal: dict[str, int] = {}
@@ -87,15 +108,7 @@ def edits_to(text: str, queries: list[tuple[int, dict[str, int]]]) -> list[int]:
                 equal[letter] = equal.get(letter, 0) | bits << at
         # A bit between two queries takes what is carried out of the one below.
         at += length + 1
-    up, down, get = every, 0, equal.get
-    for letter in text:
-        same = get(letter, 0)
-        x = same | down
-        across = (((same & up) + up) ^ up) | same
-        more = ((down | (every & ~(across | up))) << 1) | first
-        less = (up & across) << 1
-        up = (less & every) | (every & ~(x | more))
-        down = more & x & every
+    up, down = _edit_columns(text, equal, first, every)
     found = []
     for (length, _), start in zip(queries, starts, strict=True):
         own = (1 << length) - 1
@@ -103,6 +116,68 @@ def edits_to(text: str, queries: list[tuple[int, dict[str, int]]]) -> list[int]:
     return found
 
 
+def edits_from(problem: str, texts: list[str]) -> list[int]:
+    """Edits between ``problem`` and every text.
+
+    Here the texts are the tables, so a step over a letter of the problem serves all of them.
+    """
+    found: list[int] = []
+    begin = 0
+    while begin < len(texts):
+        end, held = begin + 1, len(texts[begin])
+        while end < len(texts) and held + len(texts[end]) <= BLOCK_CHARS:
+            held += len(texts[end])
+            end += 1
+        block = texts[begin:end]
+        begin = end
+        # A place between two texts, which equals no letter, takes what is carried out of the one before.
+        codes = np.frombuffer(("\0".join(block) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
+        lengths = np.array([len(t) for t in block])
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        own = np.ones(len(codes), bool)
+        own[ends] = False
+        first = np.zeros(len(codes), bool)
+        first[starts[lengths > 0]] = True
+        equal = {letter: _as_bits((codes == ord(letter)) & own) for letter in set(problem)}
+        up, down = _edit_columns(problem, equal, _as_bits(first), _as_bits(own))
+        risen = np.cumsum(_from_bits(up, len(codes)).astype(np.int64) - _from_bits(down, len(codes)))
+        # The places between texts are never set, so the sum at one is the sum at the end of its text.
+        found += (len(problem) + np.diff(risen[ends], prepend=0)).tolist()
+    return found
+
+
+def _as_bits(places: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(places, bitorder="little").tobytes(), "little")
+
+
+def _from_bits(bits: int, size: int) -> np.ndarray:
+    held = bits.to_bytes(-(-size // 8), "little")
+    return np.unpackbits(np.frombuffer(held, np.uint8), count=size, bitorder="little")
+
+
+def edit_similarities(texts: DataFrame, problem: str | None, key: str, text: str = "text") -> DataFrame:
+    """``key`` and the ``similarity`` of every text with ``problem``; null where either is null."""
+    kind = texts.schema[key].dataType.simpleString()
+    keyed = texts.select(F.col(key).alias("key"), F.lower(text).alias("row_text"))
+    if problem is None:
+        return keyed.select(F.col("key").alias(key), F.lit(None).cast("double").alias("similarity"))
+    lowered = texts.sparkSession.range(1).select(F.lower(F.lit(problem))).first()[0]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            edits = iter(edits_from(lowered, [row for row in rows if row is not None]))
+            counted = [None if row is None else next(edits) for row in rows]
+            longest = [None if row is None else max(len(row), len(lowered)) for row in rows]
+            held = [batch.column(0), pa.array(counted, pa.int32()), pa.array(longest, pa.int32())]
+            yield pa.RecordBatch.from_arrays(held, names=["key", "edits", "longest"])
+
+    edits = keyed.mapInArrow(compare, f"key {kind}, edits int, longest int")
+    found = F.when(F.col("longest") == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("edits") / F.col("longest"))
+    return edits.select(F.col("key").alias(key), found.alias("similarity"))
+
+
 def edit_topk(queries: DataFrame, texts: DataFrame, k: int, query_key: str, key: str, text: str = "text") -> tuple[DataFrame, int]:
     """``query, key, similarity``, the ``k`` most similar texts of every query, and how many distances that took."""
     spark = texts.sparkSession

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.functions import text as texts
 from loomgraph.functions.similarity import (
-    HashingEmbedder, cosine_similarity, levenshtein_similarity, matching_ratio,
+    HashingEmbedder, cosine_similarity, matching_ratio,
 )
 from loomgraph.operators import paths
 from loomgraph.operators.graph import PropertyGraph
-from loomgraph.operators.text_topk import edit_topk
+from loomgraph.operators.text_topk import edit_similarities, edit_topk
 from loomgraph.plans import relevance
 from loomgraph.plans.registry import query
 from loomgraph.plans.star_graph import STAR_SQL, star_graph, star_nodes, table
@@ -234,8 +234,8 @@ def _edit_similarity(a: str, b: str) -> str:
 def text_edit_similarity(spark, sf):
     """Every document, whole, against one problem text."""
     problem = table(spark, sf, "benchmark").filter("item_id = 0").select("text").first()[0]
-    found = levenshtein_similarity(F.lit(problem), F.col("text"))
-    return widen(table(spark, sf, "documents")).select("doc_id", F.round(found, 6).alias("similarity"))
+    found = edit_similarities(widen(table(spark, sf, "documents")), problem, "doc_id")
+    return found.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
@@ -244,7 +244,7 @@ def text_edit_similarity(spark, sf):
     FROM documents d, (SELECT text FROM benchmark WHERE item_id = 0) q) ORDER BY similarity DESC, doc_id LIMIT 20""",
 )
 def text_edit_topk(spark, sf):
-    """One item alone: computing every distance takes less than the steps of the bounds."""
+    """One item alone: its distances to all texts are computed side by side, which takes less than the steps of the bounds."""
     return text_edit_similarity(spark, sf).orderBy(F.desc("similarity"), "doc_id").limit(20)
 
 

@@ -87,3 +87,28 @@ def test_a_text_travels_once_for_all_queries(spark, monkeypatch):
     texts = [(i, "ab" * (i % 3 + 1), "") for i in range(30)]
     _, distances = run(spark, [(q, "ab" * (q + 1)) for q in range(6)], texts, 3)
     assert distances >= 60 and 0 < passes.value < distances
+
+
+def test_one_problem_walks_over_many_texts_side_by_side(spark, monkeypatch):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abß😀\0") for _ in range(n))
+    for limit in (1, 60, 1 << 17):
+        monkeypatch.setattr(text_topk, "BLOCK_CHARS", limit)
+        for _ in range(40):
+            problem, texts = some(rng.randint(0, 70)), [some(rng.randint(0, 80)) for _ in range(rng.randint(0, 9))]
+            assert text_topk.edits_from(problem, texts) == [edits(problem, text) for text in texts]
+    texts = [(i, some(i % 40).upper(), "x") for i in range(50)] + [(50, None, "x"), (None, "Ab", "x")]
+    frame = spark.createDataFrame(texts, "id long, text string, query string")
+    for problem in ("ABß a", ""):
+        got = text_topk.edit_similarities(frame, problem, "id").collect()
+        want = [(key, None if text is None else similarity(problem, text)) for key, text, _ in texts]
+        assert sorted(map(str, ((r.id, r.similarity and round(r.similarity, 6)) for r in got))) == sorted(map(str, want))
+    assert [r.similarity for r in text_topk.edit_similarities(frame, None, "id").collect()] == [None] * 52
+
+
+def test_queries_of_one_item_make_no_table_per_pair(spark):
+    from loomgraph.plans import catalog
+
+    for name in ("text_edit_similarity", "text_edit_topk"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "levenshtein" not in plan
