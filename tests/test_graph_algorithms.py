@@ -221,3 +221,30 @@ def test_wide_intervals(spark):
     )
     want = {p: min([o for lo, hi, o in intervals if lo <= p <= hi], default=None) for p in points}
     assert {r.at: r.hit for r in got.collect()} == want
+
+
+def test_components_number_few_edges(spark, monkeypatch):
+    """About an edge per node goes into the rounds, and an end that is no node links nothing."""
+    import random
+
+    from loomgraph.operators import components
+
+    followed = []
+    own = components.prepare
+
+    def counted(edges, *args, **kwargs):
+        followed.append(edges.count())
+        return own(edges, *args, **kwargs)
+
+    monkeypatch.setattr(components, "prepare", counted)
+    rng = random.Random(4)
+    names = [f"n{i}" for i in range(120)]
+    group = {n: i % 3 for i, n in enumerate(names)}
+    edges = [(a, b) for a in names for b in names if group[a] == group[b] and rng.random() < 0.5]
+    edges += [("n0", "gone"), ("gone", "n1"), ("lone", "lone"), ("n2", None)]
+    nodes = spark.createDataFrame([(n,) for n in [*names, "lone"]], "id string")
+    for run in (7, 1_000_000):
+        monkeypatch.setattr(components, "RUN_EDGES", run)
+        got = {r.id: r.component for r in components.connected_components(nodes, spark.createDataFrame(edges, "src string, dst string")).collect()}
+        assert got == {n: min(x for x in names if group[x] == g) for n, g in group.items()} | {"lone": "lone"}
+    assert followed[-1] < 1000 < len(edges)
