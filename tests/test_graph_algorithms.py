@@ -248,3 +248,16 @@ def test_components_number_few_edges(spark, monkeypatch):
         got = {r.id: r.component for r in components.connected_components(nodes, spark.createDataFrame(edges, "src string, dst string")).collect()}
         assert got == {n: min(x for x in names if group[x] == g) for n, g in group.items()} | {"lone": "lone"}
     assert followed[-1] < 1000 < len(edges)
+
+
+def test_statistics_of_many_types_group_pairs_by_hash(spark, monkeypatch):
+    from loomgraph.operators import graph as property_graph
+
+    monkeypatch.setattr(property_graph, "_MASK_BITS", 3)
+    kinds = [None, *[f"T{i}" for i in range(8)]]
+    edges = [(f"n{i % 5}", f"n{i % 7}", kinds[i % 9]) for i in range(400)] + [("n0", None, "T1"), ("n0", None, "T1")]
+    frame = spark.createDataFrame(edges, "src string, dst string, type string")
+    found = property_graph._edge_statistics(frame)
+    want = {("relationship_types", k): len({e[:2] for e in edges if e[2] == k}) for k in kinds}
+    assert {(r.metric, r.key): r.value for r in found.collect()} == want | {("total_edges", ""): len({e[:2] for e in edges})}
+    assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
