@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import model
 from loomgraph.operators.graph import node_table
-from loomgraph.operators.lookups import salted_lookup
+from loomgraph.operators.lookups import heavy_keys, repeat_rows, salted_lookup, spread_rows
 
 # Columns stored as 0 when a node gives no value.
 _ZERO_WHEN_ABSENT = {"line_start", "line_end", "line", "number", "stars", "forks"}
@@ -50,14 +50,24 @@ def _known_types(edges: DataFrame) -> DataFrame:
 
 def storable_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of a known type whose endpoints exist in the tables that type connects."""
-    stored = nodes.select("id", node_table(F.col("type")).alias("_table"))
-    typed = _known_types(edges).select("src", "dst", "type").distinct()
-    for end, position in (("src", 0), ("dst", 1)):
-        side = stored.select(F.col("id").alias(end), F.col("_table").alias(f"_{end}"))
-        typed = salted_lookup(typed, side, [end], "inner")
-        pairs = [F.lit(x) for kind, ends in model.REL_ENDPOINTS.items() for x in (kind, ends[position])]
-        typed = typed.filter(F.create_map(*pairs)[F.col("type")] == F.col(f"_{end}")).drop(f"_{end}")
-    return typed.select("src", "dst", "type")
+    typed = _known_types(edges).select("src", "dst", "type")
+    bits = {name: 1 << at for at, name in enumerate(model.NODE_TABLE_COLUMNS)}
+    numbered = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
+
+    def fits(end: str, position: int) -> Column:
+        # An equality would become a key of the join and part the equal edges of a source.
+        wanted = [F.lit(x) for kind, ends in model.REL_ENDPOINTS.items() for x in (kind, bits[ends[position]])]
+        return F.create_map(*wanted)[F.col("type")].bitwiseAND(F.col(f"_{end}")) != 0
+
+    def side(end: str) -> DataFrame:
+        return nodes.select(F.col("id").alias(end), numbered[node_table(F.col("type"))].alias(f"_{end}"))
+
+    # Equal edges lie together as they meet their source, so they need no shuffle of their own.
+    heavy = heavy_keys(typed, ["src"])
+    placed = spread_rows(typed, heavy, ["src"], F.xxhash64("dst"))
+    met = placed.join(repeat_rows(side("src"), heavy, ["src"]), ["src", "_salt"]).filter(fits("src", 0))
+    single = met.select("src", "_salt", "dst", "type").distinct().drop("_salt")
+    return salted_lookup(single, side("dst"), ["dst"], "inner").filter(fits("dst", 1)).select("src", "dst", "type")
 
 
 def table_statistics(nodes: DataFrame, edges: DataFrame, published: bool = False) -> DataFrame:

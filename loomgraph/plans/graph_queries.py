@@ -351,4 +351,4 @@ def relationships_per_table_limit(spark, sf):
     WHERE e.type <> 'MODIFIES'""",
 )
 def typed_endpoint_edges(spark, sf):
-    return tables.storable_edges(star_nodes(spark, sf), star_edges(spark, sf))
+    return tables.storable_edges(star_nodes(spark, sf), star_edges(spark, sf, distinct=False))

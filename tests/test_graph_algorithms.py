@@ -261,3 +261,25 @@ def test_statistics_of_many_types_group_pairs_by_hash(spark, monkeypatch):
     want = {("relationship_types", k): len({e[:2] for e in edges if e[2] == k}) for k in kinds}
     assert {(r.metric, r.key): r.value for r in found.collect()} == want | {("total_edges", ""): len({e[:2] for e in edges})}
     assert "collect_set" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_storable_edges_shuffle_once_for_an_end(spark, monkeypatch):
+    from loomgraph import model
+    from loomgraph.operators import lookups, tables
+
+    monkeypatch.setattr(lookups, "ROWS_PER_TASK", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([(f"c{i}", "class") for i in range(40)] + [("o", "commit")], "id string, type string")
+        kind = next(k for k, ends in model.REL_ENDPOINTS.items() if ends == ("CodeEntity", "CodeEntity"))
+        edges = [("c0", f"c{i % 40}", kind) for i in range(90)] + [(f"c{i % 9}", "c1", kind.lower()) for i in range(30)]
+        edges += [("c0", "gone", kind), ("gone", "c0", kind), ("o", "c1", kind), ("c1", "o", kind), ("c1", "c2", "ODD"), (None, "c1", kind)]
+        found = tables.storable_edges(nodes, spark.createDataFrame(edges, "src string, dst string, type string"))
+        known = {f"c{i}" for i in range(40)}
+        want = {(a, b, kind) for a, b, k in edges if a in known and b in known and k.upper() == kind}
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert "hashpartitioning(src" in plan
+        assert [line for line in plan.splitlines() if "hashpartitioning(src" in line and "dst#" in line] == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
