@@ -292,6 +292,25 @@ def distance_between(
     return ends.select("source", "target", weights.distance(F.col("dist")).alias("distance"), F.lit(reached).cast("bigint").alias("reached"))
 
 
+def _source_reach(arcs: Arcs, nodes: DataFrame, source: str, target: str) -> DataFrame | None:
+    """``id`` of all that ``source`` reaches, or nothing if all that reaches ``target`` is found with smaller rounds.
+
+    Both sides grow, the one with fewer nodes first, until one has all of its nodes.
+    """
+    ways = [arcs, arcs.reversed()]
+    states = [cut_lineage(seed(nodes, end).select("id", F.lit(True).alias("fresh"))) for end in (source, target)]
+    found = [state.count() for state in states]
+    fresh = list(found)
+    while all(fresh):
+        side = 0 if found[0] <= found[1] else 1
+        step = ways[side].leaving(states[side].filter("fresh").select(F.col("id").alias("src")), fresh[side])
+        rows = states[side].withColumn("fresh", F.lit(False)).unionAll(step.select(F.col("dst").alias("id"), F.lit(True).alias("fresh")))
+        # A node is fresh if all its rows are.
+        states[side] = cut_lineage(rows.groupBy("id").agg(F.min("fresh").alias("fresh")))
+        found[side], fresh[side] = states[side].agg(F.count("*"), F.count_if("fresh")).first()
+    return states[0].select("id") if not fresh[0] else None
+
+
 def k_shortest_paths(
     nodes: DataFrame, edges: DataFrame, source: str, target: str, k: int = 3, weights: Weights = Weights(), directed: bool = True,
     published: bool = False,
@@ -308,6 +327,11 @@ def k_shortest_paths(
         return found.filter(F.size("path") > 0).limit(min(k, 1))
     spark = nodes.sparkSession
     arcs = prepare(edges, weights, directed)
+    reach = _source_reach(arcs, nodes, source, target)
+    if reach is not None:
+        # No path leaves what the source reaches.
+        inner = stored(arcs.leaving(reach.withColumnRenamed("id", "src"), reach.count()).select("src", "dst", "w"))
+        arcs = Arcs(inner, arcs.lightest, arcs.width)
     left = search(arcs.reversed(), seed(nodes, target), parents=False).select("id", F.col("dist").alias("left"))
     shape = "id string, dist bigint, path array<string>, least bigint"
     open_ = left.filter(F.col("id") == source).select(

@@ -283,3 +283,14 @@ def test_storable_edges_shuffle_once_for_an_end(spark, monkeypatch):
         assert [line for line in plan.splitlines() if "hashpartitioning(src" in line and "dst#" in line] == []
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_k_shortest_paths_stay_where_the_source_leads(spark, monkeypatch):
+    edges = [("s", "a", "CALLS"), ("a", "t", "CALLS"), ("s", "b", "CALLS"), ("b", "t", "USES")]
+    edges += [(f"x{i}", "t", "CALLS") for i in range(300)] + [(f"y{i}", f"x{i}", "CALLS") for i in range(300)]
+    nodes = spark.createDataFrame([(n,) for n in sorted({x for e in edges for x in e[:2]})], "id string")
+    searched, search = [], paths.search
+    monkeypatch.setattr(paths, "search", lambda *a, **k: searched.append(search(*a, **k)) or searched[-1])
+    found = paths.k_shortest_paths(nodes, spark.createDataFrame(edges, "src string, dst string, type string"), "s", "t", k=3)
+    assert sorted(r.path for r in found.collect()) == [["s", "a", "t"], ["s", "b", "t"]]
+    assert searched[0].count() == 4
