@@ -5,12 +5,16 @@ of two files is the share of the larger one's bytes that lie in lines of both, a
 pair counts from ``LEAST_SIMILARITY`` on.  The best pair is taken, both its files
 leave, and so on; ties go to the smaller old path, then to the smaller new one.
 
-Candidates come from rare lines.  All lines are ordered from rare to frequent, and a
-file is looked up by its first lines only, up to the point where the rest is too
-short to reach the least similarity, so every pair that can count shares such a line.
-A line that more than ``BLOCK`` files share is cut into blocks by size: files then
-meet those of like size, and search and assignment repeat until nothing more is
-found.  So no line makes all pairs of its files.
+Files of one side that agree in size and in the lines that the other side has too are
+alike to all files there.  They are one class, however many copies there are: classes
+are compared, and the files of two classes are paired in the order of their paths.
+
+Candidates come from rare lines.  All lines are ordered from rare to frequent, those
+that the other side lacks first, and a class is looked up by its first lines only, up
+to the point where the rest is too short to reach the least similarity, so every pair
+that can count shares such a line.  A line that more than ``BLOCK`` classes share is cut
+into blocks by size: classes then meet those of like size, and search and assignment
+repeat until nothing more is found.  So no line makes all pairs of its files.
 
 Null paths and null contents take no part; a path in both listings was not renamed.
 """
@@ -24,8 +28,10 @@ from loomgraph.session import cut_lineage
 
 LEAST_SIMILARITY = 0.5
 BLOCK = 64
+#: Files that a pair of classes goes through at most in a round when another class of the same similarity may come between.
+TIED_FILES = 1000
 
-_PAIRS = "old_path string, new_path string, similarity double"
+_TAKEN = ["old", "old_at", "old_path", "new", "new_at", "new_path", "similarity"]
 
 
 def line_profile(files: DataFrame) -> DataFrame:
@@ -70,74 +76,117 @@ def _features(listing: DataFrame, side: str) -> DataFrame:
     return rows.groupBy("side", "file_path", "size", F.col("line.h").alias("h")).agg(F.sum("line.w").alias("w"))
 
 
-def _looked_up(features: DataFrame) -> DataFrame:
-    """The lines by which files are looked up, those of both sides only."""
-    shared = features.groupBy("h").agg(F.count("*").alias("files"), F.count_distinct("side").alias("sides"))
+def _classes(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files alike to all files of the other side: ``class, n, file_path``, and ``side, class, size, own, h, w`` of each class.
+
+    Likeness follows from the size and from the lines of both sides, so files that agree in these are one class.
+    ``own`` are the bytes of lines that the other side lacks.  A file that has more of them than a pair may have
+    is in no class.
+    """
+    sides = features.groupBy("h").agg(F.min("side").alias("_least"), F.max("side").alias("_most"))
+    both = cut_lineage(features.join(sides.filter("_least <> _most").select("h"), "h", "left_semi"))
     # The lines of one file are a bounded group.
-    rare_first = Window.partitionBy("side", "file_path").orderBy("files", "h").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("w").over(rare_first), F.lit(0))
-    known = features.join(shared, "h").withColumn("before", before)
-    return known.filter((F.col("sides") == 2) & (F.col("before") <= (1 - LEAST_SIMILARITY) * F.col("size"))).select(
-        "side", "file_path", "size", "h"
-    )
+    held = F.array_sort(F.collect_list(F.struct("h", "w"))).cast("string")
+    files = both.groupBy("side", "file_path", "size").agg(F.sum("w").alias("_w"), F.md5(held).alias("_held"))
+    files = files.withColumn("own", F.col("size") - F.col("_w")).filter(F.col("own") <= (1 - LEAST_SIMILARITY) * F.col("size"))
+    named = files.select("side", "file_path", "own", F.concat_ws(":", "size", "_held", "side").alias("class"))
+    placed = cut_lineage(_numbered(named, "class", ["file_path"]))
+    first = placed.filter("n = 0").select("side", "file_path", "own", "class")
+    lines = both.join(first, ["side", "file_path"]).select("side", "class", "size", "own", "h", "w")
+    return placed.select("class", "n", "file_path"), cut_lineage(lines)
+
+
+def _looked_up(lines: DataFrame) -> DataFrame:
+    """The lines by which classes are looked up; those that the other side lacks count as the rarest."""
+    classes = lines.groupBy("h").agg(F.count("*").alias("classes"))
+    rare_first = Window.partitionBy("class").orderBy("classes", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("own") + F.coalesce(F.sum("w").over(rare_first), F.lit(0))
+    known = lines.join(classes, "h").withColumn("before", before)
+    return known.filter(F.col("before") <= (1 - LEAST_SIMILARITY) * F.col("size")).select("side", "class", "size", "h")
 
 
 def _candidates(prefixes: DataFrame) -> tuple[DataFrame, bool]:
-    """Distinct ``old_path, new_path`` that meet in a block, and whether any line was cut into blocks."""
-    numbered = cut_lineage(_numbered(prefixes, "h", ["size", "file_path", "side"]).withColumn("block", F.floor(F.col("n") / BLOCK)))
+    """Distinct ``old, new`` that meet in a block, and whether any line was cut into blocks."""
+    numbered = cut_lineage(_numbered(prefixes, "h", ["size", "class"]).withColumn("block", F.floor(F.col("n") / BLOCK)))
     cut = not numbered.filter("block > 0").isEmpty()
-    old = numbered.filter("side = 'old'").select("h", "block", F.col("file_path").alias("old_path"))
+    old = numbered.filter("side = 'old'").select("h", "block", F.col("class").alias("old"))
     near = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)) if cut else F.col("block")
-    new = numbered.filter("side = 'new'").select("h", near.alias("block"), F.col("file_path").alias("new_path"))
-    return old.join(new, ["h", "block"]).select("old_path", "new_path").distinct(), cut
+    new = numbered.filter("side = 'new'").select("h", near.alias("block"), F.col("class").alias("new"))
+    return old.join(new, ["h", "block"]).select("old", "new").distinct(), cut
 
 
-def _scored(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    def side(name: str, prefix: str) -> DataFrame:
-        columns = [F.col(c).alias(f"{prefix}_{c}") for c in ("size", "w")]
-        return features.filter(F.col("side") == prefix).select(F.col("file_path").alias(name), "h", *columns)
+def _scored(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{name}_{c}") for c in ("size", "w")]
+        return lines.filter(F.col("side") == name).select(F.col("class").alias(name), "h", *columns)
 
-    met = pairs.join(side("old_path", "old"), "old_path").join(side("new_path", "new"), ["new_path", "h"])
-    shared = met.groupBy("old_path", "new_path", "old_size", "new_size").agg(F.sum(F.least("old_w", "new_w")).alias("shared"))
+    met = pairs.join(side("old"), "old").join(side("new"), ["new", "h"])
+    shared = met.groupBy("old", "new", "old_size", "new_size").agg(F.sum(F.least("old_w", "new_w")).alias("shared"))
     similarity = F.col("shared") / F.greatest("old_size", "new_size")
-    return shared.select("old_path", "new_path", similarity.alias("similarity")).filter(F.col("similarity") >= LEAST_SIMILARITY)
+    return shared.select("old", "new", similarity.alias("similarity")).filter(F.col("similarity") >= LEAST_SIMILARITY)
+
+
+def _heads(rows: DataFrame, members: DataFrame, side: str) -> DataFrame:
+    """``rows`` with the path of the member ``{side}_at`` of ``side``; rows without such a member leave."""
+    found = members.select(F.col("class").alias(side), F.col("n").alias(f"{side}_at"), F.col("file_path").alias(f"{side}_path"))
+    return rows.drop(f"{side}_path").join(found, [side, f"{side}_at"])
 
 
-def best_pairs(scored: DataFrame) -> DataFrame:
-    """The pairs of ``old_path, new_path, similarity`` that taking the best first leaves, each path in one at most.
+def best_pairs(scored: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of files that taking the best first leaves, each file in one at most, from ``old, new, similarity``
+    of classes: ``old, old_at, old_path, new, new_at, new_path, similarity``.
 
-    A round takes every pair that is the best of both its paths; the best pair of all
+    The files of a class are taken in the order of their paths.  A round takes every pair of classes that is the best of
+    both, file by file up to the first that would rather go with a class of the same similarity; the best pair of all
     is one of them, so rounds end.
     """
-    spark = scored.sparkSession
-    taken = spark.createDataFrame([], _PAIRS)
-    left = cut_lineage(scored)
-    order = F.struct((-F.col("similarity")).alias("s"), F.col("old_path").alias("o"), F.col("new_path").alias("n"))
-    while not left.isEmpty():
-        best_old = left.groupBy("old_path").agg(F.min(order).alias("best"))
-        best_new = left.groupBy("new_path").agg(F.min(order).alias("best"))
-        mutual = best_old.join(best_new, "best").select("old_path", "new_path", (-F.col("best.s")).alias("similarity"))
-        mutual = cut_lineage(mutual)
-        taken = taken.unionByName(mutual)
-        left = cut_lineage(left.join(mutual, "old_path", "left_anti").join(mutual, "new_path", "left_anti"))
+    left = scored
+    for side in ("old", "new"):
+        first = members.groupBy(F.col("class").alias(side)).agg(F.min("n").alias(f"{side}_at"), F.max("n").alias(f"{side}_last"))
+        left = _heads(left.join(first, side), members, side)
+    left = cut_lineage(left)
+    taken = None
+    while taken is None or not left.isEmpty():
+        ranked = left
+        for side, other in (("old", "new"), ("new", "old")):
+            best_first = Window.partitionBy(side).orderBy(F.desc("similarity"), f"{other}_path")
+            tied = F.lead("similarity").over(best_first) == F.col("similarity")
+            ranked = ranked.withColumn(f"{other}_rank", F.row_number().over(best_first)).withColumn(
+                f"{other}_next", F.when(tied, F.lead(f"{other}_path").over(best_first))
+            )
+        mutual = ranked.filter("old_rank = 1 AND new_rank = 1")
+        more = F.least(F.col("old_last") - F.col("old_at"), F.col("new_last") - F.col("new_at"))
+        alone = F.col("old_next").isNull() & F.col("new_next").isNull()
+        step = F.explode(F.sequence(F.lit(0), F.when(alone, more).otherwise(F.least(more, F.lit(TIED_FILES - 1)))))
+        steps = mutual.withColumn("step", step)
+        for side in ("old", "new"):
+            steps = _heads(steps.withColumn(f"{side}_at", F.col(f"{side}_at") + F.col("step")), members, side)
+        turn = [F.col(f"{side}_next").isNull() | (F.col(f"{side}_path") < F.col(f"{side}_next")) for side in ("old", "new")]
+        fresh = cut_lineage(steps.filter(turn[0] & turn[1]).select(*_TAKEN))
+        taken = fresh if taken is None else taken.unionByName(fresh)
+        for side in ("old", "new"):
+            # A class is in one pair of a round at most.
+            moved = fresh.groupBy(side).agg((F.max(f"{side}_at") + 1).alias("_at"))
+            left = left.join(moved, side, "left").withColumn(f"{side}_at", F.coalesce("_at", f"{side}_at")).drop("_at")
+            left = _heads(left, members, side)
+        left = cut_lineage(left)
     return taken
 
 
 def similar_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
     """Pairs by their lines, from ``file_path, lines`` of either side."""
-    features = cut_lineage(_features(deleted, "old").unionByName(_features(added, "new")))
-    prefixes = cut_lineage(_looked_up(features))
-    found = features.sparkSession.createDataFrame([], _PAIRS)
+    members, lines = _classes(cut_lineage(_features(deleted, "old").unionByName(_features(added, "new"))))
+    prefixes = cut_lineage(_looked_up(lines))
+    found = None
     while True:
         pairs, cut = _candidates(prefixes)
-        fresh = cut_lineage(best_pairs(_scored(pairs, features)))
-        found = found.unionByName(fresh)
+        fresh = best_pairs(_scored(pairs, lines), members)
+        found = fresh if found is None else found.unionByName(fresh)
         if not cut or fresh.isEmpty():
-            return found
-        gone = fresh.select(F.lit("old").alias("side"), F.col("old_path").alias("file_path")).unionByName(
-            fresh.select(F.lit("new").alias("side"), F.col("new_path").alias("file_path"))
-        )
-        prefixes = cut_lineage(prefixes.join(gone, ["side", "file_path"], "left_anti"))
+            return found.select("old_path", "new_path", "similarity")
+        gone = [fresh.select(F.col(side).alias("class"), F.col(f"{side}_at").alias("n")) for side in ("old", "new")]
+        members = cut_lineage(members.join(gone[0].unionByName(gone[1]), ["class", "n"], "left_anti"))
+        prefixes = cut_lineage(prefixes.join(members.select("class").distinct(), "class", "left_semi"))
 
 
 def _left(listing: DataFrame, pairs: DataFrame, column: str) -> DataFrame:

@@ -73,6 +73,23 @@ def test_a_line_of_many_files_is_cut_into_blocks(spark, monkeypatch):
     assert [q for _, q, _ in got] == [p.replace("a/", "b/") for p, *_ in got]
 
 
+def test_copies_pair_in_order_in_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(renames, "BLOCK", 4)
+    monkeypatch.setattr(renames, "TIED_FILES", 2)
+    written, cut = [], renames.cut_lineage
+    monkeypatch.setattr(renames, "cut_lineage", lambda rows: written.append(1) or cut(rows))
+    # Copies, each with a line of its own later.
+    old = {f"a/{i:02}.py": "copy " * 20 for i in range(20)}
+    new = {f"b/{i:02}.py": f"# {i:02}\n" + "copy " * 20 for i in range(24)}
+    # Two kinds of old files, in turns, that are equally like every new one.
+    old |= {f"c/{i}.py": "common " * 9 + "\n" + "xy"[i % 2] * 9 for i in range(7)}
+    new |= {f"d/{i}.py": "common " * 9 + "\n" + "z" * 9 for i in range(5)} | {"d/x.py": "x" * 9 + "\n" + "u" * 30, "d/y.py": "y" * 9 + "\n" + "v" * 30}
+    want = brute(old, new)
+    assert len(want) == 25
+    assert found(spark, old, new) == want
+    assert len(written) < 30
+
+
 def test_without_lines_only_equal_contents(spark):
     old, new = listing(spark, {"a.py": "x\ny", "b.py": "long line\nz"}), listing(spark, {"c.py": "x\ny", "d.py": "long line\nw"})
     rows = renames.renames(old.drop("lines"), new.drop("lines")).collect()
