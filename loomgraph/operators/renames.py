@@ -83,8 +83,10 @@ def _classes(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``own`` are the bytes of lines that the other side lacks.  A file that has more of them than a pair may have
     is in no class.
     """
-    sides = features.groupBy("h").agg(F.min("side").alias("_least"), F.max("side").alias("_most"))
-    both = cut_lineage(features.join(sides.filter("_least <> _most").select("h"), "h", "left_semi"))
+    sides = features.groupBy("h").agg(*[F.bool_or(F.col("side") == side).alias(side) for side in ("old", "new")])
+    # Written first, so that the join splits a line of very many files.
+    shared = cut_lineage(sides.filter("old AND new").select("h"))
+    both = cut_lineage(features.join(shared, "h", "left_semi"))
     # The lines of one file are a bounded group.
     held = F.array_sort(F.collect_list(F.struct("h", "w"))).cast("string")
     files = both.groupBy("side", "file_path", "size").agg(F.sum("w").alias("_w"), F.md5(held).alias("_held"))
