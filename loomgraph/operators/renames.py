@@ -100,7 +100,7 @@ def _classes(features: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _looked_up(lines: DataFrame) -> DataFrame:
     """The lines by which classes are looked up; those that the other side lacks count as the rarest."""
-    classes = lines.groupBy("h").agg(F.count("*").alias("classes"))
+    classes = cut_lineage(lines.groupBy("h").agg(F.count("*").alias("classes")))
     rare_first = Window.partitionBy("class").orderBy("classes", "h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("own") + F.coalesce(F.sum("w").over(rare_first), F.lit(0))
     known = lines.join(classes, "h").withColumn("before", before)
