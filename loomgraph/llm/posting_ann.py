@@ -54,6 +54,16 @@ def squared_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(found, 0)
 
 
+#: Distances that the driver holds at once when it fits centroids.
+FIT_DISTANCES = 1 << 21
+
+
+def nearest_centres(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The place of the nearest centre of every point, some points at a time."""
+    step = max(1, FIT_DISTANCES // len(centres))
+    return np.concatenate([squared_distances(points[at : at + step], centres).argmin(1) for at in range(0, len(points), step)])
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Centroids of clusters of which none holds over twice its share of the sample."""
     rng = np.random.default_rng(seed)
@@ -69,12 +79,12 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndar
         parts = max(2, parts)
         centres = points[rng.choice(len(points), min(parts, len(points)), replace=False)]
         for _ in range(ROUNDS):
-            near = squared_distances(points, centres).argmin(1)
+            near = nearest_centres(points, centres)
             sums = np.zeros_like(centres)
             np.add.at(sums, near, points)
             counts = np.bincount(near, minlength=len(centres))
             centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        near = squared_distances(points, centres).argmin(1)
+        near = nearest_centres(points, centres)
         groups = [rows[near == c] for c in range(len(centres))]
         groups = [g for g in groups if len(g)]
         if len(groups) == 1:
@@ -156,8 +166,9 @@ def fit(groups: DataFrame, n: int, largest: float) -> CentroidGraph:
     """The graph of centroids from a sample of at most ``MOST_LISTS * SAMPLE_PER_LIST`` vectors."""
     lists = max(1, min(MOST_LISTS, n // LIST_VECTORS))
     size = lists * SAMPLE_PER_LIST
-    sample = groups.orderBy(F.xxhash64("key"), "key").limit(size).select("vec").toPandas()["vec"]
-    return CentroidGraph(balanced_centroids(_augmented(np.stack(sample.to_list()).astype(float), largest), lists))
+    sample = groups.orderBy(F.xxhash64("key"), "key").limit(size).select("vec").toArrow()["vec"].combine_chunks()
+    points = sample.flatten().to_numpy().reshape(len(sample), -1)
+    return CentroidGraph(balanced_centroids(_augmented(points, largest), lists))
 
 
 def _places(rows: DataFrame, graph: CentroidGraph, largest: float | None, ratio: float, most: int | None = None, least: int = 1) -> DataFrame:

@@ -65,6 +65,18 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string, refers_to string, payload string")
 
 
+def test_centroids_are_fitted_with_few_distances_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    sample = rng.normal(size=(6000, 4))
+    whole = pa.balanced_centroids(sample, 300)
+    sizes, plain = [], pa.squared_distances
+    monkeypatch.setattr(pa, "FIT_DISTANCES", 10_000, raising=False)
+    monkeypatch.setattr(pa, "squared_distances", lambda a, b: sizes.append(len(a) * len(b)) or plain(a, b))
+    # One row's distances are the least that is held.
+    assert np.allclose(pa.balanced_centroids(sample, 300), whole)
+    assert max(sizes) <= 10_000
+
+
 def test_archives_round_trip(spark):
     import hashlib
 
