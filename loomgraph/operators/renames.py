@@ -12,9 +12,11 @@ are compared, and the files of two classes are paired in the order of their path
 Candidates come from rare lines.  All lines are ordered from rare to frequent, those
 that the other side lacks first, and a class is looked up by its first lines only, up
 to the point where the rest is too short to reach the least similarity, so every pair
-that can count shares such a line.  A line that more than ``BLOCK`` classes share is cut
-into blocks by size: classes then meet those of like size, and search and assignment
-repeat until nothing more is found.  So no line makes all pairs of its files.
+that can count shares such a line.  Two classes meet at a line if what each holds from it
+on, and so all that they can share when it is the first line of both, is half of the larger
+one.  A line that more than ``BLOCK`` classes share is cut into blocks by size, and all blocks
+of sizes that can count together meet, each two of them apart: many classes of like size and
+one frequent line are as many pairs as they are, spread over tasks.
 
 Null paths and null contents take no part; a path in both listings was not renamed.
 """
@@ -104,17 +106,34 @@ def _looked_up(lines: DataFrame) -> DataFrame:
     rare_first = Window.partitionBy("class").orderBy("classes", "h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("own") + F.coalesce(F.sum("w").over(rare_first), F.lit(0))
     known = lines.join(classes, "h").withColumn("before", before)
-    return known.filter(F.col("before") <= (1 - LEAST_SIMILARITY) * F.col("size")).select("side", "class", "size", "h")
+    least = F.col("before") <= (1 - LEAST_SIMILARITY) * F.col("size")
+    return known.filter(least).select("side", "class", "size", "h", (F.col("size") - F.col("before")).alias("rest"))
 
 
-def _candidates(prefixes: DataFrame) -> tuple[DataFrame, bool]:
-    """Distinct ``old, new`` that meet in a block, and whether any line was cut into blocks."""
+def _candidates(prefixes: DataFrame) -> DataFrame:
+    """Distinct ``old, new`` of all classes that meet at a line."""
     numbered = cut_lineage(_numbered(prefixes, "h", ["size", "class"]).withColumn("block", F.floor(F.col("n") / BLOCK)))
-    cut = not numbered.filter("block > 0").isEmpty()
-    old = numbered.filter("side = 'old'").select("h", "block", F.col("class").alias("old"))
-    near = F.explode(F.sequence(F.col("block") - 1, F.col("block") + 1)) if cut else F.col("block")
-    new = numbered.filter("side = 'new'").select("h", near.alias("block"), F.col("class").alias("new"))
-    return old.join(new, ["h", "block"]).select("old", "new").distinct(), cut
+
+    def side(name: str) -> DataFrame:
+        columns = [F.col(c).alias(f"{name}_{c}") for c in ("block", "size", "rest")]
+        return numbered.filter(F.col("side") == name).select("h", F.col("class").alias(name), *columns)
+
+    def near(old_least: str, old_most: str, new_least: str, new_most: str) -> Column:
+        return (F.col(old_most) >= LEAST_SIMILARITY * F.col(new_least)) & (F.col(new_most) >= LEAST_SIMILARITY * F.col(old_least))
+
+    old, new = side("old"), side("new")
+    if numbered.filter("block > 0").isEmpty():
+        met = old.join(new, "h")
+    else:
+        blocks = [
+            rows.groupBy("h", f"{name}_block").agg(F.min(f"{name}_size").alias(f"{name}_least"), F.max(f"{name}_size").alias(f"{name}_most"))
+            for name, rows in (("old", old), ("new", new))
+        ]
+        cells = blocks[0].join(blocks[1], "h").filter(near("old_least", "old_most", "new_least", "new_most"))
+        cells = cut_lineage(cells.select("h", "old_block", "new_block"))
+        met = cells.join(old, ["h", "old_block"]).join(new, ["h", "new_block"])
+    most = F.least("old_rest", "new_rest")
+    return met.filter(most >= LEAST_SIMILARITY * F.greatest("old_size", "new_size")).select("old", "new").distinct()
 
 
 def _scored(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -178,17 +197,8 @@ def best_pairs(scored: DataFrame, members: DataFrame) -> DataFrame:
 def similar_renames(deleted: DataFrame, added: DataFrame) -> DataFrame:
     """Pairs by their lines, from ``file_path, lines`` of either side."""
     members, lines = _classes(cut_lineage(_features(deleted, "old").unionByName(_features(added, "new"))))
-    prefixes = cut_lineage(_looked_up(lines))
-    found = None
-    while True:
-        pairs, cut = _candidates(prefixes)
-        fresh = best_pairs(_scored(pairs, lines), members)
-        found = fresh if found is None else found.unionByName(fresh)
-        if not cut or fresh.isEmpty():
-            return found.select("old_path", "new_path", "similarity")
-        gone = [fresh.select(F.col(side).alias("class"), F.col(f"{side}_at").alias("n")) for side in ("old", "new")]
-        members = cut_lineage(members.join(gone[0].unionByName(gone[1]), ["class", "n"], "left_anti"))
-        prefixes = cut_lineage(prefixes.join(members.select("class").distinct(), "class", "left_semi"))
+    pairs = _candidates(cut_lineage(_looked_up(lines)))
+    return best_pairs(_scored(pairs, lines), members).select("old_path", "new_path", "similarity")
 
 
 def _left(listing: DataFrame, pairs: DataFrame, column: str) -> DataFrame:

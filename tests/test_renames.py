@@ -73,6 +73,18 @@ def test_a_line_of_many_files_is_cut_into_blocks(spark, monkeypatch):
     assert [q for _, q, _ in got] == [p.replace("a/", "b/") for p, *_ in got]
 
 
+def test_blocks_leave_no_pair_out(spark, monkeypatch):
+    monkeypatch.setattr(renames, "BLOCK", 2)
+    # All share one line; the best partner of a file is far from it in size, with many of other sizes between.
+    old = {f"a/{i:02}.py": "common " * 20 + "\n" + f"{i:02}" * 10 + "\n" + "x" * i for i in range(16)}
+    new = {f"b/{i:02}.py": "common " * 20 + "\n" + f"{i:02}" * 10 + "\n" + "y" * (5 * (15 - i)) for i in range(16)}
+    # Few of many are left for one that is like all.
+    new |= {f"c/{i:02}.py": "common " * 20 + "\n" + "z" * (9 * i + 1) for i in range(16)}
+    want = brute(old, new)
+    assert len(want) == 16
+    assert found(spark, old, new) == want
+
+
 def test_copies_pair_in_order_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(renames, "BLOCK", 4)
     monkeypatch.setattr(renames, "TIED_FILES", 2)
