@@ -294,3 +294,17 @@ def test_k_shortest_paths_stay_where_the_source_leads(spark, monkeypatch):
     found = paths.k_shortest_paths(nodes, spark.createDataFrame(edges, "src string, dst string, type string"), "s", "t", k=3)
     assert sorted(r.path for r in found.collect()) == [["s", "a", "t"], ["s", "b", "t"]]
     assert searched[0].count() == 4
+
+
+def test_rounds_of_components_leave_one_state(spark, monkeypatch):
+    from loomgraph.operators import components
+
+    made, gone, stored, discard = [], [], components.stored, components.discard
+    monkeypatch.setattr(components, "stored", lambda rows, **how: made.append(stored(rows, **how)) or made[-1])
+    monkeypatch.setattr(components, "discard", lambda table: gone.append(table) or discard(table))
+    nodes = spark.range(50).select(F.format_string("n%02d", "id").alias("id"))
+    edges = spark.range(48).select(F.format_string("n%02d", "id").alias("src"), F.format_string("n%02d", F.col("id") + 2).alias("dst"))
+    found = components.connected_components(nodes, edges)
+    assert sorted({r.component for r in found.collect()}) == ["n00", "n01"]
+    # The numbers, the links and the last state.
+    assert gone and len(made) - len(gone) == 3
